@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, mixing, sentence_pieces, toxicity, url_filter
+from . import ann, chat_format, license_scan, mixing, near_dups, sentence_pieces, topk_search, toxicity, url_filter, warc
 
 #: Rules of the URL query.
 RULES = [
@@ -33,6 +33,18 @@ def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.best_licence(license_scan.scan_licences(_table(spark, sf_dir, "documents")))
 
 
+def topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")).df)
+
+
+def near_dups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -47,6 +59,10 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_segments(chat_format.format_turns(turns))
 
 
+def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(_table(spark, sf_dir, "documents")))
 
@@ -61,8 +77,12 @@ def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_query,
+    "op2_topk_search": topk_query,
+    "op3_warc_bundles": warc_query,
+    "op4_minhash_dedup": near_dups_query,
     "op5_toxicity": toxicity_query,
     "op6_chat_format": chat_query,
+    "op7_multi_index_hashing": ann_query,
     "op8_source_mixing": mixing_query,
     "op9_sentence_pieces": pieces_query,
     "op10_url_filter": url_query,
@@ -131,8 +151,45 @@ fits as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, l
 select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts p left join fits f on p.page_id = f.page_id"""
 
 
+_TOPK_SQL = """
+with rows as (select vec_id, min(embedding) as v from embeddings
+    where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) group by vec_id),
+ints as (select vec_id, list_transform(v, lambda x: floor(256 * x::double)) as v from rows),
+scored as (select q.vec_id as query_id, d.vec_id, list_inner_product(q.v, d.v)::bigint as score
+    from ints q join ints d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5"""
+
+_BITS = "(unhex(sha1(payload))::bit)::varchar"
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + " + " + ".join(f"{16 >> k} * substr(bits, (5 * i + {k + 1})::bigint, 1)::integer" for k in range(5)) + ", 1)), '')"
+_WARC_SQL = f"""
+with given as (select page_id, coalesce(html, '') as payload from pages),
+bits as (select page_id, payload, {_BITS} as bits, max(page_id) over (partition by payload) as top from given)
+select page_id, strlen(payload)::bigint as payload_bytes, {_BASE32} as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id = top then null else top end as refers_to
+from bits"""
+
+#: Links are found by all pairs here; fit for small tables only.
+_NEAR_SQL = """
+with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+sets as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words),
+same as (select min(doc_id) as rep, s from (select doc_id, list_sort(s) as s from sets) where len(s) > 0 group by s),
+posts as (select rep, unnest(s) as g from same),
+shared as (select a.rep as a, b.rep as b, count(*) as n from posts a join posts b on a.g = b.g and a.rep < b.rep group by a.rep, b.rep),
+sizes as (select rep, len(s) as n from same),
+links as (select a, b from shared s join sizes x on s.a = x.rep join sizes y on s.b = y.rep where 100 * s.n >= 75 * (x.n + y.n - s.n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select rep as node, rep as seen from same union select r.node, l.b from reach r join both_ways l on r.seen = l.a),
+least as (select node, min(seen) as component from reach group by node),
+members as (select d.doc_id, len(d.s) as n, l.component from (select doc_id, list_sort(s) as s from sets) d left join same m on d.s = m.s left join least l on m.rep = l.node)
+select doc_id, n::bigint as n_shingles, coalesce(component, doc_id) as component_id, doc_id = coalesce(component, doc_id) as kept from members"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
+    "op2_topk_search": _TOPK_SQL,
+    "op3_warc_bundles": _WARC_SQL,
+    "op4_minhash_dedup": _NEAR_SQL,
     "op6_chat_format": _chat_sql(),
     "op10_url_filter": _url_sql(),
 }

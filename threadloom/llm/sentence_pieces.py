@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -104,14 +105,13 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     return thin.mapInArrow(run, f"{id_col} {thin.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def digest_encoding(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digest_encoding(encoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Token count and digests of the ids and of the decoded text, from ``encode_documents``."""
-    from pyspark.sql import functions as F
-
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *([F.col("ids")] if keep_ids else []),
     )

@@ -25,7 +25,7 @@ counts; repeated rows repeat; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DOCS, MAX_WINDOWS = 8000, 60_000
+MAX_DOCS, MAX_WINDOWS = 6000, 60_000
 #: N-grams in fewer documents of the sample are left at zero.
 LEAST_DOCS = 4
 BITS, DIM, WINDOW = 18, 8, 8
@@ -48,6 +48,11 @@ def words_of(text: str | None) -> list[str]:
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table slots of all n-grams of all words, and where each word's begin."""
+    if len(words) > 20_000:
+        parts = [subwords(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+        shifts = np.cumsum([0, *(len(s) for s, _ in parts)])
+        starts = [p[:-1] + d for (_, p), d in zip(parts, shifts[:-1], strict=True)]
+        return np.concatenate([s for s, _ in parts]), np.concatenate([*starts, shifts[-1:]])
     marked = ["<" + (w.strip(_ENDS) or w) + ">" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -62,10 +67,10 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ codes[k : k + count]) * _PRIME
             h ^= h >> np.uint64(29)
         inside = word[:count] == word[n - 1 :]
-        slots.append((h[inside] >> np.uint64(64 - BITS)).astype(np.int64))
+        slots.append((h[inside] >> np.uint64(64 - BITS)).astype(np.int32))
         owners.append(word[:count][inside])
     if not slots:
-        return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
     slots, owners = np.concatenate(slots), np.concatenate(owners)
     by_word = np.argsort(owners, kind="stable")
     return slots[by_word], np.searchsorted(owners[by_word], np.arange(len(words) + 1))
@@ -73,8 +78,11 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Row sums between consecutive starts; empty ranges give 0."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[starts[1:]] - total[starts[:-1]]
+    out = np.zeros((len(starts) - 1, *values.shape[1:]), values.dtype)
+    full = starts[1:] > starts[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, starts[:-1][full], axis=0)
+    return out
 
 
 @dataclass
@@ -150,27 +158,31 @@ def _calibrate(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return scaled
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 2, seed: int = 7) -> Model | None:
-    """Fit embeddings, softmax and calibration on labelled texts."""
-    toxic = np.asarray(toxic, bool)
-    if not toxic.any() or toxic.all():
+def train(examples: Iterable[tuple[str, int]], rounds: int = 3, epochs: int = 2, seed: int = 7) -> Model | None:
+    """Fit embeddings, softmax and calibration on (text, toxic) pairs; only word numbers are kept of the texts."""
+    vocabulary: dict[str, int] = {}
+    runs, marks = [], []
+    for text, mark in examples:
+        runs.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)), np.int32))
+        marks.append(bool(mark))
+    toxic, sizes = np.array(marks, bool), np.array([len(r) for r in runs], np.int64)
+    if not vocabulary or not toxic.any() or toxic.all():
         return None
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    if not vocabulary:
-        return None
+    n_words = len(vocabulary)
+    held = np.zeros(n_words, np.int32)
+    for r in runs:
+        held[np.unique(r)] += 1
+    ids = np.concatenate(runs)
     slots, starts = subwords(list(vocabulary))
+    del runs, vocabulary
     n_slots = np.maximum(1, np.diff(starts))
-    ids = np.array([vocabulary[w] for d in docs for w in d], np.int64)
-    sizes = np.array([len(d) for d in docs])
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    pairs = np.unique(np.repeat(np.arange(len(docs)), sizes) * len(vocabulary) + ids) % len(vocabulary)
-    held = np.bincount(pairs, minlength=len(vocabulary))
     rare = np.bincount(slots, np.repeat(held, np.diff(starts)), 1 << BITS) < LEAST_DOCS
+    n_docs = len(sizes)
+    first = np.concatenate([[0], np.cumsum(sizes)])
     begin = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(first[:-1], first[1:], strict=True)])
     end = np.minimum(begin + WINDOW, np.repeat(first[1:], -(-sizes // WINDOW)))
-    owner = np.repeat(np.arange(len(docs)), -(-sizes // WINDOW))
+    owner = np.repeat(np.arange(n_docs), -(-sizes // WINDOW))
 
     E, W, b = np.zeros((1 << BITS, DIM)), rng.normal(0, 1, (DIM, 2)) / np.sqrt(DIM), np.zeros(2)
     state = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in (("E", E), ("W", W), ("b", b))}
@@ -187,8 +199,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 2,
 
     def window_logits() -> np.ndarray:
         lean, bias = leaning()
-        word = _sums(lean[slots], starts) / n_slots
-        return _sums(word[ids], np.append(begin, len(ids))) / (end - begin) + bias
+        word = _sums(lean.astype(np.float32)[slots], starts) / n_slots
+        return _sums(word.astype(np.float32)[ids], np.append(begin, len(ids))) / (end - begin) + bias
 
     def evenly(rows: np.ndarray, most: int) -> np.ndarray:
         return rows[np.linspace(0, len(rows) - 1, min(len(rows), most)).astype(int)] if len(rows) else rows
@@ -199,7 +211,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 2,
     for turn in range(rounds):
         if turn:
             z = window_logits()
-            top = np.full(len(docs), -np.inf)
+            top = np.full(n_docs, -np.inf)
             np.maximum.at(top, owner, z)
             positive = toxic[owner] & ((z > 0) | (z >= top[owner]))
             # half of the clean windows are those that the model takes for toxic most
@@ -236,12 +248,12 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 2,
 
     lean, bias = leaning()
     z = window_logits()
-    top = np.full(len(docs), bias)
+    top = np.full(n_docs, bias)
     if len(z):
-        best = np.full(len(docs), -np.inf)
+        best = np.full(n_docs, -np.inf)
         np.maximum.at(best, owner, z)
         top = np.where(np.isfinite(best), best, bias)
-    c = _calibrate(np.stack([top, np.log1p(sizes / WINDOW), np.ones(len(docs))], 1), toxic)
+    c = _calibrate(np.stack([top, np.log1p(sizes / WINDOW), np.ones(n_docs)], 1), toxic)
     return Model(lean.astype(np.float32), bias, float(c[0]), float(c[1]), float(c[2]))
 
 
@@ -253,10 +265,11 @@ def remainder(doc_id) -> object:
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
     """Train on a bounded sample of labelled documents outside the held-out fifth."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(remainder("doc_id") != 0)
-    rows = docs.select("doc_id", "text").filter("doc_id is not null").join(marks, "doc_id")
     order = F.xxhash64("doc_id", F.lit("fit"))
-    sample = [r for y in (0, 1) for r in rows.filter(F.col("toxic") == y).select("text", "toxic").orderBy(order, "doc_id", "text").limit(max_docs).toLocalIterator()]
-    return train([r["text"] for r in sample], np.array([r["toxic"] for r in sample]))
+    chosen = [marks.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(max_docs) for y in (0, 1)]
+    # at most 2 * max_docs ids and labels, whatever the size of the tables
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("text", "toxic")
+    return train((r["text"], r["toxic"]) for r in sample.toLocalIterator())
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:

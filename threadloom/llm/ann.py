@@ -140,17 +140,19 @@ def calibrate(blocks, coder: Coder, ids: np.ndarray, x: np.ndarray, k: int) -> i
         return 0
 
     def run(batches):
+        best, codes, bits = Best(ids, k), coder.codes(x), [{} for _ in ids]
         for b in batches:
             for blob in b.column(0).to_pylist():
-                block, best = load(blob), Best(ids, k)
-                codes = coder.codes(x)
+                block = load(blob)
                 for q in range(len(ids)):
-                    other = block["ids"] != ids[q]
+                    other = np.flatnonzero(block["ids"] != ids[q])
                     best.offer(q, inner(x[[q]], block["x"][other]), block["ids"][other])
-                own = dict(zip(block["ids"].tolist(), block["codes"], strict=True))
-                rows = [(q, s, i, int(np.bitwise_count(codes[q] ^ own[i]))) for q in range(len(ids)) for s, i in zip(best.scores[q].tolist(), best.found[q].tolist(), strict=True)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.float64(), pa.int64(), pa.int32()), strict=True)], names=["q", "score", "vec_id", "bits"])
+                    fresh = np.flatnonzero(np.isin(block["ids"], best.found[q]))
+                    bits[q] |= dict(zip(block["ids"][fresh].tolist(), np.bitwise_count(codes[q] ^ block["codes"][fresh]).tolist(), strict=True))
+                    bits[q] = {i: bits[q][i] for i in best.found[q].tolist()}
+        rows = [(q, s, i, bits[q][i]) for q in range(len(ids)) for s, i in zip(best.scores[q].tolist(), best.found[q].tolist(), strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.float64(), pa.int64(), pa.int32()), strict=True)], names=["q", "score", "vec_id", "bits"])
 
     found = blocks.df.select("blob").mapInArrow(run, "q int, score double, vec_id long, bits int")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))

@@ -13,12 +13,14 @@ are then compared in place to finish the count. Pairs that reach it are confirme
 shingle sets. At the similarity of 0.75 a pair falls short of the count with a
 probability of about 3e-9; the error is one-sided.
 
-No list is expanded into all its pairs while it is large. A round takes from
-each list one pivot, chosen by hash, and tests the others against it alone,
-which joins groups of copies; classes that are in one component by then are
-never paired again. When the pairs between components fit the number of
-postings, or rounds no longer help, all those pairs are tested, so
-no link between components is lost.
+No long list is expanded into pairs of rows. Two rounds take from each list one
+pivot, chosen by hash, and test the others against it alone, which joins most
+groups of copies; lists whose classes are in one component by then are closed. In
+short open lists the pairs between components are tested row by row. Long open lists are
+dealt into tiles of bounded bytes that carry signatures and sets: a task compares
+a tile's signatures as arrays, each pair in the first coordinate whose list
+holds both and nowhere else, confirms on the sets in place, and emits a spanning forest of the
+links. So no link between components is lost, and rows grow with the lists, not with their squares.
 
 Defined cases: null texts and texts without words have the empty set and are
 linked with nothing; rows with a null doc_id take no part and have a null
@@ -44,7 +46,8 @@ SHINGLE, PERCENT = 5, 75
 COORDINATES, LEAST_AGREEING = 32, 9
 #: Ids broadcast to pick the texts of candidate classes; beyond that they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-ROUNDS = 8
+#: Rounds of pivots, members of a list that is still paired row by row, and bytes of sets per side of a tile.
+ROUNDS, SHORT, TILE_BYTES = 2, 48, 8 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.random.default_rng(5).integers(1 << 62, dtype=np.uint64, size=(2, COORDINATES)) * np.uint64(2) + np.uint64(1)
 
@@ -117,11 +120,11 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def shared_postings(classes: DataFrame) -> DataFrame:
-    """(token, rep) without the lists of one class and without each class's most frequent tokens."""
-    posts = classes.select("rep", F.posexplode("sign").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("token"))
+    """(token, rep, k) without the lists of one class and without each class's most frequent tokens; k is the coordinate."""
+    posts = classes.select("rep", F.posexplode("sign").alias("k", "v")).select("rep", "k", F.xxhash64("k", "v").alias("token"))
     often = posts.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("n").desc(), F.col("token").desc()))
-    return posts.join(often, "token").withColumn("place", place).filter(F.col("place") >= LEAST_AGREEING).select("token", "rep")
+    return posts.join(often, "token").withColumn("place", place).filter(F.col("place") >= LEAST_AGREEING).select("token", "rep", "k")
 
 
 def shingle_table(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -161,51 +164,105 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _tile(rows: pa.Table) -> pa.Table:
+    """A spanning forest of the links between the two sides of a tile that this list is the first to show."""
+    k = rows["k"][0].as_py()
+    reps = rows["rep"].to_numpy()
+    order = np.argsort(reps, kind="stable")
+    rows, reps = rows.take(pa.array(order)), reps[order]
+    signs = np.array(rows["sign"].to_pylist(), np.int64).reshape(len(reps), COORDINATES)
+    kept = (rows["mask"].to_numpy()[:, None] >> np.arange(COORDINATES)) & 1 == 1
+    parts, chunk = rows["component"].to_numpy(), rows["chunk"].to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    one_side = chunk.min() == chunk.max()
+    _, group = np.unique(parts, return_inverse=True)
+    parent = list(range(int(group.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found: list[tuple[int, int]] = []
+    for i in range(len(reps) - 1):
+        same = signs[i + 1 :] == signs[i]
+        first = (same & kept[i + 1 :] & kept[i]).argmax(axis=1) == k
+        small, large = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        good = first & (same.sum(axis=1) >= LEAST_AGREEING) & (100 * small >= PERCENT * large)
+        if not one_side:
+            good &= chunk[i + 1 :] != chunk[i]
+        mine = root(group[i])
+        others = [j for j in (np.flatnonzero(good) + i + 1).tolist() if root(group[j]) != mine]
+        if not others:
+            continue
+        joined = np.concatenate([sets[j] for j in others])
+        at = np.minimum(np.searchsorted(sets[i], joined), sizes[i] - 1)
+        shared = np.add.reduceat((sets[i][at] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+        for j, n in zip(others, shared.tolist(), strict=True):
+            if 100 * n >= PERCENT * (int(sizes[i]) + int(sizes[j]) - n) and (other := root(group[j])) != (mine := root(group[i])):
+                parent[max(mine, other)] = min(mine, other)
+                found.append((int(reps[i]), int(reps[j])))
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def long_list_links(posts: DataFrame, masks: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components within long lists; ``posts`` has token, rep, k and component of these lists."""
+    sides = posts.join(classes.select("rep", "n_shingles"), "rep").groupBy("token").agg(F.ceil(F.sum(8 * F.col("n_shingles")) / F.lit(TILE_BYTES)).cast("int").alias("chunks"))
+    data = classes.select("rep", "sign").join(masks, "rep").join(sets, "rep")
+    rows = posts.join(sides, "token").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("chunks")).cast("int")).join(data, "rep")
+    tiled = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    keyed = tiled.select("token", "k", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "rep", "chunk", "component", "sign", "mask", "shingles")
+    return keyed.groupBy("token", "low", "high").applyInArrow(_tile, "a long, b long")
+
+
 def links(docs: DataFrame, classes: DataFrame) -> Kept | None:
     """(node, component) of all classes that have a link; None where there are none."""
     posts = Kept(shared_postings(classes), "postings")
-    size = posts.df.count()
-    if not size:
+    if posts.df.isEmpty():
         return None
     sets = Kept(shingle_table(docs, posts.df.select("rep")), "shingles")
     found: Kept | None = None
-    last = None
-    for turn in range(ROUNDS + 1):
-        now = posts.df.withColumn("component", F.col("rep")) if found is None else posts.df.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-        each = now.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
-        lists = each.groupBy("token").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).filter("pairs > 0")
-        left = lists.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        whole = left <= size or turn == ROUNDS or (last is not None and left > 0.9 * last)
-        last = left
-        open_posts = now.join(lists.select("token"), "token")
-        if whole:
-            a, b = (open_posts.select("token", F.col("rep").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
-            pairs = a.join(b, "token").filter("a < b and component_a <> component_b")
+
+    def placed() -> DataFrame:
+        """Postings with their class's component, of lists that still have several."""
+        if found is None:
+            now = posts.df.withColumn("component", F.col("rep"))
         else:
-            pivots = open_posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("b"), F.col("component").alias("component_b"))).alias("p")).select("token", "p.b", "p.component_b")
-            pairs = open_posts.join(pivots, "token").filter("component <> component_b").select(F.col("rep").alias("a"), "b")
-        candidates = Kept(agreeing(pairs.select("a", "b").distinct(), classes), "candidates")
-        new = confirmed(candidates.df, sets.df)
+            now = posts.df.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "k", F.coalesce("component", "rep").alias("component"))
+        spread = now.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+        return now.join(spread.filter("low < high").select("token", "members"), "token")
+
+    def merge(new: DataFrame) -> Kept:
         if found is not None:
             new = new.unionByName(found.df.select(F.col("node").alias("a"), F.col("component").alias("b")))
         after = components(new)
-        candidates.drop()
         if found is not None:
             found.drop()
-        found = after
-        if whole:
-            break
-    sets.drop()
-    posts.drop()
+        return after
+
+    for turn in range(ROUNDS):
+        rows = placed()
+        pivots = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("b"), F.col("component").alias("component_b"))).alias("p")).select("token", "p.b", "p.component_b")
+        pairs = rows.join(pivots, "token").filter("component <> component_b").select(F.col("rep").alias("a"), "b").distinct()
+        found = merge(confirmed(agreeing(pairs, classes), sets.df))
+    rest = Kept(placed(), "open")
+    short = rest.df.filter(F.col("members") <= SHORT)
+    a, b = (short.select("token", F.col("rep").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
+    pairs = a.join(b, "token").filter("a < b and component_a <> component_b").select("a", "b").distinct()
+    masks = posts.df.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+    long = long_list_links(rest.df.filter(F.col("members") > SHORT), masks, classes, sets.df)
+    found = merge(confirmed(agreeing(pairs, classes), sets.df).unionByName(long))
+    for table in (rest, sets, posts):
+        table.drop()
     return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     profiles = Kept(profile(docs), "profiles")
-    classes = Kept(profiles.df.filter("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sign").alias("sign")), "classes")
+    classes = Kept(profiles.df.filter("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sign").alias("sign")), "classes")
     found = links(docs, classes.df)
     rep = classes.df.select("key", "rep")
     if found is not None:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .edges import both_ways
 
 KEYS = ["method", "test"]
@@ -94,13 +95,19 @@ def labelled_pairs(tests: DataFrame, negatives: DataFrame, keys: Sequence[str] =
     return yes.unionByName(negatives.select(*keys, "u", "v", F.lit(0).alias("label")))
 
 
-def logistic_scores(train_rows: DataFrame, rows: DataFrame, columns: Sequence[str] = ("cn", "jaccard", "aa", "pa"), c: float = 1.0, rounds: int = 1000) -> DataFrame:
-    """Probability of label 1 by L2 logistic regression over unscaled features; column ``score``."""
+def logistic_scores(train_rows: DataFrame, rows: DataFrame, columns: Sequence[str] = ("cn", "jaccard", "aa", "pa"), c: float = 1.0, rounds: int = 100) -> DataFrame:
+    """Probability of label 1 by L2 logistic regression over unscaled features; column ``score``.
+
+    The rows are checkpointed: every iteration of the fit reads them.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     parts = VectorAssembler(inputCols=list(columns), outputCol="features")
+    same = rows is train_rows
+    train_rows = cut(train_rows.coalesce(max(1, train_rows.sparkSession.sparkContext.defaultParallelism)))
+    rows = train_rows if same else rows
     n = max(1, train_rows.count())
     fit = LogisticRegression(maxIter=rounds, regParam=1 / (c * n), standardization=False, labelCol="label").fit(parts.transform(train_rows))
     return fit.transform(parts.transform(rows)).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")

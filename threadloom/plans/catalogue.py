@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import category_colour, cosine, jaccard
+from ..functions.lineage import cut
 from ..operators import edges as E
 from ..operators import embeddings, graphs, interactions, links, quality, ranking, sentiment, temporal, text, topics
 from ..sources import views
@@ -221,15 +222,15 @@ def m3_valid_docs(spark, sf_dir):
 # Change over time
 
 
-@query("""select p.method, t1, t2,
-round(coalesce(nb / nullif(na, 0), 0), 6)::double as node_jaccard, round(coalesce((na - nb) / nullif(na, 0), 0), 6)::double as node_turnover, (n2 - nb)::bigint as appearing_nodes, (n1 - nb)::bigint as disappearing_nodes,
-round(coalesce(eb / nullif(ea, 0), 0), 6)::double as edge_jaccard, round(coalesce((ea - eb) / nullif(ea, 0), 0), 6)::double as edge_turnover, (e2 - eb)::bigint as appearing_edges, (e1 - eb)::bigint as disappearing_edges,
-round(case when ea = 0 then 0 else 1 - eb / ea end, 6)::double as volatility
-from (select p.*, (select count(*) from degrees a where a.method = p.method and a.snapshot = p.t1)::double as n1, (select count(*) from degrees a where a.method = p.method and a.snapshot = p.t2)::double as n2,
- (select count(*) from degrees a join degrees b on a.node = b.node and a.method = b.method where a.method = p.method and a.snapshot = p.t1 and b.snapshot = p.t2)::double as nb,
- (select count(*) from edges a where a.method = p.method and a.snapshot = p.t1)::double as e1, (select count(*) from edges a where a.method = p.method and a.snapshot = p.t2)::double as e2,
- (select count(*) from edges a join edges b on a.src = b.src and a.dst = b.dst and a.method = b.method where a.method = p.method and a.snapshot = p.t1 and b.snapshot = p.t2)::double as eb,
- n1 + n2 - nb as na, e1 + e2 - eb as ea from pairs p) p""")
+_TURNOVER = """(with per as (select method, snapshot, 'node' as kind, node as a, '' as b from degrees union all select method, snapshot, 'edge', src, dst from edges),
+ seen as (select p.method, t1, t2, kind, a, b, max((snapshot = t1)::int) as old, max((snapshot = t2)::int) as new from pairs p join per e on e.method = p.method and e.snapshot in (t1, t2) group by all)
+select p.method, p.t1, p.t2, {} from pairs p left join seen s on s.method = p.method and s.t1 = p.t1 and s.t2 = p.t2 group by all)""".format(", ".join(
+    f"coalesce(sum(old * new) filter (kind = '{k}'), 0)::double as {k[0]}b, (count(*) filter (kind = '{k}'))::double as {k[0]}a, coalesce(sum(new) filter (kind = '{k}'), 0)::double as {k[0]}2, coalesce(sum(old) filter (kind = '{k}'), 0)::double as {k[0]}1" for k in ("node", "edge")))
+
+
+@query("select method, t1, t2, " + ", ".join(
+    f"round(coalesce({k[0]}b / nullif({k[0]}a, 0), 0), 6)::double as {k}_jaccard, round(coalesce(({k[0]}a - {k[0]}b) / nullif({k[0]}a, 0), 0), 6)::double as {k}_turnover, ({k[0]}2 - {k[0]}b)::bigint as appearing_{k}s, ({k[0]}1 - {k[0]}b)::bigint as disappearing_{k}s" for k in ("node", "edge"))
+    + f", round(case when ea = 0 then 0 else 1 - eb / ea end, 6)::double as volatility from {_TURNOVER}")
 def g15_turnover(spark, sf_dir):
     return temporal.turnover(graph_edges(spark, sf_dir))
 
@@ -325,8 +326,8 @@ def a15_nmi(spark, sf_dir):
 
 
 def _train(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = graph_edges(spark, sf_dir)
-    return edges, E.expanding_train(edges), edges.groupBy("method", F.col("snapshot").alias("test")).agg(F.count("*").alias("n"))
+    edges = cut(graph_edges(spark, sf_dir))  # read by every step that follows
+    return edges, cut(E.expanding_train(edges)), edges.groupBy("method", F.col("snapshot").alias("test")).agg(F.count("*").alias("n"))
 
 
 @query("select method, test, src, dst, weight from train")
@@ -407,17 +408,17 @@ def l13_logreg_scores(spark, sf_dir):
 @query()
 def l14_experiment_sweep(spark, sf_dir):
     """threshold, sampler, method, test and all ranking metrics of both scorers; thresholds are part of the method key."""
-    base = graph_edges(spark, sf_dir)
+    base = cut(graph_edges(spark, sf_dir))
     swept = [E.heavier(base, t).withColumn("method", F.concat_ws("|", "method", F.lit(str(t)))) for t in (3, 5)]
     edges = swept[0].unionByName(swept[1])
-    train = E.expanding_train(edges)
+    train = cut(E.expanding_train(edges))
     wanted = edges.groupBy("method", F.col("snapshot").alias("test")).agg(F.count("*").alias("n"))
     tests = edges.withColumnRenamed("snapshot", "test").join(F.broadcast(train.select("method", "test").distinct()), ["method", "test"], "left_semi")
     keyed = None
     for name, sampler in links.SAMPLERS.items():
         rows = links.labelled_pairs(tests, sampler(train, wanted)).withColumn("sampler", F.lit(name))
         keyed = rows if keyed is None else keyed.unionByName(rows)
-    rows = links.features(keyed, train)
+    rows = cut(links.features(keyed, train))
     scored = rows.withColumn("scorer", F.lit("cn")).withColumn("score", F.col("cn").cast("double"))
     fitted = links.logistic_scores(rows, rows).withColumn("scorer", F.lit("logreg"))
     return ranking.evaluate(scored.unionByName(fitted.select(*scored.columns)), ["method", "test", "sampler", "scorer"])

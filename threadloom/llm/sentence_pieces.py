@@ -28,7 +28,7 @@ MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Words longer than this are not kept; the table is emptied at so many characters.
 LONGEST_KEPT = 64
-TABLE_CHARS = 8_000_000
+TABLE_CHARS = 1_000_000
 
 
 class ChunkCodec:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch while an operator writes an intermediate table.
+BATCH_BYTES = "8m"
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,13 +35,26 @@ def _own_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.threadloom.local.dir", None) or shared_dir(spark)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """While tables are written here, what goes to Python at once is held to ``BATCH_BYTES``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Kept:
     """A table written to the shared folder: it survives lost executors and cuts the lineage."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{_own_dir(self.spark)}/threadloom/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with _small_batches(self.spark):
+            df.write.parquet(self.path)
         self._schema = self.spark.read.parquet(self.path).schema
 
     @property

@@ -103,7 +103,7 @@ class Model:
 class Scorer:
     """Scores whole texts; word logits are kept in a table of bounded size."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __init__(self, model: Model | None):
         self.model, self.table = model, {}

@@ -190,11 +190,11 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Rows that share doc_id and size are matched with their decisions by number.
     """
-    key = ["_doc_id", "_size"]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    left = docs.withColumns({"_doc_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_size": size}).withColumn("_turn", turn)
-    right = mixed.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc_id"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    times = F.element_at("_copies", F.col("_turn"))
-    joined = left.join(right, key).filter(times > 0)
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id")
+    left = docs.select(F.struct(*docs.columns).alias("row"), named("doc_id"), size.alias("size"))
+    left = left.withColumn("turn", F.row_number().over(Window.partitionBy("id", "size").orderBy(F.lit(0))))
+    right = mixed.groupBy(named("doc_id"), "size").agg(F.sort_array(F.collect_list("copies")).alias("each"))
+    times = F.element_at("each", F.col("turn"))
+    joined = left.join(right, ["id", "size"]).filter(times > 0)
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("time")).select("row.*")

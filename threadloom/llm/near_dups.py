@@ -48,6 +48,8 @@ COORDINATES, LEAST_AGREEING = 32, 9
 MAX_BROADCAST_IDS = 1_000_000
 #: Rounds of pivots, members of a list that is still paired row by row, and bytes of sets per side of a tile.
 ROUNDS, SHORT, TILE_BYTES = 2, 48, 8 << 20
+#: What a row of a tile takes besides its set: signature, ids and their Python objects.
+ROW_BYTES = 1024
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.random.default_rng(5).integers(1 << 62, dtype=np.uint64, size=(2, COORDINATES)) * np.uint64(2) + np.uint64(1)
 
@@ -209,7 +211,7 @@ def _tile(rows: pa.Table) -> pa.Table:
 
 def long_list_links(posts: DataFrame, masks: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components within long lists; ``posts`` has token, rep, k and component of these lists."""
-    sides = posts.join(classes.select("rep", "n_shingles"), "rep").groupBy("token").agg(F.ceil(F.sum(8 * F.col("n_shingles")) / F.lit(TILE_BYTES)).cast("int").alias("chunks"))
+    sides = posts.join(classes.select("rep", "n_shingles"), "rep").groupBy("token").agg(F.ceil(F.sum(8 * F.col("n_shingles") + ROW_BYTES) / F.lit(TILE_BYTES)).cast("int").alias("chunks"))
     data = classes.select("rep", "sign").join(masks, "rep").join(sets, "rep")
     rows = posts.join(sides, "token").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("chunks")).cast("int")).join(data, "rep")
     tiled = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -275,6 +277,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """One document of each group; repeated rows go too, rows with a null doc_id stay."""
     gone = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id")
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+    again = F.row_number().over(Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy(F.lit(0)))
+    left = docs.join(gone, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"))
+    return left.select("row", again.alias("again")).filter("again = 1").select("row.*")

@@ -9,8 +9,7 @@ say nothing.
 
 Labels are given for documents, and one insult can sit in a long text. Windows
 of clean documents are clean; a toxic document's windows are toxic to begin
-with, and after each round only those that the model itself finds toxic, the
-likeliest always included. A document's score is that of its likeliest window,
+with, and after each round only those that the model itself finds toxic. A document's score is that of its likeliest window,
 recalibrated against the number of windows on the training sample.
 
 Texts are read whole. The fit takes a bounded sample of labelled rows:
@@ -34,8 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DOCS, MAX_WINDOWS = 6000, 60_000
-#: N-grams in fewer documents of the sample are left at zero.
+#: N-grams in fewer documents of the sample, or in fewer than one in 400, are left at zero.
 LEAST_DOCS = 4
+#: The logit from which a window counts as toxic in the last round.
+CERTAIN = 2.0
 BITS, DIM, WINDOW = 18, 8, 8
 GRAMS = (3, 4, 5)
 _ENDS = ".,;:!?\"'()[]{}<>*#$%&-_…«»“”"
@@ -177,7 +178,7 @@ def train(examples: Iterable[tuple[str, int]], rounds: int = 3, epochs: int = 2,
     slots, starts = subwords(list(vocabulary))
     del runs, vocabulary
     n_slots = np.maximum(1, np.diff(starts))
-    rare = np.bincount(slots, np.repeat(held, np.diff(starts)), 1 << BITS) < LEAST_DOCS
+    rare = np.bincount(slots, np.repeat(held, np.diff(starts)), 1 << BITS) < max(LEAST_DOCS, len(sizes) // 400)
     n_docs = len(sizes)
     first = np.concatenate([[0], np.cumsum(sizes)])
     begin = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(first[:-1], first[1:], strict=True)])
@@ -211,9 +212,8 @@ def train(examples: Iterable[tuple[str, int]], rounds: int = 3, epochs: int = 2,
     for turn in range(rounds):
         if turn:
             z = window_logits()
-            top = np.full(n_docs, -np.inf)
-            np.maximum.at(top, owner, z)
-            positive = toxic[owner] & ((z > 0) | (z >= top[owner]))
+            # in the last round a mislabelled document may have no toxic window at all
+            positive = toxic[owner] & (z > (CERTAIN if turn == rounds - 1 else 0.0))
             # half of the clean windows are those that the model takes for toxic most
             hard = all_clean[np.argsort(-z[all_clean], kind="stable")[: MAX_WINDOWS // 2]]
             clean = np.union1d(evenly(all_clean, MAX_WINDOWS // 2), hard)

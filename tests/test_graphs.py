@@ -136,3 +136,18 @@ def test_sentiment_edges_edge_cases(spark):
     clean = interactions.clean_comments(c, spark.createDataFrame([("bot",)], "author string"))
     assert [(r["src"], r["dst"], r["weight"]) for r in interactions.sentiment_edges(clean).collect()] == [("k1", "k2", 2)]
     assert sorted((r["src"], r["dst"], r["weight"]) for r in interactions.cocomment_edges(clean).collect()) == [("k1", "k2", 2), ("k1", "k3", 1), ("k2", "k3", 1)]
+
+
+def test_panel_needs_every_year_of_some_group(spark):
+    rows = [(y, "a", "dem", 1.0) for y in (2017, 2018, 2019)] + [(y, "a", "rep", 2.0) for y in (2018, 2019)] + [(2019, "b", "dem", 1.0)] + [(y, "c", "gun", 1.0) for y in (2018, 2019)]
+    panel = spark.createDataFrame(rows, "yr long, source string, target_group string, avg_hops double")
+    got = graphs.covered(panel, {"c": 2018}, 2017, 2019)
+    assert {r["source"] for r in got.collect()} == {"a", "c"} and got.count() == 7
+
+
+def test_new_positives_only(spark):
+    train = graph(spark, [("a", "b", 1.0)]).withColumnRenamed("snapshot", "test")
+    tests = graph(spark, [("a", "b", 1.0), ("b", "c", 1.0)]).withColumnRenamed("snapshot", "test")
+    none = spark.createDataFrame([], "method string, test long, u string, v string")
+    assert links.labelled_pairs(tests, none).count() == 2
+    assert [(r["u"], r["v"]) for r in links.labelled_pairs(tests, none, new_only=train).collect()] == [("b", "c")]

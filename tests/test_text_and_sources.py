@@ -106,3 +106,27 @@ def test_stream_matches_batch(spark, tmp_path):
     streaming.append_windows(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     edges = streaming.edges_of_windows(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert [(r["src"], r["dst"], r["weight"]) for r in edges] == [("k1", "k2", 1)]
+
+
+def test_missing_stage_output_is_empty(spark, tmp_path):
+    assert readers.read_or_empty(spark, str(tmp_path / "none"), "method string, density double").count() == 0
+    (tmp_path / "some.csv").write_text("method,density\nm,0.5\n")
+    assert [tuple(r) for r in readers.read_or_empty(spark, str(tmp_path / "some.csv"), "method string, density double").collect()] == [("m", 0.5)]
+
+
+def test_fold_sums_partials(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, x long").repartition(3)
+    got = readers.fold(df, ["k"], {"n": lambda: F.count("*"), "x": lambda: F.sum("x")})
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 2, 3), ("b", 1, 3)]
+
+
+def test_lemmatiser_hook(spark):
+    df = spark.createDataFrame([("cats dogs",), (None,)], "t string")
+    run = text.lemmatised(lambda: lambda w: w.removesuffix("s"))
+    assert [r[0] for r in df.select(run(F.col("t"))).collect()] == ["cat dog", None]
+
+
+def test_guided_topics_sentinels(spark):
+    df = spark.createDataFrame([(1, "the gun laws and gun rights"), (2, "nothing here matches"), (3, " ")], "k long, text string")
+    got = {r["k"]: (r["topic_id"], r["topic_label"]) for r in topics.guided_topics(df, "k", [["taxes"], ["gun"]], ["money", "guns"]).collect()}
+    assert got == {1: (1, "guns"), 2: (-1, "OUTLIER"), 3: (-2, "OUTLIER")}

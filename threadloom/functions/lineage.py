@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder named by spark.checkpoint.dir; only a plain local session makes one of its own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def _shared(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; only a plain local session makes one of its own."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="threadloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared(spark).rstrip('/')}/threadloom/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()

@@ -116,6 +116,20 @@ def mean_hops(distances: DataFrame, targets: DataFrame, keys: Sequence[str]) ->
     return met.groupBy(*keys, "source", "target_group").agg(F.round(F.avg("hops"), 6).alias("avg_hops"), F.count("*").alias("n_reached"))
 
 
+def target_groups(meta: DataFrame) -> DataFrame:
+    """node, target_group: members of either party, and the gun group."""
+    parties = meta.filter("party in ('dem', 'rep')").select("node", F.col("party").alias("target_group"))
+    return parties.unionByName(meta.filter("gun = 1").select("node", F.lit("gun").alias("target_group")))
+
+
+def covered(panel: DataFrame, starts: dict[str, int], first: int, last: int) -> DataFrame:
+    """Rows of a distance panel from each source's start year on, for sources of which some group has every year to ``last``."""
+    start = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)), F.col("source")), F.lit(first)) if starts else F.lit(first)
+    kept = panel.withColumn("start", start).filter(F.col("yr").between(F.col("start"), F.lit(last)))
+    whole = kept.groupBy("source", "target_group", "start").agg(F.count_distinct("yr").alias("n")).filter(F.col("n") == F.lit(last) - F.col("start") + 1).select("source").distinct()
+    return kept.join(whole, "source", "left_semi").drop("start")
+
+
 def packed(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
     """One row per graph: keys and its edges as arrays. Refuses graphs beyond ``MAX_PACKED_EDGES``."""
     rows = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("src", "dst", F.col("weight").cast("double").alias("weight")))).alias("e"), F.count("*").alias("m"))
@@ -343,6 +357,12 @@ def weight_summary(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
     return edges.groupBy(*keys).agg(q.alias("q")).select(*keys, *(F.round(F.col("q")[k], 6).alias(name) for k, name in enumerate(("least", "q1", "median_weight", "q3", "most"))))
 
 
+def box(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Least, quartiles and greatest of a value per group, nulls and NaN left out."""
+    q = F.percentile(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")), F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
+    return rows.groupBy(*by).agg(q.alias("q")).select(*by, *(F.round(F.col("q")[k], 6).alias(name) for k, name in enumerate(("least", "q1", "median", "q3", "most"))))
+
+
 def weight_histogram(edges: DataFrame, least: float, most: float, bins: int, keys: Sequence[str] = GRAPH) -> DataFrame:
     """Edges per weight bin; bin 0 and bin n + 1 hold what lies outside."""
     return edges.select(*keys, F.width_bucket("weight", F.lit(float(least)), F.lit(float(most)), F.lit(bins)).alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))

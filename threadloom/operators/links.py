@@ -89,8 +89,10 @@ def features(pairs: DataFrame, train: DataFrame, keys: Sequence[str] = KEYS) ->
     return full.select(*pairs.columns, "cn", F.coalesce(F.try_divide(F.col("cn").cast("double"), union), F.lit(0.0)).alias("jaccard"), "aa", (F.col("du") * F.col("dv")).alias("pa"))
 
 
-def labelled_pairs(tests: DataFrame, negatives: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Positives (label 1) from the test edges and negatives (0), as u < v."""
+def labelled_pairs(tests: DataFrame, negatives: DataFrame, keys: Sequence[str] = KEYS, new_only: DataFrame | None = None) -> DataFrame:
+    """Positives (label 1) from the test edges and negatives (0), as u < v; with ``new_only``, a train graph, only edges that it lacks."""
+    if new_only is not None:
+        tests = tests.join(new_only.select(*keys, "src", "dst"), [*keys, "src", "dst"], "left_anti")
     yes = tests.select(*keys, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.lit(1).alias("label"))
     return yes.unionByName(negatives.select(*keys, "u", "v", F.lit(0).alias("label")))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,18 @@ def plain_tokens(text: Column, stopwords: Sequence[str] = (), least: int = 3, mo
     return F.filter(words, lambda t: (F.length(t) >= max(2, least)) & (F.length(t) <= most) & ~t.startswith("_") & ~F.array_contains(stop, t))
 
 
+def lemmatised(make: Callable[[], Callable[[str], str]]) -> Callable[[Column], Column]:
+    """A column function around a word lemmatiser, made once per task; texts are split at white space."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lemma = make()
+        for texts in parts:
+            yield texts.map(lambda t: None if t is None else " ".join(map(lemma, t.split())))
+
+    return run
+
+
 def vocabulary(docs: DataFrame, column: str = "tokens", no_below: int = 3, no_above: float = 0.6, keep_n: int = 3000) -> DataFrame:
     """term, df: terms in at least ``no_below`` documents and at most a share of them, the ``keep_n`` of greatest document frequency."""
     total = docs.agg(F.count("*").alias("total"))

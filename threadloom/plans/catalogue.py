@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import category_colour, cosine, jaccard
-from ..functions.lineage import cut
+from ..functions.lineage import cut, scratch
 from ..operators import edges as E
 from ..operators import embeddings, graphs, interactions, links, quality, ranking, sentiment, temporal, text, topics
-from ..sources import views
+from ..sources import readers, views
 from .sql_views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -437,7 +437,7 @@ def g2_largest_component(spark, sf_dir):
     return graphs.largest_component(graphs.components(backbone_edges(spark, sf_dir), ["yr"]), ["yr"])
 
 
-_SOURCES = ("Brand#11", "Brand#23", "Brand#34", "Brand#45", "Brand#52")
+_SOURCES = ("Brand#11", "Brand#12", "Brand#16", "Brand#20", "Brand#23")
 
 
 def _hops(spark, sf_dir) -> DataFrame:
@@ -457,9 +457,7 @@ def g19_hop_distance(spark, sf_dir):
 @query(f"""select yr, u as source, target_group, round(avg(h), 6)::double as avg_hops, count(*) as n_reached from hops5
 join (select node, party as target_group from brand_meta where party <> '' union all select node, 'gun' from brand_meta where gun = 1) t on t.node = v where h > 0 and u in ({_IN}) group by all""")
 def g20_distance_panel(spark, sf_dir):
-    m = views.brand_meta(spark, sf_dir)
-    targets = m.filter("party <> ''").select("node", F.col("party").alias("target_group")).unionByName(m.filter("gun = 1").select("node", F.lit("gun").alias("target_group")))
-    return graphs.mean_hops(_hops(spark, sf_dir), targets, ["yr"])
+    return graphs.mean_hops(_hops(spark, sf_dir), graphs.target_groups(views.brand_meta(spark, sf_dir)), ["yr"])
 
 
 _INSIDE = "dist5 d join lcc l on l.yr = d.yr join reach r on r.yr = d.yr and r.node = d.u and r.component = l.component"
@@ -610,3 +608,95 @@ def l15_node2vec(spark, sf_dir):
 def l17_fold_summary(spark, sf_dir):
     """Mean and deviation of the common-neighbour metrics over test snapshots."""
     return ranking.mean_and_deviation(ranking.evaluate(_ranked(spark, sf_dir), links.KEYS), ["method"], ["auc", "ap"])
+
+
+# More sources, filters and accessors
+
+
+@query("select least(node_1, node_2) as node_1, greatest(node_1, node_2) as node_2, coalesce(weighted, 0)::bigint as weighted from networks")
+def s7_network_view(spark, sf_dir):
+    return readers.network_view(views.networks(spark, sf_dir), "weighted", 0)
+
+
+@query("select id, author, community, score, snapshot from comments where author is not null and author <> '[deleted]' and community in (select community from meta where party <> '')")
+def p3_allowed_communities(spark, sf_dir):
+    allowed = views.meta(spark, sf_dir).filter("party <> ''")
+    return interactions.clean_comments(views.comments(spark, sf_dir), allowed=allowed)
+
+
+@query("select node, party as target_group from brand_meta where party in ('dem', 'rep') union all select node, 'gun' from brand_meta where gun = 1")
+def p10_target_groups(spark, sf_dir):
+    return graphs.target_groups(views.brand_meta(spark, sf_dir))
+
+
+@query("select b.yr, b.node_1, b.node_2, b.weighted from backbone b where node_1 in (select node from strongest) and node_2 in (select node from strongest)")
+def p11_edges_within_top10(spark, sf_dir):
+    b = E.backbone(views.networks(spark, sf_dir)).withColumnsRenamed({"node_1": "src", "node_2": "dst"})
+    return E.within(b, E.strongest(views.networks(spark, sf_dir)).select("node")).withColumnsRenamed({"src": "node_1", "dst": "node_2"})
+
+
+@query("select method, src, dst, arg_max(weight, snapshot) as weight from edges group by method, src, dst")
+def t3_composed_graph(spark, sf_dir):
+    return E.compose(graph_edges(spark, sf_dir))
+
+
+@query("select method, snapshot, node, degree, strength from degrees")
+def a11_degrees(spark, sf_dir):
+    return E.degrees(graph_edges(spark, sf_dir))
+
+
+@query("select yr, round(min(closeness), 6) as least, round(quantile_cont(closeness, 0.25), 6) as q1, round(quantile_cont(closeness, 0.5), 6) as median, round(quantile_cont(closeness, 0.75), 6) as q3, round(max(closeness), 6) as most from "
+       f"(select d.yr, d.u, round(coalesce((any_value(l.size) - 1) / nullif(sum(w), 0), 0), 6)::double as closeness from {_INSIDE} group by d.yr, d.u) group by yr")
+def k9_closeness_box(spark, sf_dir):
+    return graphs.box(_distances(spark, sf_dir), "closeness", ["yr"])
+
+
+@query(f"""select source, min(avg_hops) as least, max(avg_hops) as most from (select yr, u as source, target_group, round(avg(h), 6)::double as avg_hops from hops5
+join (select node, party as target_group from brand_meta where party <> '' union all select node, 'gun' from brand_meta where gun = 1) t on t.node = v where h > 0 and u in ({_IN}) group by all) group by source""")
+def a21_distance_limits(spark, sf_dir):
+    return g20_distance_panel(spark, sf_dir).groupBy("source").agg(F.min("avg_hops").alias("least"), F.max("avg_hops").alias("most"))
+
+
+@query(f"""select yr, source, target_group, avg_hops, n_reached from (with panel as (select yr, u as source, target_group, round(avg(h), 6)::double as avg_hops, count(*) as n_reached from hops5
+join (select node, party as target_group from brand_meta where party <> '' union all select node, 'gun' from brand_meta where gun = 1) t on t.node = v where h > 0 and u in ({_IN}) group by all)
+select * from panel where yr between 1996 and 1999 and source in (select source from panel where yr between 1996 and 1999 group by source, target_group having count(distinct yr) = 4))""")
+def f16_covered_panel(spark, sf_dir):
+    return graphs.covered(g20_distance_panel(spark, sf_dir), {}, 1996, 1999)
+
+
+@query("select t.method, t.test, count(*) as n_new from tests t join edges e on e.method = t.method and e.snapshot = t.test where not exists (select 1 from train r where r.method = t.method and r.test = t.test and r.src = e.src and r.dst = e.dst) and t.test > (select min(snapshot) from edges x where x.method = t.method) group by all")
+def l1_new_test_edges(spark, sf_dir):
+    edges, train, _ = _train(spark, sf_dir)
+    tests = edges.withColumnRenamed("snapshot", "test").join(F.broadcast(train.select("method", "test").distinct()), ["method", "test"], "left_semi")
+    pairs = links.labelled_pairs(tests, train.limit(0).withColumnsRenamed({"src": "u", "dst": "v"}), new_only=train)
+    return pairs.groupBy("method", "test").agg(F.count("*").alias("n_new"))
+
+
+@query()
+def m11_topic_words(spark, sf_dir):
+    return topics.TopicModel(k=5, passes=2).fit(doc_tokens(spark, sf_dir), "doc_id").top_words(15)
+
+
+@query("""with timed as (select case when user_id % 37 = 0 then '[deleted]' else cast(user_id as varchar) end as author, concat('k', json_extract_string(props, '$.k')) as community,
+  cast(floor(value) as bigint) - 34 - 1 as s, cast(floor(epoch(ts) / 604800) as bigint) as week, max(epoch(ts)) over () as latest from events),
+lean as (select week, author, community, sum(greatest(s, 0)) * sum((s > 0)::int) - sum(greatest(-s, 0)) * sum((s < 0)::int) as lean from timed
+  where author <> '[deleted]' and (week + 1) * 604800 <= latest - 86400 group by week, author, community)
+select (a.week * 7)::bigint as day, a.community as src, b.community as dst, count(*) as weight from lean a join lean b on a.week = b.week and a.author = b.author and sign(a.lean) = sign(b.lean) and a.community < b.community
+where a.lean <> 0 group by all""")
+def g23_streamed_edges(spark, sf_dir):
+    """The sentiment graph of every closed week, by a stream over the events that stops when it has read all; day counts from 1970."""
+    from ..streaming import interactions as streaming
+
+    events = views.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the stream takes no path of a single file
+    seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    comments = stream.select(
+        F.timestamp_micros(seconds).alias("ts"),
+        F.when(F.col("user_id") % 37 == 0, views.DELETED).otherwise(F.col("user_id").cast("string")).alias("author"),
+        F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("community"),
+        (F.floor("value").cast("long") - 34).alias("score"),
+    )
+    path = scratch(spark, "stream")
+    streaming.append_windows(comments, f"{path}/out", f"{path}/state").awaitTermination()
+    windows = spark.read.schema("snapshot timestamp, author string, community string, sentiment string").parquet(f"{path}/out")
+    return streaming.edges_of_windows(windows).select(F.floor(F.unix_seconds("snapshot") / 86400).cast("long").alias("day"), "src", "dst", "weight")

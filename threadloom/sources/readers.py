@@ -126,3 +126,12 @@ def read_bots(spark: SparkSession, path: str) -> DataFrame:
 def read_list(spark: SparkSession, path: str, name: str = "subreddit") -> DataFrame:
     """One value per line, trimmed, blanks dropped."""
     return spark.read.text(path).select(F.trim("value").alias(name)).filter(F.col(name) != "").distinct()
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str, form: str = "csv") -> DataFrame:
+    """The table of an earlier stage, or an empty one with its schema where the path does not exist."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema)
+    return reader.option("header", True).csv(path) if form == "csv" else reader.format(form).load(path)

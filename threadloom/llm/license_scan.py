@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
+
 THRESHOLD = 0.75
 
 # Notices by which licences are recognised, as (licence, text).
@@ -126,6 +128,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
             found = [[dict(zip(("unit", "first_line", "n_lines", "licence", "dice"), m, strict=True)) for m in index.scan(v.as_py())] for v in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["doc_id", "matches"])
 
+    bound_batches(docs.sparkSession)
     thin = docs.select("doc_id", "text")
     return thin.mapInArrow(run, f"doc_id {thin.schema[0].dataType.simpleString()}, matches array<struct<{MATCHES.replace(' ', ':').replace(',:', ',')}>>")
 

@@ -24,6 +24,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Words longer than this are not kept; the table is emptied at so many characters.
@@ -101,6 +103,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                     names=[id_col, "ids", "decoded"],
                 )
 
+    bound_batches(docs.sparkSession)
     thin = docs.select(docs[id_col], docs[text_col])
     return thin.mapInArrow(run, f"{id_col} {thin.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
 

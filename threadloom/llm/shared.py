@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of an Arrow batch while an operator writes an intermediate table.
-BATCH_BYTES = "8m"
+#: Bytes of an Arrow batch, and Spark's own setting of them.
+BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,16 +34,13 @@ def _own_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.threadloom.local.dir", None) or shared_dir(spark)
 
 
-@contextlib.contextmanager
-def _small_batches(spark: SparkSession):
-    """While tables are written here, what goes to Python at once is held to ``BATCH_BYTES``."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, BATCH_BYTES)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+def bound_batches(spark: SparkSession) -> None:
+    """Hold what goes to Python at once to ``BATCH_BYTES``, unless the session has a size of its own.
+
+    Texts go over whole; buffers of 64 MB on either side of every task would be most of an executor's memory outside its heap.
+    """
+    if spark.conf.get(_BATCH_KEY, None) in (None, _BATCH_DEFAULT):
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
 
 
 class Kept:
@@ -53,8 +49,8 @@ class Kept:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{_own_dir(self.spark)}/threadloom/{name}-{uuid.uuid4().hex}"
-        with _small_batches(self.spark):
-            df.write.parquet(self.path)
+        bound_batches(self.spark)
+        df.write.parquet(self.path)
         self._schema = self.spark.read.parquet(self.path).schema
 
     @property

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
+
 MAX_DOCS, MAX_WINDOWS = 6000, 60_000
 #: N-grams in fewer documents of the sample, or in fewer than one in 400, are left at zero.
 LEAST_DOCS = 4
@@ -178,7 +180,11 @@ def train(examples: Iterable[tuple[str, int]], rounds: int = 3, epochs: int = 2,
     slots, starts = subwords(list(vocabulary))
     del runs, vocabulary
     n_slots = np.maximum(1, np.diff(starts))
-    rare = np.bincount(slots, np.repeat(held, np.diff(starts)), 1 << BITS) < max(LEAST_DOCS, len(sizes) // 400)
+    spread = np.zeros(1 << BITS)
+    for k in range(0, n_words, 20_000):
+        cut = starts[k : k + 20_001]
+        spread += np.bincount(slots[cut[0] : cut[-1]], np.repeat(held[k : k + 20_000], np.diff(cut)), 1 << BITS)
+    rare = spread < max(LEAST_DOCS, len(sizes) // 400)
     n_docs = len(sizes)
     first = np.concatenate([[0], np.cumsum(sizes)])
     begin = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(first[:-1], first[1:], strict=True)])
@@ -274,6 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model |
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score of every whole text, map only; the model has a fixed size."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +295,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -36,10 +36,10 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge table of both methods that the graph queries share."""
+    """The edge table of both methods that the graph queries share, checkpointed: each reads it several times."""
     c = clean(spark, sf_dir)
     both = interactions.labelled(interactions.cocomment_edges(c, 2), "cocomment").unionByName(interactions.labelled(interactions.sentiment_edges(c).filter("weight >= 3"), "sentiment"))
-    return both
+    return cut(both)
 
 
 def backbone_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +326,7 @@ def a15_nmi(spark, sf_dir):
 
 
 def _train(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = cut(graph_edges(spark, sf_dir))  # read by every step that follows
+    edges = graph_edges(spark, sf_dir)
     return edges, cut(E.expanding_train(edges)), edges.groupBy("method", F.col("snapshot").alias("test")).agg(F.count("*").alias("n"))
 
 
@@ -408,7 +408,7 @@ def l13_logreg_scores(spark, sf_dir):
 @query()
 def l14_experiment_sweep(spark, sf_dir):
     """threshold, sampler, method, test and all ranking metrics of both scorers; thresholds are part of the method key."""
-    base = cut(graph_edges(spark, sf_dir))
+    base = graph_edges(spark, sf_dir)
     swept = [E.heavier(base, t).withColumn("method", F.concat_ws("|", "method", F.lit(str(t)))) for t in (3, 5)]
     edges = swept[0].unionByName(swept[1])
     train = cut(E.expanding_train(edges))

@@ -188,13 +188,18 @@ def taken_words(mixed: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns.
 
-    Rows that share doc_id and size are matched with their decisions by number.
+    Texts are shuffled once and not sorted: the decisions are the hashed side.
+    Rows that share doc_id and size, if there are any, are matched with their decisions by number.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id")
     left = docs.select(F.struct(*docs.columns).alias("row"), named("doc_id"), size.alias("size"))
-    left = left.withColumn("turn", F.row_number().over(Window.partitionBy("id", "size").orderBy(F.lit(0))))
-    right = mixed.groupBy(named("doc_id"), "size").agg(F.sort_array(F.collect_list("copies")).alias("each"))
-    times = F.element_at("each", F.col("turn"))
-    joined = left.join(right, ["id", "size"]).filter(times > 0)
-    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("time")).select("row.*")
+    each = keep(mixed.groupBy(named("doc_id"), "size").agg(F.sort_array(F.collect_list("copies")).alias("each")), "copies")
+    single = each.filter(F.size("each") == 1).select("id", "size", F.col("each")[0].alias("times")).filter("times > 0")
+    out = left.join(single.hint("shuffle_hash"), ["id", "size"]).select("row", "times")
+    repeated = each.filter(F.size("each") > 1)
+    if not repeated.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("id", "size").orderBy(F.lit(0)))
+        rows = left.join(repeated.hint("shuffle_hash"), ["id", "size"]).withColumn("turn", turn)
+        out = out.unionByName(rows.select("row", F.element_at("each", F.col("turn")).alias("times")).filter("times > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time")).select("row.*")

@@ -275,8 +275,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """One document of each group; repeated rows go too, rows with a null doc_id stay."""
+    """One document of each group; repeated rows go too, rows with a null doc_id stay.
+
+    Texts are not sorted: the ids that go are the hashed side, and only rows that are repeated, if any, are numbered.
+    """
     gone = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id")
-    again = F.row_number().over(Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy(F.lit(0)))
-    left = docs.join(gone, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"))
-    return left.select("row", again.alias("again")).filter("again = 1").select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("of"))
+    left = rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    again = Kept(docs.groupBy("doc_id", F.xxhash64("text").alias("of")).agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("id"), F.col("of").alias("hash")), "repeated")
+    if again.df.isEmpty():
+        return left.select("row.*")
+    same = (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("of") == F.col("hash"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "of").orderBy(F.lit(0)))
+    first = left.join(again.df, same, "left_semi").withColumn("turn", turn).filter("turn = 1")
+    return left.join(again.df, same, "left_anti").select("row").unionByName(first.select("row")).select("row.*")

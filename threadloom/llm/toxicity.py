@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches
 
-MAX_DOCS, MAX_WINDOWS = 6000, 60_000
+MAX_DOCS, MAX_WINDOWS = 5000, 60_000
 #: N-grams in fewer documents of the sample, or in fewer than one in 400, are left at zero.
 LEAST_DOCS = 4
 #: The logit from which a window counts as toxic in the last round.

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import blank
 from .text import SPACE, body
 
-TRUNCATION = 128
 POSITIVE = ("good", "great", "love", "excellent", "happy", "best", "thanks", "agree", "nice", "right")
 NEGATIVE = ("bad", "terrible", "hate", "awful", "sad", "worst", "wrong", "angry", "poor", "fail")
 #: A scorer makes one row of class logits per text; ``labels`` names the columns.
@@ -21,8 +20,8 @@ CODES = {"negative": -1, "neutral": 0, "positive": 1, "LABEL_0": -1, "LABEL_1":
 
 
 def lexicon_sentiment(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
-    """-1, 0 or 1 by the words among the first ``TRUNCATION``; null for blank texts. Runs inside the JVM."""
-    words = F.slice(F.filter(F.split(F.lower(text), SPACE), lambda t: t != ""), 1, TRUNCATION)
+    """-1, 0 or 1 by all words of a text; null for blank texts. Runs inside the JVM."""
+    words = F.filter(F.split(F.lower(text), SPACE), lambda t: t != "")
     count = lambda lexicon: F.size(F.filter(words, lambda t: F.array_contains(F.array(*(F.lit(w) for w in lexicon)), t)))
     return F.when(~blank(text), F.signum(count(positive) - count(negative)).cast("int"))
 
@@ -35,7 +34,10 @@ def codes_of(logits: np.ndarray, labels: Sequence[str]) -> np.ndarray:
 
 
 def model_sentiment(make: Callable[[], Scorer], labels: Sequence[str] = ("negative", "neutral", "positive"), batch: int = 64) -> Callable[[Column], Column]:
-    """A column function around a scorer, made once per task; a failing batch leaves its own texts null only."""
+    """A column function around a scorer, made once per task; a failing batch leaves its own texts null only.
+
+    Texts are handed over whole; a scorer with a token limit truncates or pools by its own tokenizer.
+    """
 
     @F.pandas_udf("int")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -46,7 +48,7 @@ def model_sentiment(make: Callable[[], Scorer], labels: Sequence[str] = ("negati
             for at in range(0, len(live), batch):
                 rows = live[at : at + batch]
                 try:
-                    out.iloc[rows] = codes_of(scorer([" ".join(t.split()[:TRUNCATION]) for t in texts.iloc[rows]]), labels)
+                    out.iloc[rows] = codes_of(scorer(texts.iloc[rows].tolist()), labels)
                 except Exception:  # noqa: BLE001  a scorer may fail in any way; its batch stays null
                     continue
             yield out

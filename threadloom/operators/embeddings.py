@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine
+from ..functions.lineage import cut
+from . import links, ranking
 from .edges import GRAPH
 from .graphs import Graph, _schema, _sources
 
@@ -57,3 +59,25 @@ def pair_cosine(pairs: DataFrame, vectors: DataFrame, name: str = "score") -> Da
     """Cosine of u's and v's vectors, 0 where either has none."""
     a, b = (vectors.select(F.col("node").alias(c), F.col("vector").alias(f"_{c}")) for c in "uv")
     return pairs.join(a, "u", "left").join(b, "v", "left").select(*pairs.columns, cosine(F.col("_u"), F.col("_v")).alias(name))
+
+
+def temporal_evaluation(train: DataFrame, tests: DataFrame, wanted: DataFrame, samplers: Sequence[str] = ("uniform", "distance2"), keys: Sequence[str] = links.KEYS, **walking: int) -> DataFrame:
+    """keys, sampler and ranking metrics of every train graph under ``keys``, each embedded by its own walks.
+
+    One skip-gram model is fitted per train graph, in turn; its vectors score the pairs of all samplers.
+    """
+    keys = list(keys)
+    walks = cut(random_walks(train, keys=keys, **walking))
+    negatives = {name: cut(links.SAMPLERS[name](train, wanted)) for name in samplers}
+    scored = None
+    for fold in sorted(train.select(*keys).distinct().collect()):
+        same = F.lit(True)
+        for k in keys:
+            same &= F.col(k) == fold[k]
+        one = lambda d, same=same: d.filter(same)
+        vectors = embed(one(walks))
+        for name, pairs in negatives.items():
+            rows = links.labelled_pairs(one(tests), one(pairs), keys).withColumn("sampler", F.lit(name))
+            part = pair_cosine(rows, vectors)
+            scored = part if scored is None else scored.unionByName(part)
+    return ranking.evaluate(cut(scored), [*keys, "sampler"])

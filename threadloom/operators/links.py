@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -97,19 +98,73 @@ def labelled_pairs(tests: DataFrame, negatives: DataFrame, keys: Sequence[str] =
     return yes.unionByName(negatives.select(*keys, "u", "v", F.lit(0).alias("label")))
 
 
-def logistic_scores(train_rows: DataFrame, rows: DataFrame, columns: Sequence[str] = ("cn", "jaccard", "aa", "pa"), c: float = 1.0, rounds: int = 100) -> DataFrame:
-    """Probability of label 1 by L2 logistic regression over unscaled features; column ``score``.
+def training_rows(train: DataFrame, seed: int = 43, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Labelled pairs with features to fit on: every train edge, and as many uniform negatives of the same train graph.
 
-    The rows are checkpointed: every iteration of the fit reads them.
+    The seed is not that of the samplers' default, so the pairs tested are not drawn in the same order.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    parts = VectorAssembler(inputCols=list(columns), outputCol="features")
-    same = rows is train_rows
-    train_rows = cut(train_rows.coalesce(max(1, train_rows.sparkSession.sparkContext.defaultParallelism)))
-    rows = train_rows if same else rows
-    n = max(1, train_rows.count())
-    fit = LogisticRegression(maxIter=rounds, regParam=1 / (c * n), standardization=False, labelCol="label").fit(parts.transform(train_rows))
-    return fit.transform(parts.transform(rows)).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
+    wanted = train.groupBy(*keys).agg(F.count("*").alias("n"))
+    return features(labelled_pairs(train, uniform(train, wanted, seed, keys), keys), train, keys)
+
+
+def logistic_scores(train_rows: DataFrame, rows: DataFrame, keys: Sequence[str] = KEYS, columns: Sequence[str] = ("cn", "jaccard", "aa", "pa"), c: float = 1.0, rounds: int = 100) -> DataFrame:
+    """Probability of label 1 by L2 logistic regression over unscaled features, one model per ``keys``; column ``score``.
+
+    Newton steps with halving: a round is one aggregation for the models of all keys, solved on the driver, which
+    holds a few numbers per key. The rows to fit on are checkpointed. A key whose rows have one label only scores that label.
+    """
+    keys, size = list(keys), len(columns) + 1
+    spark = train_rows.sparkSession
+    train_rows = cut(train_rows)
+    kinds = dict(train_rows.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "w array<double>"])
+    stats = train_rows.groupBy(*keys).agg(F.avg("label").alias("y"), F.count("*").alias("n"), *(F.max(F.abs(x)).cast("double").alias(f"top_{x}") for x in columns)).collect()
+    key = lambda r: tuple(r[k] for k in keys)
+    fixed = {key(r): float(r["y"]) for r in stats if r["y"] in (0, 1)}
+    # Columns are divided by their greatest value for the arithmetic only; the penalty is on the weights of the unscaled ones.
+    scale = {key(r): np.array([r[f"top_{x}"] or 1.0 for x in columns] + [1.0]) for r in stats if r["y"] not in (0, 1)}
+    penalty = {k: np.append(1 / (c * v[:-1] ** 2), 0.0) for k, v in scale.items()}
+    at = {k: np.zeros(size) for k in scale}
+    best: dict[tuple, tuple] = {}
+    live = set(scale)
+    x = [F.col(n).cast("double") for n in columns] + [F.lit(1.0)]
+
+    def table(w: dict[tuple, np.ndarray]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(*k, [float(z) for z in v]) for k, v in w.items()], schema))
+
+    def margin() -> Column:
+        return sum((v * F.col("w")[i] for i, v in enumerate(x)), F.lit(0.0))
+
+    chance = lambda m: 1 / (1 + F.exp(-m))
+    corner = [(i, j) for i in range(size) for j in range(i, size)]
+    for _ in range(rounds):
+        if not live:
+            break
+        m = train_rows.join(table({k: at[k] / scale[k] for k in live}), keys).withColumn("m", margin()).withColumn("p", chance(F.col("m")))
+        loss = F.sum(F.greatest("m", F.lit(0.0)) + F.log1p(F.exp(-F.abs("m"))) - F.col("label") * F.col("m")).alias("loss")
+        slope = [F.sum((F.col("p") - F.col("label")) * x[i]).alias(f"g{i}") for i in range(size)]
+        bend = [F.sum(F.col("p") * (1 - F.col("p")) * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in corner]
+        for r in m.groupBy(*keys).agg(loss, *slope, *bend).collect():
+            k = key(r)
+            total = r["loss"] + 0.5 * float(penalty[k] @ at[k] ** 2)
+            if k in best and not total <= best[k][0] + 1e-12 * abs(best[k][0]):
+                _, start, step = best[k]
+                best[k] = (best[k][0], start, step / 2)
+                at[k] = start + step / 2
+                if np.abs(step).max() < 1e-10:
+                    at[k] = start
+                    live.discard(k)
+                continue
+            g = np.array([r[f"g{i}"] for i in range(size)]) / scale[k] + penalty[k] * at[k]
+            h = np.diag(penalty[k])
+            for i, j in corner:
+                h[i, j] += r[f"h{i}_{j}"] / (scale[k][i] * scale[k][j])
+                h[j, i] = h[i, j]
+            step = -np.linalg.lstsq(h, g, rcond=None)[0]
+            best[k] = (total, at[k], step)
+            if np.abs(g).max() < 1e-6 or np.abs(step).max() < 1e-10:
+                live.discard(k)
+            else:
+                at[k] = at[k] + step
+    weights = {k: (best[k][1] if k in live else at[k]) / scale[k] for k in scale} | {k: np.array([0.0] * (size - 1) + [np.inf if y else -np.inf]) for k, y in fixed.items()}
+    return rows.join(table(weights), keys, "left").withColumn("score", chance(margin())).select(*rows.columns, "score")

@@ -353,12 +353,15 @@ def l4_hard_negatives(spark, sf_dir):
     return links.hard(train, wanted)
 
 
-def scored_pairs(spark, sf_dir) -> DataFrame:
-    edges, train, wanted = _train(spark, sf_dir)
+def _scored(edges: DataFrame, train: DataFrame, wanted: DataFrame) -> DataFrame:
     tests = edges.withColumnRenamed("snapshot", "test").join(F.broadcast(train.select("method", "test").distinct()), ["method", "test"], "left_semi")
     return links.features(links.labelled_pairs(tests, links.uniform(train, wanted)), train)
 
 
+def scored_pairs(spark, sf_dir) -> DataFrame:
+    return _scored(*_train(spark, sf_dir))
+
+
 @query("select method, test, u, v, label, cn from featured")
 def l5_common_neighbours(spark, sf_dir):
     return scored_pairs(spark, sf_dir).select("method", "test", "u", "v", "label", "cn")
@@ -401,16 +404,17 @@ def l11_precision_recall_at_k(spark, sf_dir):
 
 @query()
 def l13_logreg_scores(spark, sf_dir):
-    rows = scored_pairs(spark, sf_dir)
-    return links.logistic_scores(rows, rows).select("method", "test", "u", "v", "label", "score")
+    edges, train, wanted = _train(spark, sf_dir)
+    rows = _scored(edges, train, wanted)
+    return links.logistic_scores(links.training_rows(train), rows).select("method", "test", "u", "v", "label", "score")
 
 
 @query()
 def l14_experiment_sweep(spark, sf_dir):
     """threshold, sampler, method, test and all ranking metrics of both scorers; thresholds are part of the method key."""
     base = graph_edges(spark, sf_dir)
-    swept = [E.heavier(base, t).withColumn("method", F.concat_ws("|", "method", F.lit(str(t)))) for t in (3, 5)]
-    edges = swept[0].unionByName(swept[1])
+    swept = [E.heavier(base, t).withColumn("method", F.concat_ws("|", "method", F.lit(str(t)))) for t in (5, 10, 20)]
+    edges = swept[0].unionByName(swept[1]).unionByName(swept[2])
     train = cut(E.expanding_train(edges))
     wanted = edges.groupBy("method", F.col("snapshot").alias("test")).agg(F.count("*").alias("n"))
     tests = edges.withColumnRenamed("snapshot", "test").join(F.broadcast(train.select("method", "test").distinct()), ["method", "test"], "left_semi")
@@ -420,7 +424,7 @@ def l14_experiment_sweep(spark, sf_dir):
         keyed = rows if keyed is None else keyed.unionByName(rows)
     rows = cut(links.features(keyed, train))
     scored = rows.withColumn("scorer", F.lit("cn")).withColumn("score", F.col("cn").cast("double"))
-    fitted = links.logistic_scores(rows, rows).withColumn("scorer", F.lit("logreg"))
+    fitted = links.logistic_scores(links.training_rows(train), rows).withColumn("scorer", F.lit("logreg"))
     return ranking.evaluate(scored.unionByName(fitted.select(*scored.columns)), ["method", "test", "sampler", "scorer"])
 
 

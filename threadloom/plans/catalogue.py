@@ -535,12 +535,12 @@ def m15_direct_sentiment(spark, sf_dir):
 @query()
 def m1_lda_topics(spark, sf_dir):
     docs = doc_tokens(spark, sf_dir)
-    return topics.TopicModel(k=10, passes=2).fit(docs, "doc_id").assign(docs, "doc_id")
+    return topics.TopicModel().fit(docs, "doc_id").assign(docs, "doc_id")
 
 
 @query()
 def m5_seeded_topics(spark, sf_dir):
-    return topics.seeded_topics(views.table(spark, sf_dir, "documents"), "doc_id", passes=2)
+    return topics.seeded_topics(views.table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query()
@@ -550,7 +550,7 @@ def m8_guided_topics(spark, sf_dir):
 
 
 def _model() -> topics.TopicModel:
-    return topics.TopicModel(k=5, passes=2)
+    return topics.TopicModel()
 
 
 @query()
@@ -674,7 +674,7 @@ def l1_new_test_edges(spark, sf_dir):
 
 @query()
 def m11_topic_words(spark, sf_dir):
-    return topics.TopicModel(k=5, passes=2).fit(doc_tokens(spark, sf_dir), "doc_id").top_words(15)
+    return topics.TopicModel().fit(doc_tokens(spark, sf_dir), "doc_id").top_words(15)
 
 
 @query("""with timed as (select case when user_id % 37 = 0 then '[deleted]' else cast(user_id as varchar) end as author, concat('k', json_extract_string(props, '$.k')) as community,

@@ -684,19 +684,23 @@ lean as (select week, author, community, sum(greatest(s, 0)) * sum((s > 0)::int)
 select (a.week * 7)::bigint as day, a.community as src, b.community as dst, count(*) as weight from lean a join lean b on a.week = b.week and a.author = b.author and sign(a.lean) = sign(b.lean) and a.community < b.community
 where a.lean <> 0 group by all""")
 def g23_streamed_edges(spark, sf_dir):
-    """The sentiment graph of every closed week, by a stream over the events that stops when it has read all; day counts from 1970."""
+    """The sentiment graph of every week, by a stream over the events that stops when it has read all; day counts from 1970.
+
+    The stream appends the weeks that its watermark closes; those still open at the end of the table are computed in batch.
+    """
     from ..streaming import interactions as streaming
 
     events = views.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the stream takes no path of a single file
     seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    comments = stream.select(
+    columns = (
         F.timestamp_micros(seconds).alias("ts"),
         F.when(F.col("user_id") % 37 == 0, views.DELETED).otherwise(F.col("user_id").cast("string")).alias("author"),
         F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("community"),
         (F.floor("value").cast("long") - 34).alias("score"),
     )
     path = scratch(spark, "stream")
-    streaming.append_windows(comments, f"{path}/out", f"{path}/state").awaitTermination()
+    streaming.append_windows(stream.select(*columns), f"{path}/out", f"{path}/state").awaitTermination()
     windows = spark.read.schema("snapshot timestamp, author string, community string, sentiment string").parquet(f"{path}/out")
+    windows = streaming.with_open_windows(windows, events.select(*columns))
     return streaming.edges_of_windows(windows).select(F.floor(F.unix_seconds("snapshot") / 86400).cast("long").alias("day"), "src", "dst", "weight")

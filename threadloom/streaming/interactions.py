@@ -36,6 +36,12 @@ def append_windows(stream: DataFrame, path: str, checkpoint: str, window: str =
     return rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def with_open_windows(rows: DataFrame, comments: DataFrame, window: str = "7 days", late: str = "1 day") -> DataFrame:
+    """The appended windows and, from the finite table ``comments``, those that the watermark never closed."""
+    whole = windowed_sentiment(comments, window, late).filter("sentiment <> 'Neutral'")
+    return rows.unionByName(whole.join(rows.select("snapshot").distinct(), "snapshot", "left_anti").select(*rows.columns))
+
+
 def edges_of_windows(rows: DataFrame) -> DataFrame:
     """snapshot, src, dst, weight of the appended windows."""
     return pair_up(rows, ["snapshot", "author", "sentiment"])

@@ -28,8 +28,8 @@ def average_precision(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def at_k(rows: DataFrame, keys: Sequence[str], ks: Sequence[int] = (50, 100)) -> DataFrame:
-    """Precision and recall among the k highest scores, ties by u and v; k is at most the number of rows."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "u", "v"))
+    """Precision and recall among the k highest scores, ties by u, v and label (a sampled negative may also be a test edge); k is at most the number of rows."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "u", "v", "label"))
     placed = rows.withColumn("place", place)
     sums = [F.sum(F.when(F.col("place") <= k, F.col("label")).otherwise(0)).alias(f"hit_{k}") for k in ks]
     total = placed.groupBy(*keys).agg(*sums, F.sum("label").alias("pos"), F.count("*").alias("rows"))

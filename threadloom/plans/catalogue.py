@@ -397,7 +397,7 @@ def l10_average_precision(spark, sf_dir):
 
 
 @query("""select method, test, """ + ", ".join(f"round(sum(label) filter (place <= {k}) / least({k}, count(*)), 6)::double as p_at_{k}, round(coalesce(sum(label) filter (place <= {k}) / nullif(sum(label), 0), 0), 6)::double as r_at_{k}" for k in (50, 100)) + """
-from (select *, row_number() over (partition by method, test order by cn desc, u, v) as place from featured) group by method, test""")
+from (select *, row_number() over (partition by method, test order by cn desc, u, v, label) as place from featured) group by method, test""")
 def l11_precision_recall_at_k(spark, sf_dir):
     return ranking.at_k(_ranked(spark, sf_dir), links.KEYS)
 
@@ -524,7 +524,7 @@ def _lexicon_score(column):
 
 def _count_sql(words: tuple[str, ...]) -> str:
     listed = ", ".join(f"'{w}'" for w in words)
-    return f"len(list_filter(list_filter(string_split_regex(lower(body_cleaned), '{text.SPACE}'), lambda t: t <> '')[1:128], lambda t: list_contains([{listed}], t)))"
+    return f"len(list_filter(list_filter(string_split_regex(lower(body_cleaned), '{text.SPACE}'), lambda t: t <> ''), lambda t: list_contains([{listed}], t)))"
 
 
 @query(f"""select id, link_id, author, case when body_cleaned is not null and not {_BLANK} then sign({_count_sql(LEXICON[0])}::bigint - {_count_sql(LEXICON[1])}::bigint)::integer end as sentiment, body_cleaned from threads""")
@@ -678,9 +678,9 @@ def m11_topic_words(spark, sf_dir):
 
 
 @query("""with timed as (select case when user_id % 37 = 0 then '[deleted]' else cast(user_id as varchar) end as author, concat('k', json_extract_string(props, '$.k')) as community,
-  cast(floor(value) as bigint) - 34 - 1 as s, cast(floor(epoch(ts) / 604800) as bigint) as week, max(epoch(ts)) over () as latest from events),
+  cast(floor(value) as bigint) - 34 - 1 as s, cast(floor(epoch(ts) / 604800) as bigint) as week from events),
 lean as (select week, author, community, sum(greatest(s, 0)) * sum((s > 0)::int) - sum(greatest(-s, 0)) * sum((s < 0)::int) as lean from timed
-  where author <> '[deleted]' and (week + 1) * 604800 <= latest - 86400 group by week, author, community)
+  where author <> '[deleted]' group by week, author, community)
 select (a.week * 7)::bigint as day, a.community as src, b.community as dst, count(*) as weight from lean a join lean b on a.week = b.week and a.author = b.author and sign(a.lean) = sign(b.lean) and a.community < b.community
 where a.lean <> 0 group by all""")
 def g23_streamed_edges(spark, sf_dir):

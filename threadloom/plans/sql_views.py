@@ -19,13 +19,11 @@ VIEWS: dict[str, str] = {
   when sum_pos_scores * num_pos < sum_neg_scores * num_neg then 'Negative' else 'Neutral' end as sentiment from leaning""",
     "g22": """select a.snapshot, a.community as src, b.community as dst, count(*) as weight from activity a join activity b
   on a.snapshot = b.snapshot and a.author = b.author and a.community < b.community group by all""",
-    "g22_two": """select a.snapshot, a.community as src, b.community as dst, count(*) as weight from activity a join activity b
-  on a.snapshot = b.snapshot and a.author = b.author and a.community < b.community where a.n >= 2 and b.n >= 2 group by all""",
     "g23": """select a.snapshot, a.community as src, b.community as dst, count(*) as weight from summary a join summary b
   on a.snapshot = b.snapshot and a.author = b.author and a.sentiment = b.sentiment and a.community < b.community
   where a.sentiment <> 'Neutral' group by all""",
-    "edges": """select 'cocomment' as method, snapshot, src, dst, weight::double as weight from g22_two
-  union all select 'sentiment', snapshot, src, dst, weight::double from g23 where weight >= 3""",
+    "edges": """select 'cocomment' as method, snapshot, src, dst, weight::double as weight from g22
+  union all select 'sentiment', snapshot, src, dst, weight::double from g23""",
     "bought": """select distinct o_custkey as author, p_brand as node, cast(year(o_orderdate) as bigint) as yr
   from orders join lineitem on o_orderkey = l_orderkey join part on p_partkey = l_partkey""",
     "networks": """select yr, node_1, node_2, weighted, case when rank() over (partition by yr order by weighted desc) <= 40 then 1 else 0 end as unweighted

@@ -27,6 +27,12 @@ def test_library_lives_without_llm(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
+def test_library_lives_where_llm_cannot_be_imported(tmp_path):
+    (tmp_path / "zstandard.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'g23_sentiment_edges' in q and not [n for n in q if n.startswith('op')]; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}"})
+
+
 def test_nothing_else_imports_llm():
     for path in (ROOT / "threadloom").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT / "threadloom").parts:

@@ -39,6 +39,12 @@ def both_ways(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
     return edges.select(*keys, ends.alias("e"), "weight").select(*keys, "e.u", "e.v", "weight")
 
 
+def weights(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
+    """src, dst and weight of every edge, 1 where it has none."""
+    given = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
+    return edges.select(*keys, "src", "dst", given.alias("weight"))
+
+
 def nodes(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
     return edges.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
 

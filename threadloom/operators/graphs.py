@@ -353,8 +353,24 @@ def communities(near: list[dict[int, float]], seed: int) -> list[int]:
 
 def weight_summary(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
     """Least, quartiles, median and greatest edge weight."""
-    q = F.percentile("weight", F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return edges.groupBy(*keys).agg(q.alias("q")).select(*keys, *(F.round(F.col("q")[k], 6).alias(name) for k, name in enumerate(("least", "q1", "median_weight", "q3", "most"))))
+    per = edges.groupBy(*keys, "weight").agg(F.count("*").alias("c"))  # weights are counts: few distinct ones, each with its frequency
+    q = F.percentile("weight", F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))), F.col("c"))
+    return per.groupBy(*keys).agg(q.alias("q")).select(*keys, *(F.round(F.col("q")[k], 6).alias(name) for k, name in enumerate(("least", "q1", "median_weight", "q3", "most"))))
+
+
+def weight_density(edges: DataFrame, least: float, most: float, points: int, keys: Sequence[str] = GRAPH) -> DataFrame:
+    """x, density: a Gaussian kernel estimate of the weights at evenly spaced points, its width by Scott's rule.
+
+    Equal weights are counted first, so a point meets each distinct weight once. Graphs whose weights are all equal have no row.
+    """
+    per = edges.groupBy(*keys, F.col("weight").cast("double").alias("w")).agg(F.count("*").alias("c"))
+    size = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp("weight").alias("sd")).filter("sd > 0")
+    step = (most - least) / max(1, points - 1)
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.lit(float(least)) + k * F.lit(step))).alias("x")
+    width = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    z = (F.col("x") - F.col("w")) / width
+    term = F.col("c") * F.exp(-z * z / 2) / (F.col("n") * width * F.lit((2 * np.pi) ** 0.5))
+    return per.join(size, list(keys)).select("*", at).groupBy(*keys, "x").agg(F.round(F.sum(term), 6).alias("density"))
 
 
 def box(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

@@ -29,11 +29,11 @@ SEED_TOPICS: list[list[str]] = [
 ]
 
 
-def stopwords() -> list[str]:
-    """The stop words that Spark ships for English."""
+def stopwords(more: Sequence[str] = ()) -> list[str]:
+    """The stop words that Spark ships for English, and a corpus's own."""
     from pyspark.ml.feature import StopWordsRemover
 
-    return sorted(StopWordsRemover.loadDefaultStopWords("english"))
+    return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *more})
 
 
 class TopicModel:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import category_colour, cosine, jaccard
@@ -12,23 +10,8 @@ from ..functions.lineage import cut, scratch
 from ..operators import edges as E
 from ..operators import embeddings, graphs, interactions, links, quality, ranking, sentiment, temporal, text, topics
 from ..sources import readers, views
-from .sql_views import with_views
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = with_views(sql)
-        return f
-
-    return put
+from . import round_trips  # noqa: F401  its queries are registered too
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -577,8 +560,6 @@ def m16_topics_and_sentiment(spark, sf_dir):
 def f8_seed_jaccard(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents").filter("text is not null")
     counts = d.select("lang", F.explode(F.split(F.lower("text"), " ")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "term"))
     top = counts.withColumn("place", place).filter("place <= 15").groupBy("lang").agg(F.collect_set("term").alias("w"))
     return top.select("lang", F.round(jaccard(F.col("w"), F.array(*(F.lit(x) for x in ("the", "der", "les", "los")))), 6).alias("jaccard"))

@@ -1,14 +1,15 @@
 """Readers: comments, edge tables, yearly networks, metadata and lists, from JSON lines, CSV and text.
 
-Months and years come from file names, so one read covers many files. Codecs
-follow the extension; bz2 files are splittable.
+Months and years come from the name of a file or of the folder that Spark wrote it into, so one read
+covers many files. Codecs follow the extension; bz2 files are splittable. Where the last of repeated
+records counts, order is that of file names and of positions in the files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import from_file_name
@@ -17,8 +18,14 @@ COMMENT_SCHEMA = "id string, author string, subreddit string, subreddit_id strin
 MONTH, YEAR = r"(\d{4}-\d{2})", r"(\d{4})"
 
 
-def _file_name():
-    return F.col("_metadata.file_name")
+def _file_name() -> Column:
+    """The file's name after that of its folder."""
+    return F.regexp_extract(F.col("_metadata.file_path"), "[^/]*/[^/]*$", 0)
+
+
+def _position() -> Column:
+    """Grows along the records of a file, and with file names; to be taken in the select that follows the scan."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
 
 
 def read_comments(spark: SparkSession, path: str | Sequence[str], start: str | None = None, end: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -59,16 +66,16 @@ def read_edges(spark: SparkSession, path: str, node_1: str = "node_1", node_2: s
     """src, dst, weight of an edge file.
 
     Weighted: positive weights only. Unweighted: flag 1 only, with the weight where it is positive.
-    Of repeated pairs the greatest weight stays.
+    Of repeated pairs the last weight stays.
     """
-    rows = spark.read.option("header", True).csv(path)
+    rows = spark.read.option("header", True).csv(path).withColumn("_at", _position())
     weight = F.expr("try_cast(weighted as double)")
     pair = [F.col(node_1).alias("src"), F.col(node_2).alias("dst")]
     if use_weights:
-        kept = rows.filter(weight > 0).select(*pair, weight.alias("weight"))
+        kept = rows.filter(weight > 0).select(*pair, weight.alias("weight"), "_at")
     else:
-        kept = rows.filter(F.expr("try_cast(try_cast(unweighted as double) as int) = 1")).select(*pair, F.when(weight > 0, weight).alias("weight"))
-    return kept.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
+        kept = rows.filter(F.expr("try_cast(try_cast(unweighted as double) as int) = 1")).select(*pair, F.when(weight > 0, weight).alias("weight"), "_at")
+    return kept.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max_by("weight", "_at").alias("weight"))
 
 
 def network_view(rows: DataFrame, view: str = "weighted", na_weight: float = 0.0, directed: bool = False) -> DataFrame:
@@ -98,17 +105,25 @@ def read_snapshots(spark: SparkSession, path: str, method: str) -> DataFrame:
     return rows.select(F.lit(method).alias("method"), from_file_name(_file_name(), MONTH).alias("snapshot"), F.col("subreddit_a").alias("src"), F.col("subreddit_b").alias("dst"), F.floor("weight").cast("double").alias("weight"))
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Well-formed lines of a JSON-lines file."""
+def read_json_lines(spark: SparkSession, path: str, schema: str, at: str | None = None) -> DataFrame:
+    """Well-formed lines of a JSON-lines file; ``at`` names a column for their positions."""
     rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    if at is not None:
+        rows = rows.withColumn(at, _position())
     return rows.filter("_bad is null").drop("_bad")
 
 
+def count_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """One row with the number of lines of text files of any codec; nothing is parsed."""
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    return reader.text(path).agg(F.count("*").alias("n_lines"))
+
+
 def read_labels(spark: SparkSession, path: str, label: str) -> DataFrame:
-    """node, label where the label is present and not empty, zero or false; of repeats the greatest."""
-    rows = read_json_lines(spark, path, f"subreddit string, {label} string")
+    """node, label where the label is present and not empty, zero or false; of repeats the last."""
+    rows = read_json_lines(spark, path, f"subreddit string, {label} string", at="_at")
     truthy = F.col(label).isNotNull() & ~F.col(label).isin("", "0", "0.0", "false")
-    return rows.filter(F.col("subreddit").isNotNull() & truthy).groupBy(F.col("subreddit").alias("node")).agg(F.max(label).alias("label"))
+    return rows.filter(F.col("subreddit").isNotNull() & truthy).groupBy(F.col("subreddit").alias("node")).agg(F.max_by(label, "_at").alias("label"))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,11 @@
 """A corpus from raw documents to token ids: toxic texts go, one of each group of near copies
-stays, sources are mixed to their targets, and the mix is encoded."""
+stays, sources are mixed to their targets, and the mix is encoded.
+
+Defined cases, each by the operator of the stage (see its docstring): null and empty texts are judged like others,
+are near copies of nothing and weigh no words in the mix; rows with a null doc_id take part, and one of each of
+their texts stays; repeated rows count once; without labels nothing is toxic; very long texts are read whole;
+other columns are carried along until the last stage, whatever their names; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

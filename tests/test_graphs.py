@@ -7,6 +7,7 @@ import pytest
 from threadloom.operators import edges as E
 from threadloom.operators import graphs, interactions, links, quality, ranking, temporal
 
+# The hand-checked graph, labels and clusters described in FIXTURES.md.
 NETWORK = [("subA", "subB", 5.0), ("subB", "subC", 10.0), ("subC", "subD", 3.0), ("subD", "subE", 2.0), ("subE", "subF", 7.0), ("subG", "subH", 4.0)]
 PARTY = {"subA": "dem", "subB": "dem", "subF": "dem", "subC": "rep", "subD": "rep", "subE": "rep", "subG": "neutral", "subH": "neutral", "subNonExistent": "dem"}
 CLUSTER = {"subA": 0, "subB": 0, "subE": 0, "subC": 1, "subD": 1, "subF": 1, "subG": 2, "subH": 2, "subMissing": 0}
@@ -60,6 +61,26 @@ def test_components_and_paths(spark):
     assert rows["subC"]["betweenness"] == pytest.approx(12 / (7 * 6), abs=1e-6)
 
 
+def test_components_by_labels_equal_those_by_tasks(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"n{rng.randrange(80):02}", f"n{rng.randrange(80):02}", 1.0) for _ in range(70)]
+    g = graph(spark, [r for r in rows if r[0] != r[1]]).unionByName(graph(spark, NETWORK, snapshot=1))
+    one, many = (sorted(map(tuple, graphs.components(g, one_task=n).collect())) for n in (10**6, 0))
+    assert one == many and len({r[3] for r in one}) > 3
+
+
+def test_sources_dealt_to_tasks_give_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    g = graph(spark, [(f"n{a:02}", f"n{b:02}", float(rng.randint(1, 5))) for a in range(30) for b in range(a) if rng.random() < 0.15])
+    whole = {r["node"]: r for r in graphs.distance_metrics(g).collect()}
+    monkeypatch.setattr(graphs, "SOURCES_PER_TASK", 4)
+    assert {r["node"]: r for r in graphs.distance_metrics(g).collect()} == whole
+
+
 def test_path_counts_split_over_equal_paths(spark):
     square = graph(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "d", 1.0)])
     assert {r["betweenness"] for r in graphs.distance_metrics(square).collect()} == {round(1 / 6, 6)}
@@ -123,6 +144,41 @@ def test_features_of_missing_nodes_and_samplers(spark):
         assert [(r["u"], r["v"]) for r in sampler(train, 10).collect()] == [("a", "c")]
 
 
+def test_uniform_negatives_are_good_distinct_and_as_many_as_asked(spark):
+    import random
+
+    rng = random.Random(7)
+    made = {}
+    for key, n, share in (("even", 24, 0.2), ("odd", 25, 0.6), ("two", 2, 1.0), ("dense", 12, 0.95)):
+        names = [f"{key}{k}" for k in range(n)]
+        made[key] = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < share] or [(names[0], names[1])]
+    train = spark.createDataFrame([(key, 1, *sorted(p), 1.0) for key, pairs in made.items() for p in pairs], "method string, test long, src string, dst string, weight double")
+    for n in (1, 10, 400):
+        for name, sampler in links.SAMPLERS.items():
+            got = [(r["method"], r["u"], r["v"]) for r in sampler(train, n).collect()]
+            assert len(set(got)) == len(got), name
+            for key, pairs in made.items():
+                nodes = sorted({x for p in pairs for x in p})
+                near = {x: {y for p in pairs if x in p for y in p if y != x} for x in nodes}
+                free = {(u, v) for i, u in enumerate(nodes) for v in nodes[i + 1 :] if v not in near[u]}
+                mine = [(u, v) for k, u, v in got if k == key]
+                pool = {p for p in free if near[p[0]] & near[p[1]]} if name == "distance2" else free
+                assert set(mine) <= pool and len(mine) == min(n, len(pool)), (name, key)
+                if name == "hard" and mine:
+                    cn = {p: len(near[p[0]] & near[p[1]]) for p in free}
+                    assert sorted((cn[p] for p in mine), reverse=True) == sorted(cn.values(), reverse=True)[: len(mine)]
+
+
+def test_uniform_negatives_are_even(spark):
+    """Over many seeds every unlinked pair comes up about as often."""
+    train = spark.createDataFrame([("m", 1, f"n{k}", f"n{k + 1}", 1.0) for k in range(7)], "method string, test long, src string, dst string, weight double")
+    seen = {}
+    for seed in range(40):
+        for r in links.uniform(train, 5, seed).collect():
+            seen[r["u"], r["v"]] = seen.get((r["u"], r["v"]), 0) + 1
+    assert len(seen) == 21 and max(seen.values()) < 25
+
+
 def test_ranking_with_ties(spark):
     rows = spark.createDataFrame([("g", "a", "x", 1, 0.9), ("g", "b", "x", 0, 0.9), ("g", "c", "x", 1, 0.5), ("g", "d", "x", 0, 0.1)], "key string, u string, v string, label int, score double")
     r = only(ranking.evaluate(rows, ["key"], [2]))

@@ -130,3 +130,18 @@ def test_guided_topics_sentinels(spark):
     df = spark.createDataFrame([(1, "the gun laws and gun rights"), (2, "nothing here matches"), (3, " ")], "k long, text string")
     got = {r["k"]: (r["topic_id"], r["topic_label"]) for r in topics.guided_topics(df, "k", [["taxes"], ["gun"]], ["money", "guns"]).collect()}
     assert got == {1: (1, "guns"), 2: (-1, "OUTLIER"), 3: (-2, "OUTLIER")}
+
+
+def test_guided_topics_move_their_centres(spark):
+    """Documents without a seed word join the topic whose documents share their words; small topics and strangers are outliers."""
+    rows = [(k, "apple pear fruit juice") for k in range(12)] + [(20 + k, "fruit juice sugar") for k in range(5)] + [(30 + k, "wheel motor road") for k in range(11)] + [(50, "quartz"), (51, None), (52, " "), (60, "violin bow")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: (r["topic_id"], r["topic_label"]) for r in topics.guided_topics(docs, "id", [["apple"], ["wheel"], ["violin"]], ["food", "cars", "music"], (), least_docs=10, no_below=1).collect()}
+    assert {got[k] for k in [*range(12), *range(20, 25)]} == {(0, "food")} and {got[30 + k] for k in range(11)} == {(1, "cars")}
+    assert got[50] == (-1, "OUTLIER") and got[60] == (-1, "OUTLIER") and got[51] == got[52] == (-2, "OUTLIER")
+    assert topics.guided_topics(docs.limit(0), "id", [["apple"]], ["food"], ()).count() == 0
+
+
+def test_words_of_any_script(spark):
+    df = spark.createDataFrame([("Ärger naïve Straße мир e\u0301te\u0301 abc123def _under x² 42",)], "t string")
+    assert df.select(text.plain_tokens(F.col("t"))).first()[0] == ["arger", "naive", "straße", "мир", "ete", "abc", "def"]

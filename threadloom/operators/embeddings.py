@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from ..functions.columns import cosine
 from ..functions.lineage import cut
 from . import links, ranking
 from .edges import GRAPH
-from .graphs import Graph, _schema, _sources
+from .graphs import Graph, on_graphs
 
 DIM, LENGTH, WALKS, WINDOW = 64, 30, 200, 10
 
@@ -21,29 +20,24 @@ DIM, LENGTH, WALKS, WINDOW = 64, 30, 200, 10
 def random_walks(edges: DataFrame, length: int = LENGTH, walks: int = WALKS, seed: int = 42, keys: Sequence[str] = GRAPH) -> DataFrame:
     """keys, walk: weighted first-order walks from every node (return and in-out parameters of 1).
 
-    A graph is packed once per chunk of start nodes; each chunk has its own seed, so reruns agree.
+    Start nodes are dealt to tasks; each has its own seed, so reruns agree.
     """
-    keys = list(keys)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                g = Graph(row.e)
-                to = [np.array([v for v, _ in n]) for n in g.near]
-                chance = [np.cumsum([w for _, w in n]) / sum(w for _, w in n) for n in g.near]
-                key = tuple(getattr(row, k) for k in keys)
-                for s in range(row.start, min(row.start + 256, len(g.names))):
-                    rng = np.random.default_rng([seed, s])
-                    out = []
-                    for _ in range(walks):
-                        at, walk = s, [g.names[s]]
-                        for x in rng.random(length - 1):
-                            at = int(to[at][np.searchsorted(chance[at], x, side="right").clip(max=len(to[at]) - 1)])
-                            walk.append(g.names[at])
-                        out.append((*key, walk))
-                    yield pd.DataFrame(out, columns=[*keys, "walk"])
-
-    return _sources(edges, keys).mapInPandas(run, _schema(edges, keys, "walk array<string>"))
+    def kernel(g: Graph, sources: range) -> Iterator[list[tuple]]:
+        to = [np.array(g.near(u)[0]) for u in range(g.n)]
+        chance = [np.cumsum(w) / np.sum(w) for w in (g.near(u)[1] for u in range(g.n))]
+        for s in sources:
+            rng = np.random.default_rng([seed, s])
+            out = []
+            for _ in range(walks):
+                at, walk = s, [g.names[s]]
+                for x in rng.random(length - 1):
+                    at = int(to[at][np.searchsorted(chance[at], x, side="right").clip(max=len(to[at]) - 1)])
+                    walk.append(g.names[at])
+                out.append((walk,))
+            yield out
+
+    return on_graphs(edges, keys, kernel, "walk array<string>", True)
 
 
 def embed(walks: DataFrame, dim: int = DIM, window: int = WINDOW, seed: int = 42) -> DataFrame:

@@ -2,27 +2,30 @@
 
 Counts, density, clustering, components and hop distances are DataFrame plans.
 Metrics that need whole shortest-path trees run in Python per graph and chunk of
-sources: a graph travels as one packed row, whose size is checked, and its
+sources: a graph travels as numbered edges and is put together as arrays in the task, and its
 sources are dealt over tasks, so a large graph is worked on by many of them.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.columns import ratio
 from ..functions.lineage import cut
 from .edges import GRAPH, both_ways, degrees
 
-#: Edges that a packed graph may have; larger graphs are refused, not cut.
-MAX_PACKED_EDGES = 20_000_000
 SOURCES_PER_TASK = 256
+#: Edges, of all graphs together, up to which components are found by one task per graph.
+ONE_TASK_EDGES = 1_000_000
 
 
 def counts(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
@@ -64,10 +67,38 @@ def clustering(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
     return each.groupBy(*keys).agg(F.round(F.avg(c), 6).alias("avg_clustering"))
 
 
-def components(edges: DataFrame, keys: Sequence[str] = GRAPH, every: int = 2) -> DataFrame:
-    """node, component: the least node it reaches. Labels hop to the least neighbour's and are then followed once more."""
+def _least_reached(frame: pd.DataFrame) -> dict[str, str]:
+    """Every node of an edge list and the least node it reaches, by union-find."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for u, v in zip(frame["src"], frame["dst"], strict=True):
+        u, v = root(u), root(v)
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+    return {x: root(x) for x in list(parent)}
+
+
+def components(edges: DataFrame, keys: Sequence[str] = GRAPH, every: int = 2, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """node, component: the least node it reaches.
+
+    Up to ``one_task`` edges in all, a task per graph merges them. Beyond that, labels hop to the least neighbour's and are
+    then followed once more, until nothing changes. Both give the same table.
+    """
     keys = list(keys)
-    ends = both_ways(edges, keys).select(*keys, "u", "v")
+    edges = cut(edges.select(*keys, "src", "dst"))
+    if edges.count() <= one_task:
+        kinds = dict(edges.dtypes)
+
+        def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([(*key, *pair) for pair in _least_reached(frame).items()], columns=[*keys, "node", "component"])
+
+        return edges.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "node string, component string"]))
+    ends = both_ways(edges.withColumn("weight", F.lit(1)), keys).select(*keys, "u", "v")
     labels = cut(ends.groupBy(*keys, F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
     turn = 0
     while True:
@@ -130,44 +161,35 @@ def covered(panel: DataFrame, starts: dict[str, int], first: int, last: int) ->
     return kept.join(whole, "source", "left_semi").drop("start")
 
 
-def packed(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
-    """One row per graph: keys and its edges as arrays. Refuses graphs beyond ``MAX_PACKED_EDGES``."""
-    rows = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("src", "dst", F.col("weight").cast("double").alias("weight")))).alias("e"), F.count("*").alias("m"))
-    fits = F.when(F.col("m") <= MAX_PACKED_EDGES, F.col("e")).otherwise(F.raise_error(F.lit("a graph is too large to pack")).cast("array<struct<src:string,dst:string,weight:double>>"))
-    return rows.select(*keys, fits.alias("e"))
-
-
 class Graph:
-    """A weighted undirected graph as adjacency lists; weights serve as distances."""
-
-    def __init__(self, rows: Sequence):
-        self.names = sorted({r["src"] for r in rows} | {r["dst"] for r in rows})
-        at = {name: k for k, name in enumerate(self.names)}
-        self.near: list[list[tuple[int, float]]] = [[] for _ in self.names]
-        for r in rows:
-            s, d = at[r["src"]], at[r["dst"]]
-            self.near[s].append((d, r["weight"]))
-            self.near[d].append((s, r["weight"]))
-        self.largest = self._largest()
-
-    def _largest(self) -> set[int]:
-        best: set[int] = set()
-        unseen = set(range(len(self.names)))
-        for start in range(len(self.names)):
-            if start in unseen:
-                part, stack = {start}, [start]
+    """A weighted undirected graph as compressed rows, nodes numbered in the order of their names; weights serve as distances."""
+
+    def __init__(self, names: list[str], src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
+        self.names, self.n = names, len(names)
+        ends, other, both = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([weight, weight])
+        order = np.argsort(ends, kind="stable")
+        self.to, self.weight = other[order], both[order]
+        self.starts = np.searchsorted(ends[order], np.arange(self.n + 1))
+
+    def near(self, u: int) -> tuple[list[int], list[float]]:
+        cut = slice(self.starts[u], self.starts[u + 1])
+        return self.to[cut].tolist(), self.weight[cut].tolist()
+
+    def largest(self) -> np.ndarray:
+        """Which nodes are in the largest component; of equal ones, that of the first node."""
+        label = np.full(self.n, -1)
+        for start in range(self.n):
+            if label[start] < 0:
+                label[start], stack = start, [start]
                 while stack:
-                    for v, _ in self.near[stack.pop()]:
-                        if v not in part:
-                            part.add(v)
+                    for v in self.near(stack.pop())[0]:
+                        if label[v] < 0:
+                            label[v] = start
                             stack.append(v)
-                unseen -= part
-                if len(part) > len(best):
-                    best = part
-        return best
+        return label == np.bincount(label).argmax() if self.n else label == 0
 
-    def paths_from(self, source: int) -> tuple[dict[int, float], list[int], dict[int, int], dict[int, list[int]]]:
-        """Distances, settling order, path counts and predecessors of shortest paths."""
+    def paths_from(self, source: int) -> tuple[dict[int, float], dict[int, float]]:
+        """Distances from a node, and what it adds to the betweenness of every other node it reaches."""
         best, dist, order = {source: 0.0}, {}, []
         ways, before = {source: 1}, {source: []}
         heap = [(0.0, source)]
@@ -177,7 +199,7 @@ class Graph:
                 continue
             dist[u] = d
             order.append(u)
-            for v, w in self.near[u]:
+            for v, w in zip(*self.near(u), strict=True):
                 if v in dist:
                     continue
                 new = d + w
@@ -188,82 +210,119 @@ class Graph:
                 elif abs(new - old) <= 1e-12:
                     ways[v] += ways[u]
                     before[v].append(u)
-        return dist, order, ways, before
-
-    def dependencies(self, source: int) -> dict[int, float]:
-        """What a source adds to the betweenness of every other node."""
-        _, order, ways, before = self.paths_from(source)
         share = dict.fromkeys(order, 0.0)
         for v in reversed(order):
             for u in before[v]:
                 share[u] += ways[u] / ways[v] * (1 + share[v])
         share.pop(source)
-        return share
+        return dist, share
 
-    def eigenvector(self, rounds: int = 1000, tolerance: float = 1e-3) -> dict[int, float] | None:
-        """Eigenvector centrality of the largest component by power iteration; None without convergence."""
-        nodes = sorted(self.largest)
-        n = len(nodes)
-        if n < 2:
+    def eigenvector(self, rounds: int = 1000, tolerance: float = 1e-3) -> np.ndarray | None:
+        """Eigenvector centrality of the largest component by power iteration, NaN elsewhere; None without convergence."""
+        inside = self.largest()
+        size = int(inside.sum())
+        if size < 2:
             return None
-        x = dict.fromkeys(nodes, 1.0 / n)
+        x = np.where(inside, 1.0 / size, 0.0)
+        row = np.repeat(np.arange(self.n), np.diff(self.starts))
         for _ in range(rounds):
-            new = {u: x[u] + sum(w * x[v] for v, w in self.near[u]) for u in nodes}
-            norm = sum(v * v for v in new.values()) ** 0.5 or 1.0
-            new = {u: v / norm for u, v in new.items()}
-            if sum(abs(new[u] - x[u]) for u in nodes) < n * tolerance:
-                return new
+            new = x + np.bincount(row, self.weight * x[self.to], self.n)
+            new /= np.sqrt(new @ new) or 1.0
+            if np.abs(new - x).sum() < size * tolerance:
+                return np.where(inside, new, np.nan)
             x = new
         return None
 
 
-def _sources(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each packed graph beside chunks of its node numbers."""
-    graphs = packed(edges, keys)
-    n = F.size(F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(x["src"], x["dst"])))))
-    starts = F.explode(F.sequence(F.lit(0), n - 1, F.lit(SOURCES_PER_TASK)))
-    return graphs.withColumn("start", starts).repartition(*keys, "start")
+#: Makes rows (a list of tuples, without the keys) from a graph and the numbers of the nodes that the task is to start from.
+Kernel = Callable[[Graph, range], Iterator[list[tuple]]]
 
 
-def _schema(edges: DataFrame, keys: Sequence[str], columns: str) -> str:
-    kinds = dict(edges.dtypes)
-    return ", ".join([*(f"{k} {kinds[k]}" for k in keys), columns])
+def on_graphs(edges: DataFrame, keys: Sequence[str], kernel: Kernel, columns: str, split: bool) -> DataFrame:
+    """keys and ``columns``: what ``kernel`` makes of every graph.
+
+    Nodes are numbered first, so a graph travels as numbers, a row per edge, and is put together in the task as arrays of
+    24 bytes per edge. With ``split`` its source nodes are dealt to tasks, each of which gets the graph: one
+    per ``SOURCES_PER_TASK`` sources, but no more than four per core, so that copies do not grow with the nodes.
+    """
+    keys = list(keys)
+    spark = edges.sparkSession
+    found = cut(edges.select(*keys).distinct().withColumn("_g", F.row_number().over(Window.orderBy(*keys))))
+    placed = edges.join(found, keys).select("_g", "src", "dst", F.col("weight").cast("double").alias("w"))
+    number = (F.row_number().over(Window.partitionBy("_g").orderBy("name")) - 1).alias("a")
+    nodes = cut(placed.select("_g", F.explode(F.array("src", "dst")).alias("name")).distinct().select("_g", "name", number))
+    ends = [nodes.select("_g", F.col("name").alias(c), F.col("a").alias(x)) for c, x in (("src", "a"), ("dst", "b"))]
+    none = F.lit(None)
+    lines = placed.join(ends[0], ["_g", "src"]).join(ends[1], ["_g", "dst"]).select("_g", F.lit(1).alias("kind"), "a", "b", "w", none.cast("string").alias("name"))
+    rows = lines.unionByName(nodes.select("_g", F.lit(0).alias("kind"), "a", F.lit(0).alias("b"), F.lit(0.0).alias("w"), "name"))
+    most = 4 * spark.sparkContext.defaultParallelism
+    parts = F.least(F.ceil(F.count("*") / F.lit(SOURCES_PER_TASK)), F.lit(most)).cast("int") if split else F.lit(1)
+    dealt = rows.join(nodes.groupBy("_g").agg(parts.alias("parts")), "_g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ordered = dealt.repartition("_g", "part").sortWithinPartitions("_g", "part", "kind", "a", "b").select("_g", "part", "parts", "kind", "a", "b", "w", "name")
+    schema = f"_g int, {columns}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            kind, a, b, w = (t[c].to_numpy() for c in ("kind", "a", "b", "w"))
+            names = t["name"].slice(0, int((kind == 0).sum())).to_pylist()
+            g = Graph(names, a[kind == 1], b[kind == 1], w[kind == 1])
+            size = -(-g.n // t["parts"][0].as_py())
+            for out in kernel(g, range(at[1] * size, min(g.n, (at[1] + 1) * size))):
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((at[0], *r) for r in out), strict=True), arrow, strict=True)], schema=arrow)
+
+        for whole in batches:
+            keyed = np.stack([whole.column(0).to_numpy(), whole.column(1).to_numpy()])
+            breaks = [0, *(np.flatnonzero((keyed[:, 1:] != keyed[:, :-1]).any(axis=0)) + 1).tolist(), whole.num_rows]
+            for low, high in zip(breaks[:-1], breaks[1:], strict=True):
+                if low == high:
+                    continue
+                here = (int(keyed[0, low]), int(keyed[1, low]))
+                if here != at:
+                    if at is not None:
+                        yield from made()
+                    at, held = here, []
+                held.append(whole.slice(low, high - low))
+        if at is not None:
+            yield from made()
+
+    return ordered.mapInArrow(run, schema).join(F.broadcast(found), "_g").drop("_g").select(*keys, *(f.name for f in arrow if f.name != "_g"))
 
 
 def distance_metrics(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
     """node, in_largest, closeness (null outside the largest component), distance sum and eccentricity there, and betweenness.
 
-    Betweenness is over the whole graph, normalised by (n - 1)(n - 2) for ordered pairs.
+    Betweenness is over the whole graph, normalised by (n - 1)(n - 2) for ordered pairs. One search per source gives both.
     """
     keys = list(keys)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                key, g = tuple(getattr(row, k) for k in keys), Graph(row.e)
-                out, between = [], np.zeros(len(g.names))
-                for s in range(row.start, min(row.start + SOURCES_PER_TASK, len(g.names))):
-                    for v, x in g.dependencies(s).items():
-                        between[v] += x
-                    if s in g.largest:
-                        dist = g.paths_from(s)[0]
-                        out.append((*key, g.names[s], "far", sum(dist.values()), max(dist.values()), len(g.largest), len(g.names)))
-                out += [(*key, g.names[v], "mid", x, 0.0, 0, len(g.names)) for v, x in enumerate(between)]
-                yield pd.DataFrame(out, columns=[*keys, "node", "kind", "total", "most", "size", "n"])
-
-    parts = _sources(edges, keys).mapInPandas(run, _schema(edges, keys, "node string, kind string, total double, most double, size long, n long"))
+    def kernel(g: Graph, sources: range) -> Iterator[list[tuple]]:
+        inside = g.largest()
+        size, between, far = int(inside.sum()), np.zeros(g.n), {}
+        for s in sources:
+            dist, share = g.paths_from(s)
+            for v, x in share.items():
+                between[v] += x
+            if inside[s]:
+                far[s] = (sum(dist.values()), max(dist.values()))
+        told = np.flatnonzero(between).tolist()
+        own = set(sources)
+        yield [(g.names[v], *far.get(v, (None, None)), size, g.n, float(between[v]), v in own) for v in sorted(own.union(told))]
+
+    parts = on_graphs(edges, keys, kernel, "node string, far double, most double, size int, n int, mid double, own boolean", True)
     sums = parts.groupBy(*keys, "node").agg(
-        F.sum(F.when(F.col("kind") == "mid", F.col("total"))).alias("mid"),
-        F.max(F.when(F.col("kind") == "far", F.col("total"))).alias("far"),
-        F.max(F.when(F.col("kind") == "far", F.col("most"))).alias("eccentricity"),
-        F.max(F.when(F.col("kind") == "far", F.col("size"))).alias("size"),
-        F.max("n").alias("n"),
-    )
+        F.sum("mid").alias("mid"), F.max(F.when(F.col("own"), F.col("far"))).alias("far"), F.max(F.when(F.col("own"), F.col("most"))).alias("eccentricity"),
+        F.max("size").alias("size"), F.max("n").alias("n"),
+    )
     pairs = F.greatest((F.col("n") - 1) * (F.col("n") - 2), F.lit(1))
     return sums.select(
         *keys, "node", F.col("far").isNotNull().alias("in_largest"),
         F.round(F.when(F.col("far").isNotNull(), ratio(F.col("size") - 1, F.col("far"))), 6).alias("closeness"),
-        "far", "eccentricity", "size", F.round(F.col("mid") / pairs, 6).alias("betweenness"),
+        "far", "eccentricity", F.when(F.col("far").isNotNull(), F.col("size")).alias("size"), F.round(F.col("mid") / pairs, 6).alias("betweenness"),
     )
 
 
@@ -275,40 +334,27 @@ def path_summary(metrics: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
 
 def eigenvector(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
     """node, eigenvector centrality in the largest component; null elsewhere and without convergence."""
-    keys = list(keys)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                g = Graph(row.e)
-                found = g.eigenvector() or {}
-                key = tuple(getattr(row, k) for k in keys)
-                yield pd.DataFrame([(*key, name, found.get(k)) for k, name in enumerate(g.names)], columns=[*keys, "node", "eigenvector"]).astype({"eigenvector": "float64"})
+    def kernel(g: Graph, _: range) -> Iterator[list[tuple]]:
+        found = g.eigenvector()
+        yield [(name, None if found is None or np.isnan(found[k]) else float(found[k])) for k, name in enumerate(g.names)]
 
-    found = packed(edges, keys).repartition(*keys).mapInPandas(run, _schema(edges, keys, "node string, eigenvector double"))
-    return found.withColumn("eigenvector", F.round(F.nanvl("eigenvector", F.lit(None).cast("double")), 6))
+    return on_graphs(edges, keys, kernel, "node string, eigenvector double", False).withColumn("eigenvector", F.round("eigenvector", 6))
 
 
 def louvain(edges: DataFrame, keys: Sequence[str] = GRAPH, seed: int = 42) -> DataFrame:
     """node, cluster: communities by seeded local moving and aggregation of each graph."""
-    keys = list(keys)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                g = Graph(row.e)
-                clusters = communities([dict(_merged(n)) for n in g.near], seed)
-                key = tuple(getattr(row, k) for k in keys)
-                yield pd.DataFrame([(*key, name, int(c)) for name, c in zip(g.names, clusters, strict=True)], columns=[*keys, "node", "cluster"])
-
-    return packed(edges, keys).repartition(*keys).mapInPandas(run, _schema(edges, keys, "node string, cluster long"))
 
+    def kernel(g: Graph, _: range) -> Iterator[list[tuple]]:
+        near: list[dict[int, float]] = []
+        for u in range(g.n):
+            sums: dict[int, float] = {}
+            for v, w in zip(*g.near(u), strict=True):
+                sums[v] = sums.get(v, 0.0) + w
+            near.append(sums)
+        yield list(zip(g.names, communities(near, seed), strict=True))
 
-def _merged(near: list[tuple[int, float]]) -> dict[int, float]:
-    out: dict[int, float] = {}
-    for v, w in near:
-        out[v] = out.get(v, 0.0) + w
-    return out
+    return on_graphs(edges, keys, kernel, "node string, cluster long", False)
 
 
 def communities(near: list[dict[int, float]], seed: int) -> list[int]:

@@ -23,18 +23,32 @@ def _absent(pairs: DataFrame, train: DataFrame, keys: Sequence[str]) -> DataFram
     return pairs.join(linked, [*keys, "u", "v"], "left_anti")
 
 
-def _wanted(pairs: DataFrame, n: DataFrame | int, keys: Sequence[str], order: list) -> DataFrame:
-    """The first n pairs of each graph by ``order``; n is a number or a table of keys and n."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ranked = pairs.withColumn("place", place)
-    if isinstance(n, int):
-        return ranked.filter(F.col("place") <= n).drop("place")
-    return ranked.join(F.broadcast(n), list(keys)).filter(F.col("place") <= F.col("n")).drop("place", "n")
+def _wanted(pairs: DataFrame, n: DataFrame | int, keys: Sequence[str], bucket: Sequence[Column], order: Sequence[Column]) -> DataFrame:
+    """The first n pairs of each graph by ``bucket`` and then ``order``; n is a number or a table of keys and n.
 
+    Pairs are counted per bucket. Only buckets that begin before n are numbered, each by itself, so
+    no task sorts all pairs of a graph.
+    """
+    names = [f"_b{k}" for k in range(len(bucket))]
+    rows = pairs.withColumns({name: b for name, b in zip(names, bucket, strict=True)})
+    sizes = rows.groupBy(*keys, *names).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before)
+    sizes = sizes.withColumn("_n", F.lit(n)) if isinstance(n, int) else sizes.join(n.select(*keys, F.col("n").alias("_n")), list(keys))
+    reached = sizes.filter("_before < _n").select(*keys, *names, "_before", "_n")
+    place = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
+    return rows.join(reached, [*keys, *names]).withColumn("_place", place).filter(F.col("_place") + F.col("_before") <= F.col("_n")).select(*pairs.columns)
+
+
+def _digest(seed: int, *columns: str) -> Column:
+    """Looks random, is the same in every run and can be written in SQL."""
+    return F.md5(F.concat_ws("|", *columns, F.lit(str(seed))))
 
-def shuffled(seed: int) -> list:
-    """An order that looks random, is the same in every run and can be written in SQL."""
-    return [F.md5(F.concat_ws("|", F.col("u"), F.col("v"), F.lit(str(seed)))), F.col("u"), F.col("v")]
+
+def shuffled(pairs: DataFrame, n: DataFrame | int, seed: int, keys: Sequence[str], first: Sequence[Column] = ()) -> DataFrame:
+    """The first n pairs of each graph by ``first`` and then in a hash order."""
+    order = _digest(seed, "u", "v")
+    return _wanted(pairs, n, keys, [*first, F.substring(order, 1, 2)], [order, F.col("u"), F.col("v")])
 
 
 def common_neighbours(train: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -48,24 +62,63 @@ def common_neighbours(train: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     return a.join(b, [*keys, "w"]).filter("u < v").groupBy(*keys, "u", "v").agg(F.count("*").alias("cn"), F.coalesce(F.sum(share), F.lit(0.0)).alias("aa"))
 
 
-def uniform(train: DataFrame, n: DataFrame | int, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pairs drawn from all that are not linked; needs every pair of nodes of a graph, which is its definition."""
-    nodes = train.select(*keys, F.explode(F.array("src", "dst")).alias("u")).distinct()
-    pairs = nodes.join(nodes.withColumnRenamed("u", "v"), list(keys)).filter("u < v")
-    return _wanted(_absent(pairs, train, keys), n, keys, shuffled(seed))
+#: A prime above the number of nodes of any graph, so that it divides no number of pairs.
+_STRIDE = 2**31 - 1
+_CHUNK = 1 << 16
+
+
+def _numbered(train: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
+    """u and its number i in a hash order of its graph's nodes, from 0."""
+    order = _digest(seed, "u")
+    rows = train.select(*keys, F.explode(F.array("src", "dst")).alias("u")).distinct().withColumns({"_d": order, "_b": F.substring(order, 1, 2)})
+    sizes = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_d", "u")) - 1
+    return rows.withColumn("_place", place).join(sizes.withColumn("_before", before).drop("_c"), [*keys, "_b"]).select(*keys, "u", (F.col("_place") + F.col("_before")).alias("i"))
+
+
+def uniform(train: DataFrame, n: DataFrame | int, seed: int = 42, keys: Sequence[str] = KEYS, without: DataFrame | None = None) -> DataFrame:
+    """n pairs of each graph that are not linked, nor among ``without`` (unlinked pairs u < v), or all if there are fewer.
+
+    A graph's nodes are numbered in a hash order and its T pairs by t: the pair t joins node t mod N with
+    the one t div N + 1 places further round. Pairs are visited at t = x * stride mod T, which meets each once. Among the first n + m pairs, m
+    being those to be left out, n must be good; so no more are made, whatever the number of nodes.
+    """
+    keys = list(keys)
+    nodes = cut(_numbered(train, seed, keys))
+    barred = train.select(*keys, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    if without is not None:
+        barred = barred.unionByName(without.select(*keys, "u", "v"))
+    graphs = nodes.groupBy(*keys).agg(F.count("*").alias("size")).join(barred.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+    graphs = graphs.withColumn("n", F.lit(n)) if isinstance(n, int) else graphs.join(n.select(*keys, "n"), keys)
+    graphs = graphs.withColumn("pairs", F.expr("size * (size - 1) div 2")).withColumn("draws", F.least("pairs", F.col("n") + F.col("m"))).filter("draws > 0")
+    chunks = graphs.withColumn("from", F.explode(F.expr(f"sequence(0L, draws - 1, {_CHUNK}L)"))).repartition(*keys, "from")
+    drawn = chunks.withColumn("x", F.explode(F.expr(f"sequence(from, least(from + {_CHUNK}L, draws) - 1)"))).withColumn("t", F.expr(f"x * {_STRIDE}L % pairs"))
+    ends = drawn.select(*keys, "x", F.expr("t % size").alias("a"), F.expr("(t % size + t div size + 1) % size").alias("b"))
+    named = ends.join(nodes.select(*keys, F.col("i").alias("a"), F.col("u").alias("p")), [*keys, "a"]).join(nodes.select(*keys, F.col("i").alias("b"), F.col("u").alias("q")), [*keys, "b"])
+    pairs = named.select(*keys, F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "x")
+    good = pairs.join(barred, [*keys, "u", "v"], "left_anti")
+    return _wanted(good, n, keys, [F.expr(f"x div {_CHUNK}")], [F.col("x")]).select(*keys, "u", "v")
 
 
 def distance_two(train: DataFrame, n: DataFrame | int, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
     """Pairs that are not linked but share a neighbour."""
-    return _wanted(_absent(common_neighbours(train, keys).select(*keys, "u", "v"), train, keys), n, keys, shuffled(seed))
+    return shuffled(_absent(common_neighbours(train, keys).select(*keys, "u", "v"), train, keys), n, seed, keys)
 
 
 def hard(train: DataFrame, n: DataFrame | int, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pairs that are not linked, those with most common neighbours first, then by name."""
-    nodes = train.select(*keys, F.explode(F.array("src", "dst")).alias("u")).distinct()
-    pairs = _absent(nodes.join(nodes.withColumnRenamed("u", "v"), list(keys)).filter("u < v"), train, keys)
-    counted = pairs.join(common_neighbours(train, keys).select(*keys, "u", "v", "cn"), [*keys, "u", "v"], "left").na.fill(0, ["cn"])
-    return _wanted(counted, n, keys, [F.col("cn").desc(), "u", "v"]).select(*keys, "u", "v")
+    """Pairs that are not linked, those with most common neighbours first, equal ones in a hash order.
+
+    Only pairs that share a neighbour are counted; a graph with too few of them is filled up with a uniform sample of the others.
+    """
+    keys = list(keys)
+    sharing = cut(_absent(common_neighbours(train, keys).select(*keys, "u", "v", "cn"), train, keys))
+    graphs = train.select(*keys).distinct()
+    graphs = graphs.withColumn("n", F.lit(n)) if isinstance(n, int) else graphs.join(n.select(*keys, "n"), keys)
+    have = sharing.groupBy(*keys).agg(F.count("*").alias("c"))
+    lacking = graphs.join(have, keys, "left").select(*keys, (F.col("n") - F.coalesce("c", F.lit(0))).alias("n")).filter("n > 0")
+    best = shuffled(sharing, n, seed, keys, [-F.col("cn")]).select(*keys, "u", "v")
+    return best.unionByName(uniform(train, lacking, seed, keys, sharing))
 
 
 SAMPLERS: dict[str, Callable[..., DataFrame]] = {"uniform": uniform, "distance2": distance_two, "hard": hard}

@@ -8,11 +8,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+LEVELS = 1024
+
+
+def _level(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``_l``, an equal step of their group's range of scores, from the highest down: groups are summed and numbered by step."""
+    ends = rows.groupBy(*keys).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    share = F.coalesce(F.try_divide(F.col("_high") - F.col("score"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    return rows.join(ends, list(keys)).withColumn("_l", F.floor(share * (LEVELS - 1)).cast("int")).drop("_low", "_high")
+
+
 def _by_score(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per distinct score: positives and negatives there, and running totals from the highest score down."""
-    per = rows.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    """Per distinct score: positives and negatives there, and running totals from the highest score down.
+
+    Totals run within a step, and over the steps, so a group's scores are not sorted in one task.
+    """
+    per = _level(rows.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")), keys)
+    steps = per.groupBy(*keys, "_l").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    above = Window.partitionBy(*keys).orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumns({c: F.coalesce(F.sum(c).over(above), F.lit(0)) for c in ("_p", "_n")})
+    down = Window.partitionBy(*keys, "_l").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = per.join(steps, [*keys, "_l"])
+    return placed.withColumns({"tp": F.col("_p") + F.sum("p").over(down), "fp": F.col("_n") + F.sum("n").over(down)}).drop("_l", "_p", "_n")
 
 
 def auc(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -29,10 +46,14 @@ def average_precision(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def at_k(rows: DataFrame, keys: Sequence[str], ks: Sequence[int] = (50, 100)) -> DataFrame:
     """Precision and recall among the k highest scores, ties by u, v and label (a sampled negative may also be a test edge); k is at most the number of rows."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "u", "v", "label"))
-    placed = rows.withColumn("place", place)
+    stepped = _level(rows, keys)
+    steps = stepped.groupBy(*keys, "_l").agg(F.count("*").alias("_c"))
+    above = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.withColumn("_above", above).filter(F.col("_above") < max(ks)).drop("_c")
+    place = F.row_number().over(Window.partitionBy(*keys, "_l").orderBy(F.col("score").desc(), "u", "v", "label"))
+    placed = stepped.join(steps, [*keys, "_l"]).withColumn("place", place + F.col("_above"))
     sums = [F.sum(F.when(F.col("place") <= k, F.col("label")).otherwise(0)).alias(f"hit_{k}") for k in ks]
-    total = placed.groupBy(*keys).agg(*sums, F.sum("label").alias("pos"), F.count("*").alias("rows"))
+    total = placed.groupBy(*keys).agg(*sums).join(rows.groupBy(*keys).agg(F.sum("label").alias("pos"), F.count("*").alias("rows")), list(keys))
     out = []
     for k in ks:
         out.append(F.round(F.col(f"hit_{k}") / F.least(F.lit(k), "rows"), 6).alias(f"p_at_{k}"))

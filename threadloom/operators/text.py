@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank
+from ..functions.lineage import cut
 
 #: White space as str.split() sees it.
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 _PUNCTUATION = r"^[!-/:-@\[-`{-~]+$"
+#: Combining marks, and what a word of ``plain_tokens`` consists of: word characters but decimal digits.
+_MARK, _LETTERS = r"\p{Mn}", r"[\p{L}\p{Nl}\p{No}_]+"
 _ACCENTED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] != chr(c)}
 
 
@@ -26,7 +29,10 @@ def body(columns: Sequence[str]) -> Column:
 
 
 def thread_documents(comments: DataFrame, order: str = "pos") -> DataFrame:
-    """link_id, text, n_comments: non-blank texts of each thread in order, joined by spaces; threads of blanks are absent."""
+    """link_id, text, n_comments: non-blank texts of each thread in order, joined by spaces; threads of blanks are absent.
+
+    A document is one value, so a thread's texts must fit one, 2 GB, as they come.
+    """
     rows = comments.select("link_id", F.col(order).alias("pos"), "id", body(comments.columns).alias("text")).filter(~blank(F.col("text")))
     texts = F.array_sort(F.collect_list(F.struct("pos", "id", "text")))
     grouped = rows.groupBy("link_id").agg(texts.alias("t"))
@@ -44,9 +50,9 @@ def tokens(text: Column, stopwords: Sequence[str] = (), least: int = 3) -> Colum
 
 
 def plain_tokens(text: Column, stopwords: Sequence[str] = (), least: int = 3, most: int = 15) -> Column:
-    """Runs of letters without accents, 2 to ``most`` long, of at least ``least`` letters and no stop word."""
-    bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_ACCENTED), "".join(_ACCENTED.values()))
-    words = F.regexp_extract_all(bare, F.lit(r"((?:(?!\d)[\w])+)"), F.lit(1))
+    """Runs of letters of any script without accents, 2 to ``most`` long, of at least ``least`` letters and no stop word."""
+    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_ACCENTED), "".join(_ACCENTED.values())), _MARK, "")
+    words = F.regexp_extract_all(bare, F.lit(_LETTERS), F.lit(0))
     stop = F.array(*(F.lit(w) for w in stopwords)) if stopwords else F.array().cast("array<string>")
     return F.filter(words, lambda t: (F.length(t) >= max(2, least)) & (F.length(t) <= most) & ~t.startswith("_") & ~F.array_contains(stop, t))
 
@@ -65,9 +71,10 @@ def lemmatised(make: Callable[[], Callable[[str], str]]) -> Callable[[Column], C
 
 def vocabulary(docs: DataFrame, column: str = "tokens", no_below: int = 3, no_above: float = 0.6, keep_n: int = 3000) -> DataFrame:
     """term, df: terms in at least ``no_below`` documents and at most a share of them, the ``keep_n`` of greatest document frequency."""
-    total = docs.agg(F.count("*").alias("total"))
-    df = docs.select(F.explode(F.array_distinct(column)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    kept = df.join(F.broadcast(total)).filter((F.col("df") >= no_below) & (F.col("df") <= no_above * F.col("total")))
+    marked = F.concat(F.array(F.lit("")), F.array_distinct(column))  # no term is empty: it counts the documents in the same pass
+    df = cut(docs.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= no_below) | (F.col("term") == "")))
+    total = df.filter("term = ''").select(F.col("df").alias("total"))
+    kept = df.filter("term <> ''").join(F.broadcast(total)).filter(F.col("df") <= no_above * F.col("total"))
     return kept.select("term", "df").orderBy(F.col("df").desc(), "term").limit(keep_n)
 
 

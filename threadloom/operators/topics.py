@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .text import plain_tokens, thread_documents, tokens, valid_documents, vocabulary
 
 NONE = -1
@@ -126,24 +127,50 @@ def seeded_topics(docs: DataFrame, key: str, seeds: Sequence[Sequence[str]] | No
     return picked.select(key, F.when(F.col("topic_id") == NONE, "NO_TOPIC_FILTERED_OUT").otherwise(F.coalesce(F.try_element_at(table, F.col("topic_id")), F.lit("UNKNOWN_TOPIC"))).alias("topic_label"))
 
 
-def guided_topics(docs: DataFrame, key: str, seeds: Sequence[Sequence[str]] | None = None, labels: Sequence[str] | None = None) -> DataFrame:
-    """key, topic_id, topic_label: each text goes to the seed topic whose words weigh most in it by inverse document frequency.
+def guided_topics(docs: DataFrame, key: str, seeds: Sequence[Sequence[str]] | None = None, labels: Sequence[str] | None = None, stop: Sequence[str] | None = None, rounds: int = 5, least_docs: int = 1, no_below: int = 3, keep_n: int = 3000) -> DataFrame:
+    """key, topic_id, topic_label of every document (column ``text``) by spherical k-means from seed centroids.
 
-    Stands in for clustering with a pretrained sentence encoder, which needs a model file. -1: no seed word; -2: blank text.
+    Documents are unit vectors of term frequency times ln((1 + N) / (1 + df)) + 1 over a vocabulary of at most ``keep_n`` terms and
+    the seed words; a topic's first centroid is its seed words by the same weights. Each round puts every document to the nearest
+    centroid (ties to the first topic) and moves the centroids to the means. Centroids are at most keep_n terms per topic, so
+    they are broadcast. Stands in for clustering of a sentence encoder's vectors, which needs a model file.
+    -1: near no centroid, or in a topic of fewer than ``least_docs`` documents; -2: no words.
     """
     seeds = SEED_TOPICS if seeds is None else seeds
     labels = labels or [f"TOPIC_{k}" for k in range(len(seeds))]
+    stop = stopwords() if stop is None else stop
     spark = docs.sparkSession
-    sets = seed_sets(seeds, stopwords(), spark)
+    sets = seed_sets(seeds, stop, spark)
     words = spark.createDataFrame([(w, k) for k, s in enumerate(sets) for w in sorted(s)], "term string, topic int")
-    rows = docs.select(key, plain_tokens(F.col("text")).alias("tokens"))
+    rows = docs.select(key, plain_tokens(F.col("text"), stop).alias("tokens"))
+    common = vocabulary(rows, no_below=no_below, no_above=1.0, keep_n=keep_n).select("term")
+    wanted = common.unionByName(words.select("term")).distinct()
     total = rows.agg(F.count("*").alias("total"))
-    hits = rows.select(key, F.explode("tokens").alias("term")).join(F.broadcast(words), "term")
-    df = hits.groupBy("term").agg(F.count_distinct(key).alias("df"))
-    scored = hits.join(df, "term").join(F.broadcast(total)).groupBy(key, "topic").agg(F.round(F.sum(F.log1p(F.col("total") / F.col("df"))), 9).alias("s"))
-    best = scored.groupBy(key).agg(F.max(F.struct("s", (-F.col("topic")).alias("t"))).alias("b")).select(key, (-F.col("b.t")).cast("int").alias("topic"))
+    counts = rows.select(key, F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(total)).select("term", (F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    weighted = counts.join(F.broadcast(idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    length = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    points = cut(weighted.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("x")).repartition(key))
+
+    def unit(raw: DataFrame) -> DataFrame:
+        size = raw.groupBy("topic").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
+        return raw.join(F.broadcast(size), "topic").select("topic", "term", (F.col("c") / F.col("size")).alias("c"))
+
+    def nearest(centres: DataFrame) -> DataFrame:
+        near = points.join(F.broadcast(centres), "term").groupBy(key, "topic").agg(F.round(F.sum(F.col("x") * F.col("c")), 9).alias("s"))
+        return near.groupBy(key).agg(F.max(F.struct("s", (-F.col("topic")).alias("t"))).alias("b")).select(key, (-F.col("b.t")).cast("int").alias("topic"))
+
+    centres = cut(unit(words.join(F.broadcast(idf), "term").select("topic", "term", F.col("idf").alias("c"))))
+    placed = cut(nearest(centres))
+    for _ in range(rounds):
+        moved = unit(points.join(placed, key).groupBy("topic", "term").agg(F.sum("x").alias("c")))
+        stay = centres.join(F.broadcast(placed.select("topic").distinct()), "topic", "left_anti")
+        centres = cut(moved.unionByName(stay))
+        placed = cut(nearest(centres))
+    large = placed.groupBy("topic").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("topic")
     names = F.create_map(*(F.lit(x) for k, label in enumerate(labels) for x in (k, label)))
-    return rows.join(best, key, "left").select(
+    return rows.join(placed.join(F.broadcast(large), "topic", "left_semi").select(key, "topic"), key, "left").select(
         key,
         F.coalesce("topic", F.when(F.size("tokens") == 0, EMPTY).otherwise(OUTLIER)).cast("int").alias("topic_id"),
         F.coalesce(F.try_element_at(names, F.col("topic")), F.lit("OUTLIER")).alias("topic_label"),

@@ -190,6 +190,16 @@ def f5_tokens(spark, sf_dir):
     return doc_tokens(spark, sf_dir).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
+_PLAIN = f"""list_filter(regexp_extract_all(regexp_replace(translate(lower(coalesce(text, '')), '{"".join(text._ACCENTED)}', '{"".join(text._ACCENTED.values())}'), '{text._MARK}', '', 'g'), '{text._LETTERS}'),
+  lambda t: length(t) between 3 and 15 and not starts_with(t, '_'))"""
+
+
+@query(f"select doc_id, len(tokens)::bigint as n_tokens, md5(array_to_string(tokens, ' ')) as tokens_md5 from (select doc_id, {_PLAIN} as tokens from documents)")
+def f6_plain_tokens(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents").select("doc_id", text.plain_tokens(F.col("text")).alias("tokens"))
+    return d.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
 @query(f"select term, df from {_VOCABULARY}")
 def m2_vocabulary(spark, sf_dir):
     return text.vocabulary(doc_tokens(spark, sf_dir).filter(F.size("tokens") >= 5))
@@ -385,6 +395,13 @@ def l11_precision_recall_at_k(spark, sf_dir):
     return ranking.at_k(_ranked(spark, sf_dir), links.KEYS)
 
 
+@query("select method, test, u, v, label, cn, coalesce(jaccard0, 0)::double as jaccard, round(aa, 6)::double as aa, pa::bigint as pa from fitted")
+def l13_training_rows(spark, sf_dir):
+    """What each fold's model is fitted on: the edges of its train graph and as many uniform negatives."""
+    rows = links.training_rows(_train(spark, sf_dir)[1])
+    return rows.select("method", "test", "u", "v", "label", "cn", F.round("jaccard", 6).alias("jaccard"), F.round("aa", 6).alias("aa"), "pa")
+
+
 @query()
 def l13_logreg_scores(spark, sf_dir):
     edges, train, wanted = _train(spark, sf_dir)
@@ -470,12 +487,12 @@ def g10_closeness(spark, sf_dir):
     return _distances(spark, sf_dir).select("yr", "node", "closeness")
 
 
-@query()
+@query("select b.yr, b.u as node, round(coalesce(through, 0) / greatest((n - 1) * (n - 2), 1), 6)::double as betweenness from bnodes b join (select yr, count(*) as n from bnodes group by yr) using (yr) left join through t on t.yr = b.yr and t.node = b.u")
 def g9_betweenness(spark, sf_dir):
     return _distances(spark, sf_dir).select("yr", "node", "betweenness")
 
 
-@query()
+@query("select b.yr, b.u as node, round(x, 6) as eigenvector from bnodes b left join eigen e on e.yr = b.yr and e.u = b.u")
 def g11_eigenvector(spark, sf_dir):
     return graphs.eigenvector(backbone_edges(spark, sf_dir), ["yr"])
 
@@ -515,6 +532,23 @@ def m15_direct_sentiment(spark, sf_dir):
     return sentiment.direct_sentiment(views.threads(spark, sf_dir), _lexicon_score)
 
 
+def _vowels():
+    """A scorer whose logits are the numbers of a, e and i."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.count("a"), t.count("e"), t.count("i")] for t in texts], float)
+
+
+_VOWEL_SQL = ", ".join(f"length(body_cleaned) - length(replace(body_cleaned, '{c}', ''))" for c in "aei")
+
+
+@query(f"""select id, link_id, author, case when body_cleaned is not null and not {_BLANK} then list_position(n, list_max(n))::integer - 2 end as sentiment, body_cleaned
+from (select *, [{_VOWEL_SQL}] as n from threads)""")
+def f12_scored_sentiment(spark, sf_dir):
+    """A batch scorer's logits through softmax, the likeliest label and its code."""
+    return sentiment.direct_sentiment(views.threads(spark, sf_dir), sentiment.model_sentiment(_vowels))
+
+
 @query()
 def m1_lda_topics(spark, sf_dir):
     docs = doc_tokens(spark, sf_dir)
@@ -526,10 +560,35 @@ def m5_seeded_topics(spark, sf_dir):
     return topics.seeded_topics(views.table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query()
+_GUIDES = [["the", "with"], ["der", "und"], ["les", "que"], ["los", "del"]]
+_GUIDE_LABELS = ["english", "german", "french", "spanish"]
+
+
+def _guided_sql(rounds: int = 5) -> str:
+    """Spherical k-means with each round as a table of its own."""
+    listed = ", ".join(f"('{w}', {k})" for k, words in enumerate(_GUIDES) for w in words)
+    names = " ".join(f"when {k} then '{name}'" for k, name in enumerate(_GUIDE_LABELS))
+    near = "select doc_id, arg_min(topic, (-s, topic)) as topic from (select doc_id, topic, round(sum(x * c), 9) as s from points join {} using (term) group by all) group by doc_id"
+    unit = "select topic, term, c / sqrt(sum(c * c) over (partition by topic)) as c from ({})"
+    steps = [f"c0 as ({unit.format('select topic, term, idf as c from words join idf using (term)')})", f"p0 as ({near.format('c0')})"]
+    for k in range(1, rounds + 1):
+        moved = unit.format(f"select topic, term, sum(x) as c from points join p{k - 1} using (doc_id) group by all")
+        steps += [f"c{k} as ({moved} union all select * from c{k - 1} where topic not in (select topic from p{k - 1}))", f"p{k} as ({near.format(f'c{k}')})"]
+    return f"""with toks as materialized (select doc_id, {_PLAIN} as tokens from documents), words(term, topic) as (values {listed}),
+freq as (select term, count(*) as df from (select unnest(list_distinct(tokens)) as term from toks) group by term),
+chosen as (select term from words union (select term from freq where df >= 3 order by df desc, term limit 3000)),
+counted as (select doc_id, term, count(*) as tf from (select doc_id, unnest(tokens) as term from toks) where term in (select term from chosen) group by all),
+idf as (select term, ln((1.0::double + (select count(*) from toks)) / (1.0::double + count(*))) + 1.0 as idf from counted group by term),
+points as materialized (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as x from (select doc_id, term, tf * idf as w from counted join idf using (term))),
+{', '.join(s.replace(' as (', ' as materialized (', 1) for s in steps)},
+large as (select topic from p{rounds} group by topic having count(*) >= 10)
+select t.doc_id, coalesce(p.topic, case when len(tokens) = 0 then -2 else -1 end)::integer as topic_id, case p.topic {names} else 'OUTLIER' end as topic_label
+from toks t left join (select * from p{rounds} where topic in (select topic from large)) p on t.doc_id = p.doc_id"""
+
+
+@query(_guided_sql())
 def m8_guided_topics(spark, sf_dir):
-    seeds = [["the", "with"], ["der", "und"], ["les", "que"], ["los", "del"]]
-    return topics.guided_topics(views.table(spark, sf_dir, "documents"), "doc_id", seeds, ["english", "german", "french", "spanish"])
+    return topics.guided_topics(views.table(spark, sf_dir, "documents"), "doc_id", _GUIDES, _GUIDE_LABELS, (), least_docs=10)
 
 
 def _model() -> topics.TopicModel:
@@ -585,10 +644,22 @@ def l15_node2vec(spark, sf_dir):
     return embeddings.temporal_evaluation(train, tests, wanted)
 
 
-@query()
+@query("""select method, round(avg(auc), 6) as mean_auc, round(stddev_samp(auc), 6) as std_auc, round(avg(ap), 6) as mean_ap, round(stddev_samp(ap), 6) as std_ap from
+(select method, test, round(sum(n * (tp - p / 2)) / nullif(sum(p) * sum(n), 0), 6)::double as auc, round(sum(p * tp / (tp + fp)) / nullif(sum(p), 0), 6)::double as ap from steps group by all) group by method""")
 def l17_fold_summary(spark, sf_dir):
     """Mean and deviation of the common-neighbour metrics over test snapshots."""
-    return ranking.mean_and_deviation(ranking.evaluate(_ranked(spark, sf_dir), links.KEYS), ["method"], ["auc", "ap"])
+    summary = ranking.mean_and_deviation(ranking.evaluate(_ranked(spark, sf_dir), links.KEYS), ["method"], ["auc", "ap"])
+    return summary.select("method", *(F.round(c, 6).alias(c) for c in summary.columns[1:]))
+
+
+@query("""select a.vec_id::varchar as u, (a.vec_id + 1)::varchar as v, round(coalesce(case when a.vec_id % 5 <> 0 then list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) end, 0), 6)::double as score
+from (select vec_id, embedding::double[] as e from embeddings) a left join (select vec_id, embedding::double[] as e from embeddings where vec_id % 5 <> 0) b on b.vec_id = a.vec_id + 1""")
+def l16_pair_cosine(spark, sf_dir):
+    """Cosines of pairs of which some ends have no vector."""
+    e = views.table(spark, sf_dir, "embeddings")
+    pairs = e.select(F.col("vec_id").cast("string").alias("u"), (F.col("vec_id") + 1).cast("string").alias("v"))
+    vectors = e.filter("vec_id % 5 <> 0").select(F.col("vec_id").cast("string").alias("node"), F.col("embedding").alias("vector"))
+    return embeddings.pair_cosine(pairs, vectors).select("u", "v", F.round("score", 6).alias("score"))
 
 
 # More sources, filters and accessors
@@ -632,6 +703,27 @@ def k9_closeness_box(spark, sf_dir):
     return graphs.box(_distances(spark, sf_dir), "closeness", ["yr"])
 
 
+@query(f"""select c.yr, round(avg(closeness), 6) as avg_closeness, round(avg(degree / nullif(n - 1, 0)), 6)::double as avg_degree from
+(select b.yr, b.u, count(s.v) as degree, count(*) over (partition by b.yr) as n from bnodes b join spans s on s.yr = b.yr and s.u = b.u group by b.yr, b.u) c left join
+(select d.yr, d.u, round(coalesce((any_value(l.size) - 1) / nullif(sum(w), 0), 0), 6)::double as closeness from {_INSIDE} group by d.yr, d.u) x on x.yr = c.yr and x.u = c.u group by c.yr""")
+def a19_mean_centralities(spark, sf_dir):
+    """Means over the nodes; those outside the largest component have no closeness and do not count in its mean."""
+    e = backbone_edges(spark, sf_dir)
+    near = graphs.distance_metrics(e, ["yr"]).groupBy("yr").agg(F.round(F.avg("closeness"), 6).alias("avg_closeness"))
+    d = E.degrees(e, ["yr"])
+    share = F.col("degree") / (F.col("n") - 1)
+    mean = d.join(d.groupBy("yr").agg(F.count("*").alias("n")), "yr").groupBy("yr").agg(F.round(F.avg(share), 6).alias("avg_degree"))
+    return near.join(mean, "yr")
+
+
+@query("""select method, snapshot, x, round(sum(c * exp(-power((x - w) / width, 2) / 2) / (n * width * sqrt(2 * pi()))), 6)::double as density from
+(select method, snapshot, weight as w, count(*) as c from edges group by all) join
+(select method, snapshot, count(*) as n, stddev_samp(weight) * power(count(*), -0.2) as width from edges group by all having stddev_samp(weight) > 0) using (method, snapshot),
+(select unnest(range(0, 11))::double * 2 as x) group by all""")
+def k8_weight_density(spark, sf_dir):
+    return graphs.weight_density(graph_edges(spark, sf_dir), 0, 20, 11)
+
+
 @query(f"""select source, min(avg_hops) as least, max(avg_hops) as most from (select yr, u as source, target_group, round(avg(h), 6)::double as avg_hops from hops5
 join (select node, party as target_group from brand_meta where party <> '' union all select node, 'gun' from brand_meta where gun = 1) t on t.node = v where h > 0 and u in ({_IN}) group by all) group by source""")
 def a21_distance_limits(spark, sf_dir):

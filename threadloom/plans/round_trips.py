@@ -5,7 +5,7 @@ Files lie in the shared folder; the SQL runs on the tables that they were made o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import scratch
@@ -14,16 +14,19 @@ from ..operators import interactions
 from ..sources import readers, sinks, views
 from .registry import query
 
-#: Weeks as months of file names.
-_MONTH = F.concat(F.lit("2016-"), F.lpad((F.col("snapshot") + 8).cast("string"), 2, "0"))
 _MONTH_SQL = "concat('2016-', lpad((snapshot + 8)::varchar, 2, '0'))"
 _COMMENT = ["id", "author", "subreddit", "score", "month"]
 _COMMENT_SQL = f"select id::varchar as id, author, community as subreddit, score, {_MONTH_SQL} as month from comments"
 
 
+def _month() -> Column:
+    """Weeks as months of file names."""
+    return F.concat(F.lit("2016-"), F.lpad((F.col("snapshot") + 8).cast("string"), 2, "0"))
+
+
 def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.comments(spark, sf_dir)
-    return c.select(F.col("id").cast("string").alias("id"), "author", F.col("community").alias("subreddit"), "score", _MONTH.alias("month"))
+    return c.select(F.col("id").cast("string").alias("id"), "author", F.col("community").alias("subreddit"), "score", _month().alias("month"))
 
 
 def _written(spark: SparkSession, sf_dir: str, codec: str | None) -> str:
@@ -139,7 +142,7 @@ def s13_list(spark, sf_dir):
 def _sentiment_csv(spark: SparkSession, sf_dir: str) -> str:
     c = interactions.clean_comments(views.comments(spark, sf_dir), views.bots(spark, sf_dir))
     path = scratch(spark, "graphs")
-    sinks.write_edges(interactions.labelled(interactions.sentiment_edges(c), "sentiment").withColumn("snapshot", _MONTH).drop("method"), path, "csv")
+    sinks.write_edges(interactions.labelled(interactions.sentiment_edges(c), "sentiment").withColumn("snapshot", _month()).drop("method"), path, "csv")
     return path
 
 

@@ -54,31 +54,52 @@ VIEWS: dict[str, str] = {
     "tdeg": "select method, test, u, count(*) as d from tends group by all",
     "tnodes": "select distinct method, test, u from tends",
     "wanted": "select method, snapshot as test, count(*) as n from edges group by all",
-    "tpairs": """select a.method, a.test, a.u, b.u as v from tnodes a join tnodes b on a.method = b.method and a.test = b.test and a.u < b.u
-  where not exists (select 1 from train t where t.method = a.method and t.test = a.test and t.src = a.u and t.dst = b.u)""",
     "tcn": """select a.method, a.test, a.v as u, b.v as v, count(*) as cn, coalesce(sum(case when d.d > 1 then 1 / ln(d.d) end), 0) as aa
   from tends a join tends b on a.method = b.method and a.test = b.test and a.u = b.u and a.v < b.v
   join tdeg d on d.method = a.method and d.test = a.test and d.u = a.u group by all""",
-    "uniform": """select p.method, p.test, u, v from tpairs p join wanted w using (method, test)
-  qualify row_number() over (partition by p.method, p.test order by md5(u || '|' || v || '|42'), u, v) <= any_value(w.n) over (partition by p.method, p.test)""",
     "distance2": """select c.method, c.test, u, v from tcn c join wanted w using (method, test)
   where not exists (select 1 from train t where t.method = c.method and t.test = c.test and t.src = c.u and t.dst = c.v)
   qualify row_number() over (partition by c.method, c.test order by md5(u || '|' || v || '|42'), u, v) <= any_value(w.n) over (partition by c.method, c.test)""",
-    "hardest": """select p.method, p.test, p.u, p.v from tpairs p left join tcn c on c.method = p.method and c.test = p.test and c.u = p.u and c.v = p.v
-  join wanted w on w.method = p.method and w.test = p.test
-  qualify row_number() over (partition by p.method, p.test order by coalesce(c.cn, 0) desc, p.u, p.v) <= any_value(w.n) over (partition by p.method, p.test)""",
+    "sharing": """select method, test, u, v, cn from tcn c
+  where not exists (select 1 from train t where t.method = c.method and t.test = c.test and t.src = c.u and t.dst = c.v)""",
+    "lacking": """select w.method, w.test, w.n - coalesce(c, 0) as n from wanted w join (select distinct method, test from train) using (method, test)
+  left join (select method, test, count(*) as c from sharing group by all) using (method, test) where w.n > coalesce(c, 0)""",
+    "hardest": """select method, test, u, v from (select s.*, w.n, row_number() over (partition by s.method, s.test order by cn desc, md5(u || '|' || v || '|42'), u, v) as place
+    from sharing s join wanted w using (method, test)) where place <= n
+  union all select method, test, u, v from filled""",
+    "tm": "select method, test, count(*) as n from train group by all",
+    "linked": "select method, test, src as u, dst as v from train",
+    "linked_or_sharing": "select * from linked union all select method, test, u, v from sharing",
     "labelled": """select e.method, e.snapshot as test, src as u, dst as v, 1 as label from edges e join (select distinct method, test from train) t on t.method = e.method and t.test = e.snapshot
   union all select method, test, u, v, 0 from uniform""",
-    "featured": """select l.*, coalesce(c.cn, 0) as cn, round(coalesce(c.cn, 0) / nullif(coalesce(a.d, 0) + coalesce(b.d, 0) - coalesce(c.cn, 0), 0), 6) as jaccard0,
-    coalesce(c.aa, 0) as aa, coalesce(a.d, 0) * coalesce(b.d, 0) as pa
-  from labelled l left join tcn c on c.method = l.method and c.test = l.test and c.u = l.u and c.v = l.v
-  left join tdeg a on a.method = l.method and a.test = l.test and a.u = l.u left join tdeg b on b.method = l.method and b.test = l.test and b.u = l.v""",
     "steps": """select method, test, cn, sum(label) as p, sum(1 - label) as n,
     sum(sum(label)) over w as tp, sum(sum(1 - label)) over w as fp
   from featured group by method, test, cn window w as (partition by method, test order by cn desc rows unbounded preceding)""",
     "spans": "select yr, node_1 as u, node_2 as v, weighted::double as w from backbone union all select yr, node_2, node_1, weighted::double from backbone",
     "bnodes": "select distinct yr, u from spans",
 }
+
+
+def _sample(name: str, wanted: str, barred: str, seed: int) -> None:
+    """Views of a uniform sample of the pairs that are not barred: all pairs in their order of visits, then the first."""
+    VIEWS[f"nodes_{name}"] = f"select method, test, u, row_number() over (partition by method, test order by md5(u || '|{seed}'), u) - 1 as i, count(*) over (partition by method, test) as size from tnodes"
+    VIEWS[f"visits_{name}"] = f"""select method, test, size, x, (x * 2147483647) % (size * (size - 1) // 2) as t
+  from (select method, test, size, unnest(range(0, size * (size - 1) // 2)) as x from (select distinct method, test, size from nodes_{name}))"""
+    VIEWS[name] = f"""select method, test, u, v from (select d.method, d.test, least(a.u, b.u) as u, greatest(a.u, b.u) as v, w.n, row_number() over (partition by d.method, d.test order by x) as place
+    from visits_{name} d join nodes_{name} a on a.method = d.method and a.test = d.test and a.i = t % d.size
+    join nodes_{name} b on b.method = d.method and b.test = d.test and b.i = (t % d.size + t // d.size + 1) % d.size
+    join {wanted} w on w.method = d.method and w.test = d.test
+    where not exists (select 1 from {barred} l where l.method = d.method and l.test = d.test and l.u = least(a.u, b.u) and l.v = greatest(a.u, b.u))) where place <= n"""
+
+
+_sample("uniform", "wanted", "linked", 42)
+_sample("filled", "lacking", "linked_or_sharing", 42)
+_sample("fitting", "tm", "linked", 43)
+for _name, _pairs in (("featured", "labelled"), ("fitted", "(select method, test, u, v, 1 as label from linked union all select method, test, u, v, 0 from fitting)")):
+    VIEWS[_name] = f"""select l.*, coalesce(c.cn, 0) as cn, round(coalesce(c.cn, 0) / nullif(coalesce(a.d, 0) + coalesce(b.d, 0) - coalesce(c.cn, 0), 0), 6) as jaccard0,
+    coalesce(c.aa, 0) as aa, coalesce(a.d, 0) * coalesce(b.d, 0) as pa
+  from {_pairs} l left join tcn c on c.method = l.method and c.test = l.test and c.u = l.u and c.v = l.v
+  left join tdeg a on a.method = l.method and a.test = l.test and a.u = l.u left join tdeg b on b.method = l.method and b.test = l.test and b.u = l.v"""
 #: Shortest distances by doubling: after five rounds, over up to 32 hops.
 VIEWS["dist0"] = "select yr, u, v, min(w) as w from (select * from spans union all select yr, u, u, 0 from bnodes) group by all"
 for _k in range(1, 6):
@@ -87,8 +108,25 @@ for _k in range(1, 6):
     VIEWS[f"hops{_k}"] = f"select a.yr, a.u, b.v, min(a.h + b.h) as h from hops{_k - 1} a join hops{_k - 1} b on a.yr = b.yr and a.v = b.u group by all"
 VIEWS["hops0"] = "select yr, u, v, min(h) as h from (select yr, u, v, 1 as h from spans union all select yr, u, u, 0 from bnodes) group by all"
 VIEWS["reach"] = "select yr, u as node, min(v) as component, count(*) as size from dist5 group by yr, u"
+#: Shortest paths by number of edges, summed to path counts, and what passes through a node.
+VIEWS["steps_on"] = "select a.yr, a.u as s, e.u, e.v from dist5 a join spans e on e.yr = a.yr and e.u = a.v join dist5 b on b.yr = a.yr and b.u = a.u and b.v = e.v where abs(a.w + e.w - b.w) < 1e-9"
+VIEWS["path_counts"] = """with recursive p as (select yr, u as s, u as t, 0 as k, 1::double as c from bnodes
+  union all select p.yr, p.s, e.v, p.k + 1, sum(p.c) from p join steps_on e on e.yr = p.yr and e.s = p.s and e.u = p.t group by p.yr, p.s, e.v, p.k)
+  select yr, s, t, sum(c) as c from p group by all"""
+VIEWS["through"] = """select a.yr, a.t as node, sum(a.c * b.c / w.c) as through from path_counts a join path_counts b on b.yr = a.yr and b.s = a.t
+  join path_counts w on w.yr = a.yr and w.s = a.s and w.t = b.t join dist5 x on x.yr = a.yr and x.u = a.s and x.v = a.t join dist5 y on y.yr = a.yr and y.u = b.s and y.v = b.t
+  join dist5 z on z.yr = a.yr and z.u = a.s and z.v = b.t where a.s <> a.t and b.s <> b.t and a.s <> b.t and abs(x.w + y.w - z.w) < 1e-9 group by a.yr, a.t"""
 VIEWS["lcc"] = """select yr, component, size from (select yr, component, count(*) as size from reach group by all)
   qualify row_number() over (partition by yr order by size desc, component) = 1"""
+#: Power iteration in the largest components; every node is its own neighbour once, which is the shift by the identity.
+VIEWS["core"] = "select r.yr, r.node, l.size from reach r join lcc l on l.yr = r.yr and l.component = r.component"
+VIEWS["core_ends"] = "select s.yr, s.u, s.v, s.w, c.size from spans s join core c on c.yr = s.yr and c.node = s.u union all select yr, node, node, 1.0, size from core"
+VIEWS["eigen"] = """with recursive r as (select yr, node as u, 0 as k, 1.0::double / size as x, false as done from core
+  union all select yr, u, k + 1, x, sum(abs(x - old)) over (partition by yr) < size * 1e-3 from
+   (select yr, u, k, size, old, raw / sqrt(sum(raw * raw) over (partition by yr)) as x from
+    (select r.yr, e.u, r.k, e.size, sum(e.w * r.x) as raw, sum(case when e.u = e.v then r.x end) as old
+     from r join core_ends e on e.yr = r.yr and e.v = r.u where not r.done and r.k < 1000 group by r.yr, e.u, r.k, e.size)))
+  select yr, u, x from r where done"""
 
 
 def with_views(body: str) -> str:

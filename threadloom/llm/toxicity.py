@@ -12,14 +12,18 @@ of clean documents are clean; a toxic document's windows are toxic to begin
 with, and after each round only those that the model itself finds toxic. A document's score is that of its likeliest window,
 recalibrated against the number of windows on the training sample.
 
-Texts are read whole. The fit takes a bounded sample of labelled rows:
-at most ``MAX_DOCS`` documents of each class by hash order of doc_id, and of their
-windows at most ``MAX_WINDOWS`` per class, spread evenly.
+Texts are read whole. The fit takes a bounded sample of labelled rows, at most
+``MAX_DOCS`` documents of each class by hash order of doc_id, and learns from all windows of
+their texts. What it counts of an n-gram shrinks smoothly with the documents that hold it, by
+the same rule at every size.
 
 Defined cases: null and empty texts have no window and get the score of no
-evidence; without labels of both classes every score is 0; null labels and
+evidence; without labels of both classes every score is 0; where the clean or
+the toxic labels sit on empty texts only, no n-gram is learnt and the number of windows decides; null labels and
 labels of unknown documents are ignored; of contradicting labels the toxic one
-counts; repeated rows repeat; an empty table gives an empty result.
+counts; of a score of exactly 0.5 the prediction is toxic; repeated rows repeat;
+very long texts are scored whole, their words through a table of bounded size; other columns, whatever their names,
+are ignored by ``score_documents`` and carried along by ``reject_toxic``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,9 +38,13 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches
 
-MAX_DOCS, MAX_WINDOWS = 5000, 60_000
-#: N-grams in fewer documents of the sample, or in fewer than one in 400, are left at zero.
-LEAST_DOCS = 4
+MAX_DOCS = 5000
+#: An n-gram held by n documents of the sample counts n / (n + SHRINK) of its embedding: rare ones say less, none is left out.
+SHRINK = 50.0
+#: After the first round the one in HARD clean windows that look most toxic weighs as much as all others together.
+HARD = 16
+#: The most windows of a training step, and the most that a toxic window weighs.
+MOST_BATCH, MOST_WEIGHT = 16_384, 20
 #: The logit from which a window counts as toxic in the last round.
 CERTAIN = 2.0
 BITS, DIM, WINDOW = 18, 8, 8
@@ -171,27 +179,27 @@ def train(examples: Iterable[tuple[str, int]], rounds: int = 3, epochs: int = 2,
     toxic, sizes = np.array(marks, bool), np.array([len(r) for r in runs], np.int64)
     if not vocabulary or not toxic.any() or toxic.all():
         return None
-    rng = np.random.default_rng(seed)
-    n_words = len(vocabulary)
-    held = np.zeros(n_words, np.int32)
+    held = np.zeros(len(vocabulary), np.int32)
     for r in runs:
         held[np.unique(r)] += 1
     ids = np.concatenate(runs)
+    del runs
     slots, starts = subwords(list(vocabulary))
-    del runs, vocabulary
-    n_slots = np.maximum(1, np.diff(starts))
-    spread = np.zeros(1 << BITS)
-    for k in range(0, n_words, 20_000):
-        cut = starts[k : k + 20_001]
-        spread += np.bincount(slots[cut[0] : cut[-1]], np.repeat(held[k : k + 20_000], np.diff(cut)), 1 << BITS)
-    rare = spread < max(LEAST_DOCS, len(sizes) // 400)
+    del vocabulary
+    live, trust = _trust(slots, starts, held)
+    number = np.zeros(1 << BITS, np.int32)
+    number[live] = np.arange(len(live), dtype=np.int32)
+    for k in range(0, len(slots), 1 << 20):
+        slots[k : k + (1 << 20)] = number[slots[k : k + (1 << 20)]]
+    per_word = np.maximum(1, np.diff(starts)).astype(np.float32)
     n_docs = len(sizes)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    begin = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(first[:-1], first[1:], strict=True)])
-    end = np.minimum(begin + WINDOW, np.repeat(first[1:], -(-sizes // WINDOW)))
-    owner = np.repeat(np.arange(n_docs), -(-sizes // WINDOW))
+    begin = np.concatenate([np.arange(a, b, WINDOW, dtype=np.int32) for a, b in zip(first[:-1], first[1:], strict=True)])
+    owner = np.repeat(np.arange(n_docs, dtype=np.int32), -(-sizes // WINDOW))
+    end = np.minimum(begin + WINDOW, first[1:][owner]).astype(np.int32)
 
-    E, W, b = np.zeros((1 << BITS, DIM)), rng.normal(0, 1, (DIM, 2)) / np.sqrt(DIM), np.zeros(2)
+    rng = np.random.default_rng(seed)
+    E, W, b = np.zeros((len(live), DIM), np.float32), (rng.normal(0, 1, (DIM, 2)) / np.sqrt(DIM)).astype(np.float32), np.zeros(2, np.float32)
     state = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in (("E", E), ("W", W), ("b", b))}
     tick = 0
 
@@ -202,52 +210,60 @@ def train(examples: Iterable[tuple[str, int]], rounds: int = 3, epochs: int = 2,
         p -= rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.999**tick)) + 1e-8)
 
     def leaning() -> tuple[np.ndarray, float]:
-        return E @ (W[:, 1] - W[:, 0]), float(b[1] - b[0])
+        return trust * (E @ (W[:, 1] - W[:, 0])), float(b[1] - b[0])
 
     def window_logits() -> np.ndarray:
         lean, bias = leaning()
-        word = _sums(lean.astype(np.float32)[slots], starts) / n_slots
-        return _sums(word.astype(np.float32)[ids], np.append(begin, len(ids))) / (end - begin) + bias
-
-    def evenly(rows: np.ndarray, most: int) -> np.ndarray:
-        return rows[np.linspace(0, len(rows) - 1, min(len(rows), most)).astype(int)] if len(rows) else rows
+        word = _sums(lean[slots], starts) / per_word
+        out = np.empty(len(begin), np.float32)
+        for k in range(0, len(begin), 1 << 16):
+            at = slice(begin[k], end[min(k + (1 << 16), len(begin)) - 1])
+            cut = np.append(begin[k : k + (1 << 16)], at.stop) - at.start
+            out[k : k + (1 << 16)] = _sums(word[ids[at]], cut)
+        return out / (end - begin) + bias
 
     positive = toxic[owner]
-    all_clean = np.flatnonzero(~positive)
-    clean = evenly(all_clean, MAX_WINDOWS)
+    clean = np.flatnonzero(~positive)
+    heavy, place = np.ones(len(begin), np.float32), np.zeros(len(held), np.int32)
     for turn in range(rounds):
         if turn:
             z = window_logits()
             # in the last round a mislabelled document may have no toxic window at all
             positive = toxic[owner] & (z > (CERTAIN if turn == rounds - 1 else 0.0))
-            # half of the clean windows are those that the model takes for toxic most
-            hard = all_clean[np.argsort(-z[all_clean], kind="stable")[: MAX_WINDOWS // 2]]
-            clean = np.union1d(evenly(all_clean, MAX_WINDOWS // 2), hard)
-        hot = evenly(np.flatnonzero(positive), MAX_WINDOWS)
+            # the clean windows that the model takes for toxic most weigh as much as all others together
+            heavy[:] = 1
+            heavy[clean[np.argsort(-z[clean], kind="stable")[: len(clean) // HARD]]] = HARD
+        hot = np.flatnonzero(positive)
+        if not len(hot) or not len(clean):
+            break
         chosen = np.concatenate([hot, clean])
-        weight = len(clean) / max(1, len(hot))
+        weight = float(heavy[clean].sum()) / len(hot)
         for _ in range(epochs):
-            for part in np.array_split(rng.permutation(chosen), -(-len(chosen) // min(4096, max(128, len(chosen) // 24)))):
+            for part in np.array_split(rng.permutation(chosen), -(-len(chosen) // min(MOST_BATCH, max(128, len(chosen) // 24)))):
                 tick += 1
                 y = positive[part].astype(int)
                 n = end[part] - begin[part]
                 at = np.repeat(begin[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                words, back = np.unique(ids[at], return_inverse=True)
+                place[ids[at]] = 1
+                words = np.flatnonzero(place)
+                place[words] = np.arange(len(words), dtype=np.int32)
+                back = place[ids[at]]
+                place[words] = 0
                 per = starts[words + 1] - starts[words]
                 sub = slots[np.repeat(starts[words] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())]
-                vectors = _sums(E[sub], np.concatenate([[0], np.cumsum(per)])) / np.maximum(1, per)[:, None]
-                bags = _sums(vectors[back], np.concatenate([[0], np.cumsum(n)])) / n[:, None]
+                size = per_word[words][:, None]
+                vectors = _sums((E * trust[:, None])[sub], np.concatenate([[0], np.cumsum(per)])) / size
+                bags = _sums(vectors[back], np.concatenate([[0], np.cumsum(n)])) / n[:, None].astype(np.float32)
                 z = bags @ W + b
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(y)), y] -= 1
-                p *= (np.where(y == 1, min(weight, 20), 1) / len(y))[:, None]
-                d_bags = (p @ W.T) / n[:, None]
-                spread = np.repeat(d_bags, n, axis=0)
-                d_words = np.stack([np.bincount(back, spread[:, k], len(words)) for k in range(DIM)], 1) / np.maximum(1, per)[:, None]
-                d_sub = np.repeat(d_words, per, axis=0)
-                d_E = np.stack([np.bincount(sub, d_sub[:, k], 1 << BITS) for k in range(DIM)], 1)
-                d_E[rare] = 0
+                p *= (np.where(y == 1, min(weight, MOST_WEIGHT), heavy[part]) / len(y))[:, None].astype(np.float32)
+                spread = np.repeat((p @ W.T) / n[:, None].astype(np.float32), n, axis=0)
+                d_words = np.stack([np.bincount(back, spread[:, k], len(words)) for k in range(DIM)], 1) / size
+                d_E = np.empty_like(E)
+                for k in range(DIM):
+                    d_E[:, k] = np.bincount(sub, np.repeat(d_words[:, k], per), len(live)) * trust
                 adam("E", E, d_E, 0.05)
                 adam("W", W, bags.T @ p, 0.02)
                 adam("b", b, p.sum(0), 0.02)
@@ -260,7 +276,22 @@ def train(examples: Iterable[tuple[str, int]], rounds: int = 3, epochs: int = 2,
         np.maximum.at(best, owner, z)
         top = np.where(np.isfinite(best), best, bias)
     c = _calibrate(np.stack([top, np.log1p(sizes / WINDOW), np.ones(n_docs)], 1), toxic)
-    return Model(lean.astype(np.float32), bias, float(c[0]), float(c[1]), float(c[2]))
+    table = np.zeros(1 << BITS, np.float32)
+    table[live] = lean
+    return Model(table, bias, float(c[0]), float(c[1]), float(c[2]))
+
+
+def _trust(slots: np.ndarray, starts: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table slots that occur, and n / (n + ``SHRINK``) for the documents n that hold each.
+
+    ``held`` counts documents per word, so a slot's count may exceed its documents.
+    """
+    spread = np.zeros(1 << BITS)
+    for k in range(0, len(held), 20_000):
+        cut = starts[k : k + 20_001]
+        spread += np.bincount(slots[cut[0] : cut[-1]], np.repeat(held[k : k + 20_000], np.diff(cut)), 1 << BITS)
+    live = np.flatnonzero(spread)
+    return live, (spread[live] / (spread[live] + SHRINK)).astype(np.float32)
 
 
 def remainder(doc_id) -> object:
@@ -305,4 +336,5 @@ def reject_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5) -
             clean = [scorer.score(v.as_py()) < threshold for v in b.column(names.index("text"))]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # Spark's own resolves no names with dots here
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -7,8 +7,10 @@ and only those run their expressions. Work per URL therefore follows its own
 length and the few rules sharing a rare token, not the size of the rule set.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
-fits no rule; rows repeat as they are; other columns of the input are ignored;
-an empty table gives an empty result. Equal rules given twice with different
+fits no rule; control characters belong to the host or path they stand in; very
+long urls are read whole; of rules of equal length the first by code point
+wins; rows repeat as they are; other columns of the input are ignored,
+whatever their names; an empty table gives an empty result. Equal rules given twice with different
 verdicts are an error.
 """
 
@@ -53,8 +55,9 @@ class Rule:
         whole = path[: len(path) - len(re.search(r"[0-9A-Za-z]*$", path)[0])]
         return set(_TOKEN.findall(self.host.lower())) | set(_TOKEN.findall(whole))
 
-    def regex(self) -> re.Pattern:
-        return re.compile(rf"(?:[^\n]*\.)?{re.escape(self.host.lower())}\n{re.escape(self.path)}", re.S)
+    def regexes(self) -> tuple[re.Pattern, re.Pattern]:
+        """What the whole host and the beginning of the path must fit; apart, since either may hold any character."""
+        return re.compile(rf"(?:.*\.)?{re.escape(self.host.lower())}", re.S), re.compile(re.escape(self.path))
 
 
 def _lower_ascii(s: str) -> str:
@@ -84,11 +87,11 @@ class RuleIndex:
             if verdicts.setdefault(r.pattern, r.verdict) != r.verdict:
                 raise ValueError(f"rule {r.pattern!r} has two verdicts")
         held = Counter(t for p, v in verdicts.items() for t in Rule(p, v).tokens())
-        self.by_token: dict[str, list[tuple[int, str, str, re.Pattern]]] = {}
-        self.always: list[tuple[int, str, str, re.Pattern]] = []
+        self.by_token: dict[str, list[tuple[int, str, str, re.Pattern, re.Pattern]]] = {}
+        self.always: list[tuple[int, str, str, re.Pattern, re.Pattern]] = []
         for p, v in verdicts.items():
             rule = Rule(p, v)
-            entry = (len(p), p, v, rule.regex())
+            entry = (len(p), p, v, *rule.regexes())
             key = min(rule.tokens(), key=lambda t: (held[t], -len(t), t), default=None)
             (self.always if key is None else self.by_token.setdefault(key, [])).append(entry)
         # longest first, so the first rule that fits is the answer of its list
@@ -97,14 +100,14 @@ class RuleIndex:
 
     def judge(self, host: str, path: str) -> tuple[str, str] | None:
         """The longest fitting rule and its verdict; of equally long ones, the first by code point."""
-        line = f"{host}\n{path}"
         best = None
-        found = [self.by_token[t] for t in set(_TOKEN.findall(line)) if t in self.by_token]
+        tokens = {*_TOKEN.findall(host), *_TOKEN.findall(path)}
+        found = [self.by_token[t] for t in tokens if t in self.by_token]
         for entries in [self.always, *found]:
-            for size, pattern, verdict, regex in entries:
+            for size, pattern, verdict, hosts, paths in entries:
                 if best is not None and (-size, pattern) >= best[:2]:
                     break
-                if regex.match(line):
+                if paths.match(path) and hosts.fullmatch(host):
                     best = (-size, pattern, verdict)
                     break
         return best and best[1:]

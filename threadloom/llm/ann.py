@@ -1,27 +1,29 @@
 """Approximate nearest neighbours by multi-index hashing, reranked by exact inner products.
 
-Codes are 64 signs of learned rotations: on a bounded sample the vectors are
-centred and reduced by principal components where they have more than 64
-dimensions, and a rotation is fitted that brings them near their signs. A code
-is split into four 16-bit substrings, each with an index of its own from value
-to rows. Within Hamming radius r = 4 s + a, two codes agree up to s bits in one of
+Codes are ``BITS`` signs of learned rotations: on a bounded sample the vectors are
+centred and reduced by principal components where they have more dimensions
+than bits, and rotations are fitted that bring them near their signs, several where they have
+fewer. A code is split into ``PARTS`` substrings, each with an index of its own from value
+to rows. Within Hamming radius r = PARTS s + a, two codes agree up to s bits in one of
 the first a + 1 substrings or up to s - 1 in one of the others, so probing those
 values retrieves every code within the radius: the occupied values are
 compared rather than all flips listed, which are far more. Retrieved codes within
 the radius are reranked by their vectors.
 
 The radius comes from exact neighbours of a bounded set of calibration rows
-among all rows: the least one that holds ``HELD`` of them. A query that finds
-fewer than k in a block widens its radius there until it has k, or all rows of the block, so
-no bucket or candidate list is capped.
+among all rows: the least one that holds ``HELD`` of them. Queries that find fewer than k
+rows within it, in the whole table, are searched again without a radius, so no bucket or candidate list is capped.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
-components take no part, nor do null ids; see ``vector_blocks`` for repeated ids
-and unequal lengths; ties go to the smaller id; an empty table gives an empty result.
+components take no part, nor do null ids; see ``vector_blocks`` for repeated ids,
+unequal lengths and other columns; components of any finite size are coded by their direction; a product beyond the
+range of doubles is infinite, and one without a value (infinities of both signs) counts as the least;
+ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vector_blocks import Best, against_all, load, matrix, pack, queries_of, widen
+from .shared import keep
+from .vector_blocks import Best, Kept, against_all, load, matrix, pack, packs_of, queries_of, widen
 
-BITS, PARTS = 64, 4
+BITS, PARTS = 128, 4
 #: Rows that the rotation is fitted on, and rows whose exact neighbours set the radius.
-SAMPLE_ROWS, CALIBRATION_ROWS, HELD = 8192, 128, 0.97
-_POP16 = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
-_PAIRS = 1 << 16
+SAMPLE_ROWS, CALIBRATION_ROWS, HELD = 8192, 128, 0.94
+#: Queries that probe a block at once, and pairs whose products are summed at once.
+_PROBING, _PAIRS = 256, 1 << 16
+
+
+def _greatest(x: np.ndarray) -> np.ndarray:
+    """The largest magnitude in each row, as a column; 1 for rows of zeros."""
+    m = np.abs(x).max(axis=1, initial=0, keepdims=True)
+    return np.where(m > 0, m, 1.0)
 
 
 @dataclass
@@ -44,17 +53,25 @@ class Coder:
     axes: np.ndarray
 
     def codes(self, x: np.ndarray) -> np.ndarray:
+        """Rows of ``PARTS`` substrings of 32 bits. Each row is scaled, which leaves the signs as they are."""
         width = len(self.mean)
         near = widen(x, width)[:, :width]
-        bits = (near - self.mean) @ self.axes >= 0
-        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        size = np.maximum(_greatest(near), np.abs(self.mean).max(initial=0))
+        bits = (near / size - self.mean / size) @ self.axes >= 0
+        return np.packbits(bits, axis=1, bitorder="little").view(np.uint32)
 
 
 def learn(sample: np.ndarray, rounds: int = 30, seed: int = 11) -> Coder:
-    """Rotations of the sample towards its signs; several where it has fewer than 64 dimensions."""
+    """Rotations of the sample towards its signs; several where it has fewer than ``BITS`` dimensions.
+
+    Rows whose largest magnitude is far above the median are shortened for the fit.
+    """
     rng = np.random.default_rng(seed)
-    mean = sample.mean(0)
-    centred = sample - mean
+    size = _greatest(sample)
+    typical = float(np.median(size))
+    near = sample / size * np.minimum(size / typical, 10.0)
+    mean = near.mean(0)
+    centred = near - mean
     _, _, axes = np.linalg.svd(centred.T @ centred)
     basis = axes[:BITS].T
     v = centred @ basis
@@ -65,55 +82,56 @@ def learn(sample: np.ndarray, rounds: int = 30, seed: int = 11) -> Coder:
             u, _, wt = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0))
             r = u @ wt
         turns.append(basis @ r)
-    return Coder(mean, np.concatenate(turns, axis=1)[:, :BITS])
+    return Coder(mean * typical, np.concatenate(turns, axis=1)[:, :BITS])
 
 
 def build(coder: Coder, ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
     """A block with its codes and, per substring, the occupied values and each row's place among them."""
     codes = coder.codes(x)
-    out = {"ids": ids, "x": x.astype(np.float32) if (x == x.astype(np.float32)).all() else x, "codes": codes}
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    out = {"ids": ids, "x": short if (short == x).all() else x, "codes": codes.view(np.uint64)}
     for p in range(PARTS):
-        values, place = np.unique((codes >> np.uint64(16 * p)).astype(np.uint16), return_inverse=True)
+        values, place = np.unique(codes[:, p], return_inverse=True)
         out |= {f"values{p}": values, f"place{p}": place.astype(np.uint16)}
     return out
 
 
-def _retrieve(code: np.ndarray, block: dict[str, np.ndarray], radius: int) -> np.ndarray:
-    """For each code, which rows of the block lie within the radius."""
+def _retrieve(code: np.ndarray, block: dict[str, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a code and a row of the block within the radius, by code."""
     s, a = divmod(radius, PARTS)
     hit = np.zeros((len(code), len(block["ids"])), bool)
     for p in range(PARTS):
         allowed = s if p <= a else s - 1
         if allowed >= 0:
-            part = (code >> np.uint64(16 * p)).astype(np.uint16)
-            near = _POP16[part[:, None] ^ block[f"values{p}"]] <= allowed
-            hit |= near[:, block[f"place{p}"]]
-    at = np.nonzero(hit)
-    hit[at] = np.bitwise_count(code[at[0]] ^ block["codes"][at[1]]) <= radius
-    return hit
+            near = np.bitwise_count(code[:, p, None] ^ block[f"values{p}"]) <= allowed
+            hit |= near.take(block[f"place{p}"], axis=1)
+    at, rows = np.divmod(np.flatnonzero(hit), hit.shape[1])
+    whole = code.view(np.uint64)
+    apart = sum(np.bitwise_count(whole[:, w][at] ^ block["codes"][:, w][rows]).astype(np.int16) for w in range(whole.shape[1]))
+    within = apart <= radius
+    return at[within], rows[within]
 
 
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row by row inner products, summed in the same order for equal rows."""
     width = max(q.shape[1], x.shape[1])
-    return (widen(q, width).astype(np.float64) * widen(x, width)).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (widen(q, width).astype(np.float64, copy=False) * widen(x, width)).sum(axis=1)
+    return np.where(np.isnan(out), -np.inf, out)
 
 
-def search(coder: Coder, radius: int, query_ids: np.ndarray, queries: np.ndarray, block: dict[str, np.ndarray], best: Best) -> None:
-    ids, k = block["ids"], best.k
-    todo, r = np.arange(len(query_ids)), radius
+def search(coder: Coder, radius: int, query_ids: np.ndarray, queries: np.ndarray, blocks: list[dict[str, np.ndarray]], best: Best) -> None:
     codes = coder.codes(queries)
-    while len(todo):
-        hit = _retrieve(codes[todo], block, r)
-        hit &= ids != query_ids[todo][:, None]
-        enough = hit.sum(1) >= k if r < BITS else np.ones(len(todo), bool)
-        hit, now = hit[enough], todo[enough]
-        at, rows = np.nonzero(hit)
-        scores = np.concatenate([np.zeros(0)] + [inner(queries[now[at[c : c + _PAIRS]]], block["x"][rows[c : c + _PAIRS]]) for c in range(0, len(at), _PAIRS)])
-        cut = np.searchsorted(at, np.arange(len(now) + 1))
-        for j, q in enumerate(now):
-            best.offer(int(q), scores[cut[j] : cut[j + 1]], ids[rows[cut[j] : cut[j + 1]]])
-        todo, r = todo[~enough], min(BITS, r + 2 * PARTS)
+    for block in blocks:
+        for start in range(0, len(query_ids), _PROBING):
+            at, rows = _retrieve(codes[start : start + _PROBING], block, radius)
+            other = block["ids"][rows] != query_ids[start + at]
+            at, rows = at[other], rows[other]
+            scores = np.concatenate([np.zeros(0)] + [inner(queries[start + at[c : c + _PAIRS]], block["x"][rows[c : c + _PAIRS]]) for c in range(0, len(at), _PAIRS)])
+            cut = np.searchsorted(at, np.arange(len(codes[start : start + _PROBING]) + 1))
+            for q in range(len(cut) - 1):
+                best.offer(start + q, scores[cut[q] : cut[q + 1]], block["ids"][rows[cut[q] : cut[q + 1]]])
 
 
 def _sample(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -131,30 +149,45 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     coder = learn(x) if len(x) else Coder(np.zeros(0), np.zeros((0, BITS)))
     blocks = pack(vectors, lambda i, v: build(coder, i, v), lambda v: v.any(axis=1), "ann")
     radius = calibrate(blocks, coder, ids[:CALIBRATION_ROWS], x[:CALIBRATION_ROWS], k)
-    return against_all(blocks, queries_of(blocks, every), lambda i, q, b, best: search(coder, radius, i, q, b, best), k, "double")
+    asked = keep(queries_of(blocks, every), "queries")
+
+    def within(queries: DataFrame, r: int) -> DataFrame:
+        return against_all(blocks, packs_of(queries), lambda i, q, b, best: search(coder, r, i, q, b, best), k, "double")
+
+    found = keep(within(asked, radius), "near")
+    others = blocks.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - 1
+    enough = found.groupBy(F.col("query_id").alias("block")).agg(F.count("*").alias("found")).filter(F.col("found") >= min(k, others))
+    short = keep(asked.join(enough, "block", "left_anti").select(*asked.columns), "short")
+    if short.isEmpty():
+        return found
+    return found.join(short.select(F.col("block").alias("query_id")), "query_id", "left_anti").unionByName(within(short, BITS))
 
 
-def calibrate(blocks, coder: Coder, ids: np.ndarray, x: np.ndarray, k: int) -> int:
+def calibrate(blocks: Kept, coder: Coder, ids: np.ndarray, x: np.ndarray, k: int) -> int:
     """The least radius holding the wanted share of the exact neighbours of the calibration rows."""
     if not len(ids):
         return 0
 
-    def run(batches):
-        best, codes, bits = Best(ids, k), coder.codes(x), [{} for _ in ids]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = coder.codes(x).view(np.uint64)
+        score, bits = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int32)
         for b in batches:
             for blob in b.column(0).to_pylist():
                 block = load(blob)
-                for q in range(len(ids)):
-                    other = np.flatnonzero(block["ids"] != ids[q])
-                    best.offer(q, inner(x[[q]], block["x"][other]), block["ids"][other])
-                    fresh = np.flatnonzero(np.isin(block["ids"], best.found[q]))
-                    bits[q] |= dict(zip(block["ids"][fresh].tolist(), np.bitwise_count(codes[q] ^ block["codes"][fresh]).tolist(), strict=True))
-                    bits[q] = {i: bits[q][i] for i in best.found[q].tolist()}
-        rows = [(q, s, i, bits[q][i]) for q in range(len(ids)) for s, i in zip(best.scores[q].tolist(), best.found[q].tolist(), strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.float64(), pa.int64(), pa.int32()), strict=True)], names=["q", "score", "vec_id", "bits"])
-
-    found = blocks.df.select("blob").mapInArrow(run, "q int, score double, vec_id long, bits int")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
+                width = max(x.shape[1], block["x"].shape[1])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    new = widen(x, width) @ widen(block["x"], width).astype(np.float64).T
+                new = np.where(np.isnan(new) | (ids[:, None] == block["ids"]), -np.inf, new)
+                top = np.argsort(-new, axis=1, kind="stable")[:, :k]
+                apart = np.bitwise_count(codes[:, None, :] ^ block["codes"][top]).sum(axis=2, dtype=np.int32)
+                score, bits = np.concatenate([score, np.take_along_axis(new, top, 1)], 1), np.concatenate([bits, apart], 1)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score, bits = np.take_along_axis(score, top, 1), np.take_along_axis(bits, top, 1)
+        q, at = np.nonzero(score > -np.inf)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((q, pa.int32()), (score[q, at], pa.float64()), (bits[q, at], pa.int32()))], names=["q", "score", "bits"])
+
+    found = blocks.df.select("blob").mapInArrow(run, "q int, score double, bits int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "bits"))
     bits = [r["bits"] for r in found.withColumn("rank", rank).filter(F.col("rank") <= k).select("bits").collect()]
     return int(np.quantile(bits, HELD, method="higher")) if bits else 0

@@ -2,12 +2,13 @@
 
 ``pack`` sorts the vectors by id into ranges and writes them as blocks of a few
 thousand. ``against_all`` deals the blocks to shards, sends each pack of queries to
-every shard, and streams the pairs through a kernel that keeps the best k of each
-query; what shards found is merged by query. Tasks hold one block, one pack
-and k rows per query of it; no vector is sent to the driver.
+every shard, and lays it there against all blocks of the shard, which are unpacked once, through a
+kernel that keeps the best k of each query; what shards found is merged by query. Tasks hold one
+shard of bounded bytes, one pack and k rows per query of it; no vector is sent to the driver.
 
 Rows that share an id count once: the first in the order of their vectors.
-Vectors shorter than others are read as ending in zeros.
+Vectors shorter than others are read as ending in zeros. Only ``vec_id`` and ``embedding`` are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def pack(vectors: DataFrame, build: Callable[[np.ndarray, np.ndarray], dict[str,
 
 
 def queries_of(blocks: Kept, every: int) -> DataFrame:
-    """Packs of the vectors whose id is divisible by ``every``; arrays ids and x."""
+    """The vectors whose id is divisible by ``every``, one per row under its id; arrays ids and x."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,8 +105,13 @@ def queries_of(blocks: Kept, every: int) -> DataFrame:
                 a = load(blob)
                 chosen = np.flatnonzero(a["ids"] % every == 0)
                 if len(chosen):
-                    rows = [(int(a["ids"][k]), 1, dump({"ids": a["ids"][[k]], "x": a["x"][[k]]})) for k in chosen]
-                    yield _batch(rows)
+                    yield _batch([(int(a["ids"][k]), 1, dump({"ids": a["ids"][[k]], "x": a["x"][[k]]})) for k in chosen])
+
+    return blocks.df.select("blob").mapInArrow(pick, _BLOB)
+
+
+def packs_of(queries: DataFrame) -> DataFrame:
+    """Query vectors joined into packs."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[dict[str, np.ndarray]] = []
@@ -125,16 +131,15 @@ def queries_of(blocks: Kept, every: int) -> DataFrame:
         if waiting:
             yield packed()
 
-    single = blocks.df.select("blob").mapInArrow(pick, _BLOB)
-    return single.repartition("block").mapInArrow(join, _BLOB)
+    return queries.repartition("block").mapInArrow(join, _BLOB)
 
 
 class Best:
-    """The best k of each query: highest score, then smallest id."""
+    """The best k of each query: highest score, then smallest id. Scores are of one kind, so that none is rounded."""
 
-    def __init__(self, ids: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, k: int, kind: type = np.float64):
         self.ids, self.k = ids, k
-        self.scores: list[np.ndarray] = [np.zeros(0) for _ in ids]
+        self.scores: list[np.ndarray] = [np.zeros(0, kind) for _ in ids]
         self.found: list[np.ndarray] = [np.zeros(0, np.int64) for _ in ids]
 
     def bar(self, q: int):
@@ -150,43 +155,52 @@ class Best:
             scores, ids = scores[high], ids[high]
         if len(scores):
             scores, ids = np.concatenate([self.scores[q], scores]), np.concatenate([self.found[q], ids])
-            top = np.lexsort((ids, -scores))[: self.k]
+            top = np.lexsort((-ids, scores))[::-1][: self.k]
             self.scores[q], self.found[q] = scores[top], ids[top]
 
 
-#: Lays one pack (ids, vectors) against one block and offers what it finds.
-Kernel = Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray], Best], None]
+#: Lays one pack (ids, vectors) against the blocks of a shard and offers what it finds.
+Kernel = Callable[[np.ndarray, np.ndarray, list[dict[str, np.ndarray]], Best], None]
 
 
 def against_all(blocks: Kept, packs: DataFrame, kernel: Kernel, k: int, exact: str) -> DataFrame:
     """query_id, rank, vec_id, score: the best k of every query among all vectors but its own id."""
     spark = blocks.spark
     size = blocks.df.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("bytes")).first()
-    shards = int(max(1, min(size["blocks"], max(2 * spark.sparkContext.defaultParallelism, size["bytes"] // SHARD_BYTES))))
+    shards = int(max(1, min(size["blocks"], max(2 * spark.sparkContext.defaultParallelism, -(-size["bytes"] // SHARD_BYTES)))))
     left = packs.select(F.col("block").alias("pack"), F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = blocks.df.select(F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard"), "blob")
-    pairs = left.hint("merge").join(right, "shard").select("shard", "pack", "queries", "blob")
+    right = blocks.df.select(F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard"), "block", "blob")
+    pairs = left.hint("merge").join(right, "shard").select("shard", "pack", "block", "queries", "blob")
     arrow = pa.int64() if exact == "long" else pa.float64()
     kind = np.int64 if exact == "long" else np.float64
 
     def rows(best: Best) -> pa.RecordBatch:
         sizes = [len(f) for f in best.found]
-        flat = [np.concatenate([np.zeros(0, t), *x]).astype(t) for t, x in ((np.int64, best.found), (kind, best.scores))]
+        flat = [np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, best.found), (kind, best.scores))]
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, sizes), pa.int64()), pa.array(flat[0], pa.int64()), pa.array(flat[1], arrow)], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best, queries = None, None, None
+        at, queries, mine, loaded = None, None, [], {}
+
+        def search() -> pa.RecordBatch:
+            best = Best(queries["ids"], k, kind)
+            kernel(queries["ids"], queries["x"], mine, best)
+            return rows(best)
+
         for b in batches:
             for i in range(b.num_rows):
-                key = (b.column(0)[i].as_py(), b.column(1)[i].as_py())
-                if key != at:
-                    if best is not None:
-                        yield rows(best)
-                    at, queries = key, load(b.column(2)[i].as_py())
-                    best = Best(queries["ids"], k)
-                kernel(queries["ids"], queries["x"], load(b.column(3)[i].as_py()), best)
-        if best is not None:
-            yield rows(best)
+                shard, pack, block = (b.column(c)[i].as_py() for c in range(3))
+                if (shard, pack) != at:
+                    if at is not None:
+                        yield search()
+                    if at is None or shard != at[0]:
+                        loaded = {}
+                    at, queries, mine = (shard, pack), load(b.column(3)[i].as_py()), []
+                if block not in loaded:
+                    loaded[block] = load(b.column(4)[i].as_py())
+                mine.append(loaded[block])
+        if at is not None:
+            yield search()
 
     partial = pairs.mapInArrow(run, f"query_id long, vec_id long, score {exact}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

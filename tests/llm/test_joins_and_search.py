@@ -70,6 +70,7 @@ def test_tiles_alone_find_the_same(spark, corpus, monkeypatch):
     monkeypatch.setattr(near_dups, "SHORT", 1)
     monkeypatch.setattr(near_dups, "ROUNDS", 0)
     monkeypatch.setattr(near_dups, "TILE_BYTES", 8_000)
+    monkeypatch.setattr(near_dups, "TILE_ROWS", 10)
     got, want = run(spark, corpus), brute_components(corpus)
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == want
 
@@ -87,6 +88,16 @@ def test_one_document_stays(spark, docs):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == [(0, "a b c"), (3, "a b c"), (9, "")]
 
 
+def test_dropping_is_the_same_in_every_layout(spark):
+    """Rows that share id and text but not the rest: the row that stays does not hang on partitions, and odd names go along."""
+    rows = [(k % 3, "a b c d e f", k, f"x{k}") for k in range(12)] + [(None, "t", 50, "y"), (None, "t", 51, "z"), (None, "u", 52, "y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, row string")
+    judged = near_dups.near_duplicates(table)
+    seen = {tuple(sorted(map(tuple, near_dups.drop_near_duplicates(t, judged).collect()), key=str)) for t in (table, table.repartition(7), table.orderBy(table["`a.b`"].desc()).coalesce(1))}
+    assert len(seen) == 1 and len(next(iter(seen))) == 3
+    assert near_dups.drop_near_duplicates(table, judged).columns == table.columns
+
+
 @pytest.mark.parametrize("one_task", [10**6, 0])
 def test_components(spark, one_task):
     rng = random.Random(1)
@@ -141,10 +152,64 @@ def test_pruning_skips_ranges():
             seen.append(len(ids))
             super().offer(q, scores, ids)
 
-    topk_search.search(np.array([-1]), np.full((1, 4), 256), block, Counting(np.array([-1]), 5))
+    topk_search.search(np.array([-1]), np.full((1, 4), 256), [block], Counting(np.array([-1]), 5, np.int64))
     assert sum(seen) <= 64 * 2
 
 
+def test_ranges_of_all_blocks_are_visited_in_one_order():
+    low, high = np.full((640, 4), -1.0), np.full((64, 4), 1.0)
+    blocks = [topk_search.build(np.arange(640), low), topk_search.build(np.arange(1000, 1064), high)]
+    from threadloom.llm.vector_blocks import Best
+
+    seen = []
+
+    class Counting(Best):
+        def offer(self, q, scores, ids):
+            seen.extend(ids.tolist())
+            super().offer(q, scores, ids)
+
+    topk_search.search(np.array([-1]), np.full((1, 4), 256), blocks, Counting(np.array([-1]), 5, np.int64))
+    assert min(seen) >= 1000
+
+
+def test_top_k_of_large_components(spark):
+    """Products beyond doubles' and 64-bit integers' exact range, with scores that fit; blocks of both kinds mix."""
+    x = [[4e9, 0, 0, 0], [0, 4e9, 0, 0], [1, 1, 0, 0], [0, 0, 2.0**40, -(2.0**40)], [0, 0, 2.0**40, 2.0**40], [3, 2, 0, 0]]
+    got = topk_search.top_k(spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>"), k=3, every=1).collect()
+    ints = [[int(np.floor(256 * v)) for v in r] for r in x]
+    want = []
+    for q in range(len(x)):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], ints[k], strict=True)), k) for k in range(len(x)) if k != q)[:3]
+        want += [(q, place + 1, k, -s) for place, (s, k) in enumerate(scores)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>"), k=1, every=1).collect()
+
+
+def test_nearest_neighbours_of_extreme_vectors(spark):
+    rng = np.random.default_rng(4)
+    for width in (3, 64):
+        x = rng.normal(size=(200, width))
+        x[7, 0], x[8, 1], x[9, :2] = 1e200, -1e200, 1e-200
+        rows = ann.neighbours(vectors(spark, x), k=5, every=20).collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r["query_id"], []).append(r["vec_id"])
+        hits = 0
+        for q in range(0, 200, 20):
+            scores = x @ x[q]
+            scores[q] = -np.inf
+            assert len(by[q]) == 5
+            hits += len(set(by[q]) & set(np.argsort(-scores, kind="stable")[:5].tolist()))
+        assert hits >= 0.9 * 50
+
+
+def test_queries_far_from_all_still_get_k(spark):
+    x = np.vstack([np.tile(np.eye(16)[0], (300, 1)) + 0.01 * np.random.default_rng(5).normal(size=(300, 16)), -np.eye(16)[0]])
+    rows = ann.neighbours(vectors(spark, x), k=20, every=300).collect()
+    assert sorted(r["query_id"] for r in rows) == [0] * 20 + [300] * 20
+
+
 def test_nearest_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1200, 64))
@@ -173,14 +238,17 @@ def test_nearest_neighbours_recall_and_ties(spark):
 def test_pigeonhole_retrieves_every_code():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 1 << 63, 500, dtype=np.uint64) & rng.integers(0, 1 << 63, 500, dtype=np.uint64)
-    block = ann.build(ann.Coder(np.zeros(1), np.zeros((1, 64))), np.arange(500), np.ones((500, 1)))
-    block["codes"] = codes
+    codes = codes.reshape(250, 2)
+    codes[100:120] = codes[:20]
+    block = {"ids": np.arange(250), "codes": codes}
     for p in range(ann.PARTS):
-        values, place = np.unique((codes >> np.uint64(16 * p)).astype(np.uint16), return_inverse=True)
+        values, place = np.unique(codes.view(np.uint32)[:, p], return_inverse=True)
         block |= {f"values{p}": values, f"place{p}": place}
-    for radius in (0, 3, 10, 17, 30, 64):
-        want = np.bitwise_count(codes[:40, None] ^ codes) <= radius
-        assert (ann._retrieve(codes[:40], block, radius) == want).all()
+    for radius in (0, 3, 10, 30, 50, 61, 128):
+        want = np.bitwise_count(codes[:40, None] ^ codes).sum(axis=2) <= radius
+        got = np.zeros_like(want)
+        got[ann._retrieve(codes[:40].view(np.uint32), block, radius)] = True
+        assert (got == want).all() and want.any()
 
 
 def test_empty_vector_tables(spark):

@@ -36,6 +36,62 @@ def test_held_out_accuracy_and_misspellings(model):
         assert s.score(prose(rng, 40) + " " + wrong) > s.score(prose(rng, 40) + " narisolu") + 0.05
 
 
+def test_scores_equal_a_plain_loop(model):
+    """The score recomputed n-gram by n-gram from the table of the model."""
+    mask, prime = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def slot(gram):
+        h = len(gram)
+        for c in gram:
+            h = ((h ^ ord(c)) * prime) & mask
+            h ^= h >> 29
+        return h >> (64 - toxicity.BITS)
+
+    def word_logit(word):
+        marked = "<" + (word.strip(toxicity._ENDS) or word) + ">"
+        grams = [marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1)]
+        return sum(float(model.lean[slot(g)]) for g in grams) / max(1, len(grams))
+
+    def score(text):
+        words = text.lower().split()
+        windows = [words[k : k + 8] for k in range(0, len(words), 8)]
+        top = max([sum(map(word_logit, w)) / len(w) + model.bias for w in windows], default=model.bias)
+        z = model.scale * top + model.per_window * np.log1p(len(words) / 8) + model.offset
+        return 1 / (1 + np.exp(-z))
+
+    rng, s = random.Random(9), toxicity.Scorer(model)
+    for text in [prose(rng, n, n % 3) for n in range(1, 40)] + ["", "A b. (idiot)!", "« Moron » --- x"]:
+        assert s.score(text) == pytest.approx(score(text), abs=1e-5)
+
+
+def test_labels_on_empty_texts_only():
+    """Nothing to learn words from: no crash, scores stay in range."""
+    for examples in ([("", 0), (None, 0), ("idiot you", 1), ("bad idiot", 1)], [("nice day", 0), ("a", 0), ("", 1), (None, 1)]):
+        s = toxicity.Scorer(toxicity.train(examples))
+        assert all(0 <= s.score(t) <= 1 for t in ("idiot", "nice", "", None))
+
+
+def test_rare_ngrams_are_learnt_at_every_size():
+    """An insult of three labelled documents leans towards toxic among few and among many others."""
+    for n in (60, 900):
+        rng = random.Random(n)
+        rows = [(prose(rng, 30), 0) for _ in range(n)] + [(prose(rng, 4) + " zxqvw " + prose(rng, 3), 1) for _ in range(3)] + [(prose(rng, 30, 4), 1) for _ in range(n // 6)]
+        m = toxicity.train(rows)
+        usual = m.word_logits([w for _ in range(50) for w in prose(rng, 30).split()])
+        assert m.word_logits(["zxqvw"])[0] > np.quantile(usual, 0.9) and m.word_logits(["zxqvw"])[0] > 0
+
+
+def test_toxicity_of_odd_tables(spark, docs, model):
+    from pyspark.sql import functions as F
+
+    assert toxicity.score_documents(docs([]), model).count() == 0 and toxicity.reject_toxic(docs([]), model).count() == 0
+    odd = docs([(1, "idiot moron idiot moron"), (1, "idiot moron idiot moron"), (2, None), (None, "sota neri")]).withColumn("score", F.lit("x")).withColumn("a.b", F.lit(1))
+    scored = toxicity.score_documents(odd, model).collect()
+    assert len(scored) == 4 and len({r["score"] for r in scored if r["doc_id"] == 1}) == 1
+    left = toxicity.reject_toxic(odd, model)
+    assert left.columns == odd.columns and sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 2]
+
+
 def test_scores_of_odd_texts(model):
     s = toxicity.Scorer(model)
     for text in (None, "", " \n", "!!!", "\ud800x".encode("utf-8", "replace").decode(), "a" * 100_000, "x " * 100_000):
@@ -140,6 +196,37 @@ def test_mix_applies(spark, docs):
     assert mixing.mix(docs([])).count() == 0
 
 
+def test_mix_is_applied_alike_in_every_layout(spark, docs):
+    """Rows that share id, source and text, and rows that share only id and size: each layout takes the same rows."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"w{k} x", "en", "a") for k in range(20)] + [(7, "same text here", f"l{k}", "b") for k in range(9)] + [(7, "same text here", "en", "a")] + [(100 + k, "w " * (k % 5 + 1), "en", "ab"[k % 2]) for k in range(40)]
+    rows += [(500, "w " * 30_000, "en", "a")]
+    table = docs(rows).withColumn("a.b", F.lit(1)).withColumn("times", F.lit("x")).withColumn("key", F.lit(2))
+    mixed = mixing.mix(table)
+    seen = {tuple(sorted(map(tuple, mixing.apply_mix(t, mixed).collect()), key=str)) for t in (table, table.repartition(7), table.orderBy(F.col("lang").desc()).coalesce(1))}
+    assert len(seen) == 1
+    words = sum(len(r[1].split()) for r in next(iter(seen)))
+    assert words == sum(r["taken"] for r in mixing.taken_words(mixed).collect())
+    assert mixing.apply_mix(table, mixed).columns == table.columns
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, docs):
+    """Empty tables, nulls, repeated rows, very long texts and columns whose names clash with the pipeline's own."""
+    import corpus_pipeline as c
+
+    from pyspark.sql import functions as F
+
+    for name, rows in (("none", []), ("odd", [(1, "a b c"), (1, "a b c"), (2, None), (None, "x y z"), (None, "x y z"), (3, ""), (4, "w " * 50_000)])):
+        table = docs(rows).withColumn("row", F.lit(1)).withColumn("score", F.lit("x")).withColumn("a.b", F.lit(2)).withColumn("copies", F.lit(0))
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(9, 1)] if not rows else [], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = c.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+        assert {r["doc_id"] for r in got} <= {r[0] for r in rows}
+        assert (not rows and not got) or any(r["doc_id"] == 4 for r in got)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, small):
     import corpus_pipeline as c
 

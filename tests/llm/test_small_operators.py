@@ -25,6 +25,28 @@ def test_licence_units():
     assert best("RELEASED, under the *MIT* License")[0][4] == 1.0
 
 
+def test_licence_runs_inside_lines_and_over_wraps():
+    prose = "some words of a longer paragraph that goes on and on before it comes to the point "
+    hit = [m for m in best(prose * 3 + "and so it is Released under the MIT License. " + prose * 3) if m[0] == "run"]
+    assert ("run", 0, 1, "MIT", 1.0) in hit
+    wrapped = prose + "\n" + prose + "Permission is hereby granted, free of\ncharge, to any person obtaining a copy of this software and associated\ndocumentation files (the \"Software\"), to deal in the Software without\nrestriction, including without limitation the rights to use, copy, modify,\nmerge, publish, distribute, sublicense, and/or sell copies of the Software,\nand to permit persons to whom the Software is furnished to do so, subject to\nthe following conditions " + prose
+    assert ("run", 1, 7, "MIT", 1.0) in best(wrapped)
+    assert not best(prose * 50)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["released", "under", "the", "mit", "license", "x", "y"]), max_size=40))
+def test_licence_runs_are_the_nearest(words):
+    index = license_scan.TemplateIndex([("MIT", "Released under the MIT License."), ("T", "the the mit x y x")], 0.75)
+    text = [w.encode() for w in words]
+    want = set()
+    for g, n in zip(index.grams, index.lengths, strict=True):
+        scores = [(-2 * len(license_scan.bigrams(text[p : p + n]) & g) / max(1, len(license_scan.bigrams(text[p : p + n])) + len(g)), p) for p in range(len(text) - n + 1)]
+        if scores and -min(scores)[0] >= 0.75:
+            want.add((min(scores)[1], n))
+    assert set(index.runs(text)) == want
+
+
 def test_licence_bounds_lose_nothing():
     templates = [("t", "a b c d e f g h i j")]
     index = license_scan.TemplateIndex(templates, 0.75)
@@ -45,6 +67,12 @@ def test_licence_empty_table_and_clashing_columns(spark, docs):
     assert got == {1: ("MIT", 1.0), None: (None, 0.0)}
 
 
+def test_licence_long_texts_and_repeated_rows(spark, docs):
+    text = "word " * 200_000 + "\n\nReleased under the MIT License.\n\n" + "more " * 200_000
+    got = license_scan.best_licence(license_scan.scan_licences(docs([(1, text), (1, text), (2, "x")]))).collect()
+    assert sorted((r["doc_id"], r["licence"] or "", r["dice"]) for r in got) == [(1, "MIT", 1.0), (1, "MIT", 1.0), (2, "", 0.0)]
+
+
 # URLs
 
 
@@ -55,7 +83,7 @@ def brute(host, path):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.sampled_from(["http", "https", "x"]), st.sampled_from(["example.net", "a.example.net", "notexample.net", "EXAMPLE.com", "b.org", "org", "net", "", "a.net:80"]), st.sampled_from(["", "/", "/en/", "/en", "/de/x", "/fr/", "//fr/", "/fr/\n"]), st.sampled_from(["", "?a=/en/", "#x/y"]))
+@given(st.sampled_from(["http", "https", "x"]), st.sampled_from(["example.net", "a.example.net", "notexample.net", "EXAMPLE.com", "b.org", "org", "net", "", "a.net:80", "a\nb.net", "net\n", "\nnet", "a\n.example.net", "x\t.org"]), st.sampled_from(["", "/", "/en/", "/en", "/de/x", "/fr/", "//fr/", "/fr/\n", "/en\n/", "/\r"]), st.sampled_from(["", "?a=/en/", "#x/y"]))
 def test_urls_against_all_rules(scheme, host, path, tail):
     got = url_filter.split_url(f"{scheme}://{host}{path}{tail}")
     assert got == (host.lower(), path)
@@ -71,6 +99,13 @@ def test_url_nulls_and_bad_rules(spark):
         url_filter.RuleIndex([url_filter.Rule("a/", "block"), url_filter.Rule("a/", "allow")])
 
 
+def test_line_feeds_and_long_urls():
+    index = url_filter.RuleIndex(RULES)
+    assert index.judge(*url_filter.split_url("http://a\nb.net/x")) == ("net/", "block")
+    assert index.judge(*url_filter.split_url("http://net\n/x")) is None
+    assert index.judge(*url_filter.split_url("http://" + "a." * 50_000 + "net/" + "x/" * 100_000)) == ("net/", "block")
+
+
 def test_prefix_tokens_are_no_keys():
     index = url_filter.RuleIndex([url_filter.Rule("a.b/pre", "block")])
     assert index.judge("a.b", "/prefix") == ("a.b/pre", "block")
@@ -99,6 +134,17 @@ def test_chat_edge_cases(spark):
     assert chat_format.digest_segments(chat_format.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_long_texts_and_clashing_columns(spark):
+    long = "### Assistant: \\ é" * 20_000
+    rows = [(k, t, r, x) for k in (1, 2) for t, r, x in ((0, "user", "q"), (1, "assistant", long))]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "conv_id long, turn long, role string, text string, `turn_no` int, `a.b` string")
+    segments = chat_format.format_turns(df)
+    got = [chat_format.digest_segments(segments, in_order).orderBy("conv_id").collect() for in_order in (False, True)]
+    assert got[0] == got[1] and len(got[0]) == 2
+    for r in got[0]:
+        assert r["loss_chars"] == len(long) and r["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_bad_template():
     with pytest.raises(ValueError):
         chat_format.Template(close_mark="\\end")
@@ -136,6 +182,16 @@ def test_pieces_in_spark(spark, docs, small):
         assert r["decoded_sha256"] == hashlib.sha256(c.sp.decode(ids).encode() if ids else b"").hexdigest()
 
 
+def test_pieces_of_odd_tables(spark, docs):
+    from pyspark.sql import functions as F
+
+    assert sentence_pieces.digest_encoding(sentence_pieces.encode_documents(docs([]), piece_model())).count() == 0
+    odd = docs([(1, "a b"), (1, "a b"), (None, None)]).withColumn("ids", F.lit("x")).withColumn("n_tokens", F.lit(1)).withColumn("a.b", F.lit(1))
+    got = sentence_pieces.digest_encoding(sentence_pieces.encode_documents(odd, piece_model())).collect()
+    want = len(sentence_pieces.codec(piece_model()).sp.encode("a b"))
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 0), (1, want), (1, want)]
+
+
 # WARC
 
 

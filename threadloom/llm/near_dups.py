@@ -17,7 +17,7 @@ No long list is expanded into pairs of rows. Two rounds take from each list one
 pivot, chosen by hash, and test the others against it alone, which joins most
 groups of copies; lists whose classes are in one component by then are closed. In
 short open lists the pairs between components are tested row by row. Long open lists are
-dealt into tiles of bounded bytes that carry signatures and sets: a task compares
+dealt into tiles of bounded bytes and rows that carry signatures and sets: a task compares
 a tile's signatures as arrays, each pair in the first coordinate whose list
 holds both and nowhere else, confirms on the sets in place, and emits a spanning forest of the
 links. So no link between components is lost, and rows grow with the lists, not with their squares.
@@ -26,7 +26,8 @@ Defined cases: null texts and texts without words have the empty set and are
 linked with nothing; rows with a null doc_id take no part and have a null
 component; repeated rows are repeated, and each is kept if one is; rows that
 share an id with other texts are rows of their own, but classes whose least
-doc_id is the same count as linked; an empty table gives an empty result; other columns are ignored.
+doc_id is the same count as linked; very long texts are read whole, their sets 8 bytes a shingle; an empty table gives an
+empty result; other columns, whatever their names, are ignored and carried along by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -40,14 +41,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Kept
+from .shared import Kept, row_of
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, LEAST_AGREEING = 32, 9
 #: Ids broadcast to pick the texts of candidate classes; beyond that they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-#: Rounds of pivots, members of a list that is still paired row by row, and bytes of sets per side of a tile.
-ROUNDS, SHORT, TILE_BYTES = 2, 48, 8 << 20
+#: Rounds of pivots, members of a list that is still paired row by row, and bytes of sets and classes per side of a tile.
+ROUNDS, SHORT, TILE_BYTES, TILE_ROWS = 2, 48, 8 << 20, 512
 #: What a row of a tile takes besides its set: signature, ids and their Python objects.
 ROW_BYTES = 1024
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -211,7 +212,9 @@ def _tile(rows: pa.Table) -> pa.Table:
 
 def long_list_links(posts: DataFrame, masks: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components within long lists; ``posts`` has token, rep, k and component of these lists."""
-    sides = posts.join(classes.select("rep", "n_shingles"), "rep").groupBy("token").agg(F.ceil(F.sum(8 * F.col("n_shingles") + ROW_BYTES) / F.lit(TILE_BYTES)).cast("int").alias("chunks"))
+    sides = posts.join(classes.select("rep", "n_shingles"), "rep").groupBy("token").agg(
+        F.greatest(F.ceil(F.sum(8 * F.col("n_shingles") + ROW_BYTES) / F.lit(TILE_BYTES)), F.ceil(F.count("*") / F.lit(TILE_ROWS))).cast("int").alias("chunks")
+    )
     data = classes.select("rep", "sign").join(masks, "rep").join(sets, "rep")
     rows = posts.join(sides, "token").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("chunks")).cast("int")).join(data, "rep")
     tiled = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -275,17 +278,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """One document of each group; repeated rows go too, rows with a null doc_id stay.
+    """One document of each group; repeated rows go too, rows with a null doc_id stay, one of each text.
 
-    Texts are not sorted: the ids that go are the hashed side, and only rows that are repeated, if any, are numbered.
+    Texts are not sorted: the ids that go are the hashed side, which is small beside the texts of its partition, and only
+    rows that are repeated, if any, are numbered. They are so by their whole content, so a task that runs again
+    numbers them alike.
     """
     gone = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("of"))
+    rows = docs.select(row_of(docs).alias("row"), "doc_id", F.xxhash64("text").alias("of"))
     left = rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
     again = Kept(docs.groupBy("doc_id", F.xxhash64("text").alias("of")).agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("id"), F.col("of").alias("hash")), "repeated")
     if again.df.isEmpty():
         return left.select("row.*")
     same = (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("of") == F.col("hash"))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "of").orderBy(F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "of").orderBy(F.xxhash64(F.to_json("row"))))
     first = left.join(again.df, same, "left_semi").withColumn("turn", turn).filter("turn = 1")
     return left.join(again.df, same, "left_anti").select("row").unionByName(first.select("row")).select("row.*")

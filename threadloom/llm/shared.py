@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, and Spark's own setting of them.
 BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -43,6 +44,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, BATCH_BYTES)
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns of a table as one struct, whatever characters their names hold."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 class Kept:
     """A table written to the shared folder: it survives lost executors and cuts the lineage."""
 

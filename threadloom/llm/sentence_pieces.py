@@ -8,8 +8,8 @@ Python worker and is bounded by the characters it holds; words too long to be
 worth keeping are segmented where they stand. No row is shuffled.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
-repeated rows give repeated results; an empty table an empty result; other
-columns are ignored. A model whose pieces cross markers, whose normaliser is
+repeated rows give repeated results; very long texts are encoded whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored. A model whose pieces cross markers, whose normaliser is
 not the identity or that does not mark the text's start is encoded whole.
 """
 

@@ -18,7 +18,8 @@ broadcast, which Spark decides by its size on disk.
 Defined cases: a null html is an empty payload, a null url an empty target;
 control characters of a url are percent-encoded; a null page_id never is the
 response of others if any id is not null, and its identifier says ``null``;
-rows that share the largest id are all responses; an empty table makes no bundle and an empty result.
+rows that share the largest id are all responses; very long payloads are records of a frame of their own; other columns,
+whatever their names, are ignored; an empty table makes no bundle and an empty result.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 LEVELS = 1024
 
@@ -21,9 +23,10 @@ def _level(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _by_score(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per distinct score: positives and negatives there, and running totals from the highest score down.
 
-    Totals run within a step, and over the steps, so a group's scores are not sorted in one task.
+    Totals run within a step, and over the steps, so a group's scores are not sorted in one task. The sums per score are
+    checkpointed, so what makes the rows runs once.
     """
-    per = _level(rows.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")), keys)
+    per = _level(cut(rows.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))), keys)
     steps = per.groupBy(*keys, "_l").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     above = Window.partitionBy(*keys).orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumns({c: F.coalesce(F.sum(c).over(above), F.lit(0)) for c in ("_p", "_n")})
@@ -32,20 +35,29 @@ def _by_score(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return placed.withColumns({"tp": F.col("_p") + F.sum("p").over(down), "fp": F.col("_n") + F.sum("n").over(down)}).drop("_l", "_p", "_n")
 
 
+def _auc(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    won = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
+    return steps.groupBy(*keys).agg(F.round(F.try_divide(won, F.sum("p") * F.sum("n")), 6).alias("auc"))
+
+
+def _average_precision(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    area = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return steps.groupBy(*keys).agg(F.round(F.try_divide(area, F.sum("p")), 6).alias("ap"))
+
+
 def auc(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Area under the ROC curve; ties count half. Null without both labels."""
-    steps = _by_score(rows, keys).groupBy(*keys).agg(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("won"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    return steps.select(*keys, F.round(F.try_divide(F.col("won"), F.col("pos") * F.col("neg")), 6).alias("auc"))
+    return _auc(_by_score(rows, keys), keys)
 
 
 def average_precision(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Step-wise mean of precision over recall, at distinct scores. Null without positives."""
-    steps = _by_score(rows, keys).groupBy(*keys).agg(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("area"), F.sum("p").alias("pos"))
-    return steps.select(*keys, F.round(F.try_divide("area", "pos"), 6).alias("ap"))
+    return _average_precision(_by_score(rows, keys), keys)
 
 
 def at_k(rows: DataFrame, keys: Sequence[str], ks: Sequence[int] = (50, 100)) -> DataFrame:
     """Precision and recall among the k highest scores, ties by u, v and label (a sampled negative may also be a test edge); k is at most the number of rows."""
+    rows = cut(rows.select(*keys, "u", "v", "label", "score"))
     stepped = _level(rows, keys)
     steps = stepped.groupBy(*keys, "_l").agg(F.count("*").alias("_c"))
     above = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -63,7 +75,9 @@ def at_k(rows: DataFrame, keys: Sequence[str], ks: Sequence[int] = (50, 100)) ->
 
 def evaluate(rows: DataFrame, keys: Sequence[str], ks: Sequence[int] = (50, 100)) -> DataFrame:
     """All ranking metrics side by side."""
-    return auc(rows, keys).join(average_precision(rows, keys), list(keys)).join(at_k(rows, keys, ks), list(keys))
+    rows = cut(rows.select(*keys, "u", "v", "label", "score"))
+    steps = cut(_by_score(rows, keys))
+    return _auc(steps, keys).join(_average_precision(steps, keys), list(keys)).join(at_k(rows, keys, ks), list(keys))
 
 
 def mean_and_deviation(rows: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -11,11 +11,12 @@ The flight runs twice. First in buckets of documents by hash, each source of a
 bucket by itself, streaming with three open fractions at a time; then over what
 the buckets left open, at most two documents per bucket and source. The two
 left then per source are landed on the nearest totals. Bucket membership and order come
-from hashes of doc_id, so reruns agree whatever the number of partitions.
+from hashes of doc_id and text, so reruns agree whatever the number of partitions.
 
 Defined cases: a null text has size 0; a null source is a source, ordered last;
-null ids hash alike and are told apart by size; repeated rows are documents of
-their own; documents of a source without words are never taken; an empty table
+null ids are told apart by their texts; repeated rows are documents of
+their own; equal coins go by doc_id, size and text; documents of a source without words are never taken; very long texts are counted
+whole; other columns, whatever their names, are ignored by ``mix`` and carried along by ``apply_mix``; an empty table
 gives an empty result.
 """
 
@@ -27,16 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, keep
+from .shared import WORD, keep, row_of
 
-BUCKETS = 256
+#: Buckets of the first flight: at least so many, and more where they would hold more documents than this.
+BUCKETS, BUCKET_ROWS = 256, 100_000
 _EPS = 1e-9
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words."""
+    """doc_id, source, number of words, and a hash of the text."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("of"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -113,7 +115,7 @@ class Flight:
         self.open = []
 
 
-_COLUMNS = ["doc_id", "source", "size", "source_size", "target", "base", "chance", "coin", "bucket", "copies"]
+_COLUMNS = ["doc_id", "source", "size", "of", "source_size", "target", "base", "chance", "coin", "bucket", "copies"]
 
 
 def _fly(rows: DataFrame, group: list[str], last: bool) -> DataFrame:
@@ -154,30 +156,31 @@ def _fly(rows: DataFrame, group: list[str], last: bool) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every document.
+    """doc_id, source, size, of (hash of the text), source_size, target, copies for every document.
 
     Texts are read once, for their sizes; all later steps carry a few numbers
     per row. ``repartition`` goes by bucket, so no source weighs on one task.
     """
     sizes = keep(word_sizes(docs), "sizes")
     targets = keep(source_targets(sizes, weights, share, cap), "targets")
+    buckets = max(buckets, -(-sizes.count() // BUCKET_ROWS))
     each = sizes.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
     f = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     base = F.floor(f + F.lit(_EPS))
-    mixed = F.xxhash64("doc_id", F.lit("order"), "size")
+    mixed = F.xxhash64("doc_id", F.lit("order"), "size", "of")
     rows = each.select(
-        "doc_id", "s.source", "size", "source_size", "target",
+        "doc_id", "s.source", "size", "of", "source_size", "target",
         base.cast("int").alias("base"),
         F.greatest(f - base, F.lit(0.0)).alias("chance"),
         (F.pmod(mixed, F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("coin"),
-        F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64("doc_id", F.lit("bucket"), "of"), F.lit(buckets)).cast("int").alias("bucket"),
         F.lit(None).cast("int").alias("copies"),
     )
-    order = ["source", "coin", "doc_id", "size"]
+    order = ["source", "coin", "doc_id", "size", "of"]
     first = keep(_fly(rows.repartition("bucket").sortWithinPartitions("bucket", *order), ["bucket", "source"], False), "flight")
     rest = first.filter("copies is null").repartition("source").sortWithinPartitions("source", "bucket", *order[1:])
     both = first.filter("copies is not null").unionByName(_fly(rest, ["source"], True))
-    return both.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"))
+    return both.select("doc_id", "source", "size", "of", "source_size", "target", F.col("copies").cast("long").alias("copies"))
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
@@ -188,18 +191,18 @@ def taken_words(mixed: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns.
 
-    Texts are shuffled once and not sorted: the decisions are the hashed side.
-    Rows that share doc_id and size, if there are any, are matched with their decisions by number.
+    Texts are shuffled once and not sorted: the decisions are the hashed side, which is small beside the texts of
+    its partition. Rows that share doc_id, source and text, if there are any, take their decisions by the
+    order of their whole content, so a task that runs again deals them alike.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id")
-    left = docs.select(F.struct(*docs.columns).alias("row"), named("doc_id"), size.alias("size"))
-    each = keep(mixed.groupBy(named("doc_id"), "size").agg(F.sort_array(F.collect_list("copies")).alias("each")), "copies")
-    single = each.filter(F.size("each") == 1).select("id", "size", F.col("each")[0].alias("times")).filter("times > 0")
-    out = left.join(single.hint("shuffle_hash"), ["id", "size"]).select("row", "times")
-    repeated = each.filter(F.size("each") > 1)
+    key = F.to_json(F.struct("doc_id", "source")).alias("key")
+    left = docs.select(row_of(docs).alias("row"), key, F.xxhash64("text").alias("of"))
+    each = keep(mixed.groupBy(key, "of").agg(F.count("*").alias("n"), F.min("copies").alias("least"), F.sum("copies").alias("all")).filter("all > 0"), "copies")
+    out = left.join(each.filter("n = 1").hint("shuffle_hash"), ["key", "of"]).select("row", F.col("all").alias("times"))
+    repeated = each.filter("n > 1")
     if not repeated.isEmpty():
-        turn = F.row_number().over(Window.partitionBy("id", "size").orderBy(F.lit(0)))
-        rows = left.join(repeated.hint("shuffle_hash"), ["id", "size"]).withColumn("turn", turn)
-        out = out.unionByName(rows.select("row", F.element_at("each", F.col("turn")).alias("times")).filter("times > 0"))
+        turn = F.row_number().over(Window.partitionBy("key", "of").orderBy(F.xxhash64(F.to_json("row"))))
+        rows = left.join(repeated.hint("shuffle_hash"), ["key", "of"]).withColumn("turn", turn)
+        times = F.col("least") + (F.col("turn") <= F.col("all") - F.col("n") * F.col("least")).cast("long")
+        out = out.unionByName(rows.select("row", times.alias("times")).filter("times > 0"))
     return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time")).select("row.*")

@@ -166,8 +166,9 @@ Kernel = Callable[[np.ndarray, np.ndarray, list[dict[str, np.ndarray]], Best], N
 def against_all(blocks: Kept, packs: DataFrame, kernel: Kernel, k: int, exact: str) -> DataFrame:
     """query_id, rank, vec_id, score: the best k of every query among all vectors but its own id."""
     spark = blocks.spark
-    size = blocks.df.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("bytes")).first()
-    shards = int(max(1, min(size["blocks"], max(2 * spark.sparkContext.defaultParallelism, -(-size["bytes"] // SHARD_BYTES)))))
+    size = blocks.df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("bytes")).first()
+    # each shard adds k rows per query: no more of them than bytes and cores ask for, and none of less than a full block
+    shards = int(max(1, -(-size["bytes"] // SHARD_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-size["rows"] // BLOCK_ROWS))))
     left = packs.select(F.col("block").alias("pack"), F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     right = blocks.df.select(F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard"), "block", "blob")
     pairs = left.hint("merge").join(right, "shard").select("shard", "pack", "block", "queries", "blob")

@@ -1,16 +1,19 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
 Text is normalised (A-Z lowered, everything but a-z, 0-9 and line ends becomes a
-space) and read as units: each line, each block between blank lines, and the
-whole text. A unit is compared with a template only if its number of distinct
+space) and read as units: each line, each block between blank lines, the
+whole text, and for each template the run of as many words that is nearest to it, wherever it stands in a line or
+wraps over lines. A unit is compared with a template only if its number of distinct
 bigrams allows the threshold at all: with sizes s and t, Dice is at most
 2 min(s, t) / (s + t). An index from bigrams to templates finds those that share
-any; a document sharing none is passed over after one walk through its words.
+any; a document sharing none is passed over after one walk through its words. Runs are looked at where enough
+of a template's bigrams stand close together.
 
 Defined cases: null, empty and one-word texts have no bigrams and no match; a unit
-equal in words to another of its document counts once, as the smallest kind that
-holds it (line, block, text); ties between templates go to the first by name;
-repeated rows repeat; an empty table gives an empty result.
+equal in words to another of its document counts once, as the first kind that
+holds it (line, block, text, run); of equally near runs the first counts; ties between templates go to the first by name;
+repeated rows repeat; very long texts are read whole, in all their units; other columns, whatever their names, are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +75,8 @@ class TemplateIndex:
         self.sizes = [t[0] for t in self.templates]
         self.by_gram: dict[tuple[bytes, bytes], list[int]] = {}
         place = {no: k for k, (_, _, no) in enumerate(self.templates)}
+        self.grams = [grams[no][2] for _, _, no in self.templates]
+        self.lengths = [len(normalise(templates[no][1]).split()) for _, _, no in self.templates]
         for _, no, g in grams:
             for b in g:
                 self.by_gram.setdefault(b, []).append(place[no])
@@ -88,6 +94,28 @@ class TemplateIndex:
         best = min(found, default=(0, ""))
         return (best[1], -best[0]) if -best[0] >= self.threshold else None
 
+    def runs(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Place and length of the run of words nearest to each template, where it reaches the threshold."""
+        grams = list(zip(words, words[1:], strict=False))
+        held: dict[int, list[int]] = {}
+        for p, g in enumerate(grams):
+            for k in self.by_gram.get(g, ()):
+                held.setdefault(k, []).append(p)
+        for k in sorted(held):
+            size, n = self.sizes[k], self.lengths[k]
+            # Dice is at most 2 s / (s + t) with s shared bigrams
+            least = size * self.threshold / (2 - self.threshold) - 1e-9
+            if len(held[k]) < least or len(words) < n:
+                continue
+            before = np.searchsorted(held[k], np.arange(len(words) - n + 1))
+            near = np.searchsorted(held[k], np.arange(len(words) - n + 1) + n - 1) - before
+            best = (0.0, 0)
+            for p in np.flatnonzero(near >= least).tolist():
+                g = set(grams[p : p + n - 1])
+                best = max(best, (2 * len(g & self.grams[k]) / (len(g) + size), -p))
+            if best[0] >= self.threshold:
+                yield -best[1], n
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, str, float]]:
         """(unit kind, first line, line count, licence, Dice) of every matching unit."""
         lines = [line.split() for line in normalise(text).split(b"\n")]
@@ -102,6 +130,10 @@ class TemplateIndex:
                     units.append(("block", start, k - start, [w for line in lines[start:k] for w in line]))
                 start = k + 1
         units.append(("text", 0, len(lines), words))
+        ends = np.cumsum([len(line) for line in lines])
+        for p, n in self.runs(words):
+            first, last = np.searchsorted(ends, [p, p + n - 1], side="right").tolist()
+            units.append(("run", first, last - first + 1, words[p : p + n]))
         seen: set[tuple[bytes, ...]] = set()
         found = []
         for kind, first, n, w in units:

@@ -99,13 +99,20 @@ def _license_sql() -> str:
     words = "list_filter(string_split_regex({x}, '[ \\n]+'), lambda t: t <> '')"
     plain = "regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\n]+', ' ', 'g')"
     return f"""
-with plain as (select doc_id, {plain.format(x="coalesce(text, '')")} as t from documents),
+with named(no, licence, x) as (values {values}),
+cut as (select no, licence, {words.format(x=plain.format(x="x"))} as w from named),
+templates as (select no, licence, len(w) as n, {grams} as tg from cut),
+plain as (select doc_id, {plain.format(x="coalesce(text, '')")} as t from documents),
 units as (select doc_id, unnest([t] || string_split(t, chr(10)) || string_split_regex(t, '\\n *\\n')) as u from plain),
-worded as (select distinct doc_id, {words.format(x="u")} as w from units),
+whole as materialized (select doc_id, {words.format(x="t")} as w from plain),
+sharing as (select doc_id, no from (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from whole) join (select no, len(tg) as n, unnest(tg) as g from templates) using (g)
+            group by doc_id, no having count(*) >= any_value(n) * {license_scan.THRESHOLD} / {2 - license_scan.THRESHOLD} - 1e-9),
+placed as (select doc_id, no, tg, w, n, unnest(range(1, len(w) - n + 2)) as p from sharing join whole using (doc_id) join templates using (no) where len(w) >= n),
+near as (select doc_id, no, p, run, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) as dice from
+         (select doc_id, no, p, tg, run, {grams.replace("w[", "run[").replace("len(w)", "len(run)")} as g from (select *, w[p:p + n - 1] as run from placed))),
+runs as (select arg_min(run, (-dice, p)) as w, doc_id from near where dice >= {license_scan.THRESHOLD} group by doc_id, no),
+worded as (select doc_id, {words.format(x="u")} as w from units union select doc_id, w from runs),
 sized as (select doc_id, w, {grams} as g from worded where len(w) > 1),
-named(no, licence, x) as (values {values}),
-cut as (select no, licence, {words.format(x=plain.format(x="x"))} as w from named),
-templates as (select no, licence, {grams} as tg from cut),
 scored as (select doc_id, w, licence, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) as dice
            from sized join templates on len(g) <= len(tg) * {2 - license_scan.THRESHOLD} / {license_scan.THRESHOLD} + 1
                                      and len(tg) <= len(g) * {2 - license_scan.THRESHOLD} / {license_scan.THRESHOLD} + 1),

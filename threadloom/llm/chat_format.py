@@ -16,7 +16,7 @@ template treats as out of order; turns out of order are
 formatted all the same and counted in ``violations``; turns that share a number
 go by role, then text; repeated rows are repeated turns; an empty table gives an
 empty result; rows with a null ``conv_id`` form one conversation. Null turns
-come first.
+come first; very long texts are one segment each, whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -132,11 +132,13 @@ class _Reader:
         return self.conv_id, self.turns, self.all.hexdigest(), self.loss, self.masked.hexdigest(), self.chars, self.bad
 
 
-def digest_segments(segments: DataFrame) -> DataFrame:
+def digest_segments(segments: DataFrame, in_order: bool = False) -> DataFrame:
     """Turn and loss digests of each conversation, read back from its segments.
 
     A digest over a conversation is sequential, so one task streams each
     conversation; it holds one batch and two hash states, however long that is.
+    Segments straight from ``format_turns`` lie together ``in_order`` and are not shuffled again; those
+    read from files are.
     """
     rows = segments.select(*_NAMES)
 
@@ -158,4 +160,4 @@ def digest_segments(segments: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(now.row(), kinds, strict=True)], names=names)
 
-    return _ordered(rows, "turn_no", "part").mapInArrow(run, DIGESTS)
+    return (rows if in_order else _ordered(rows, "turn_no", "part")).mapInArrow(run, DIGESTS)

@@ -56,7 +56,7 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_format.digest_segments(chat_format.format_turns(turns))
+    return chat_format.digest_segments(chat_format.format_turns(turns), in_order=True)
 
 
 def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, license_scan, mixing, near_dups, sentence_pieces, topk_search, toxicity, url_filter, warc
+from . import ann, chat_format, conversation_repair, html_extraction, license_scan, mixing, near_dups, phrase_mining, sentence_pieces, topk_search, toxicity, url_filter, warc
+from .oracle_texts import HTML_SQL, PHRASES_SQL, REPAIR_SQL
 
 #: Rules of the URL query.
 RULES = [
@@ -75,6 +76,20 @@ def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), RULES)
 
 
+def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.fit(pages))
+
+
+def repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(conversation_repair.faults(damaged))
+
+
+def phrases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(_table(spark, sf_dir, "documents"), least=10, percent=50, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_query,
     "op2_topk_search": topk_query,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": mixing_query,
     "op9_sentence_pieces": pieces_query,
     "op10_url_filter": url_query,
+    "op11_html_extraction": html_query,
+    "op12_conversation_repair": repair_query,
+    "op13_phrase_mining": phrases_query,
 }
 
 
@@ -199,4 +217,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash_dedup": _NEAR_SQL,
     "op6_chat_format": _chat_sql(),
     "op10_url_filter": _url_sql(),
+    "op11_html_extraction": HTML_SQL,
+    "op12_conversation_repair": REPAIR_SQL,
+    "op13_phrase_mining": PHRASES_SQL,
 }

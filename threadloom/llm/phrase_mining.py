@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches, keep
 
-#: Words of a block; occurrences of a pivot that one task may get.
-BLOCK_WORDS, PIVOT_ROWS = 400_000, 1_000_000
+#: Words of a block; occurrences of a pivot that one task may get; parts in which a language's phrases are ranked first.
+BLOCK_WORDS, PIVOT_ROWS, RANK_PARTS = 400_000, 1_000_000, 32
 #: Ends of pieces become line feeds, tabs become spaces.
 _CUT = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _SLICE = 1 << 20
-BLOCKS = "block string, langs array<string>, totals array<long>, lang array<string>, word array<string>, n array<long>, tokens binary"
+BLOCKS = "block long, langs array<string>, totals array<long>, lang array<string>, word array<string>, n array<long>, tokens binary"
 FRAGMENTS = "pivot long, share int, shares int, l2 long, l1 long, r1 long, r2 long, n long"
 
 
@@ -75,14 +75,14 @@ class _Block:
             self.tokens.extend(map(of, part.split()))
         self.tokens.append(-1)
 
-    def row(self, name: str) -> pa.RecordBatch:
+    def row(self, name: int) -> pa.RecordBatch:
         tokens = np.frombuffer(self.tokens, np.int32)
         pairs = sorted((i, lang, word) for lang, of in self.numbers.items() for word, i in of.items())
         n = np.bincount(tokens[tokens >= 0], minlength=len(pairs))
         totals = {lang: int(n[list(of.values())].sum()) if of else 0 for lang, of in self.numbers.items()}
         words = pa.array([p[2] for p in pairs], pa.binary()).cast(pa.string())
         values = [
-            pa.array([name]), pa.array([list(totals)], pa.list_(pa.string())), pa.array([list(totals.values())], pa.list_(pa.int64())),
+            pa.array([name], pa.int64()), pa.array([list(totals)], pa.list_(pa.string())), pa.array([list(totals.values())], pa.list_(pa.int64())),
             pa.array([[p[1] for p in pairs]], pa.list_(pa.string())), pa.ListArray.from_arrays([0, len(words)], words),
             pa.array([n], pa.list_(pa.int64())), pa.array([tokens.tobytes()], pa.binary()),
         ]
@@ -101,10 +101,10 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
                     if piece:
                         block.add(lang, piece)
                         if len(block.tokens) >= BLOCK_WORDS:
-                            yield block.row(f"{task}-{next(number)}")
+                            yield block.row((task << 32) + next(number))
                             block = _Block()
         if block.tokens:
-            yield block.row(f"{task}-{next(number)}")
+            yield block.row((task << 32) + next(number))
 
     bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -153,14 +153,13 @@ def rewrite(tokens: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[np.nd
 def fragments(blocks: DataFrame, words: DataFrame, order: DataFrame) -> DataFrame:
     """The rewritten fragments of every block, counted per block, with their pivot and its share."""
     placed = words.join(order, ["lang", "word"]).select("block", "pos", "id", F.ceil(F.col("f") / PIVOT_ROWS).cast("int").alias("shares"))
-    per_block = placed.groupBy("block").agg(F.collect_list(F.struct("pos", "id", "shares")).alias("known"))
+    per_block = placed.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("pos", "id", "shares")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in FRAGMENTS.split(", ")]
         for batch in batches:
             for i in range(batch.num_rows):
-                known = batch.column(1)[i].values
-                pos, ids, shares = (known.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                pos, ids, shares = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
                 l2, l1, pivot, r1, r2, n = rewrite(np.frombuffer(batch.column(0)[i].as_buffer(), np.int32), pos, ids)
                 by_id = np.argsort(ids)
                 of = shares[by_id][np.searchsorted(ids[by_id], pivot)].astype(np.int32)
@@ -168,7 +167,7 @@ def fragments(blocks: DataFrame, words: DataFrame, order: DataFrame) -> DataFram
                 for cut in range(0, len(n), 65536):
                     yield pa.RecordBatch.from_arrays([pa.array(c[cut : cut + 65536]) for c in (pivot, share, of, l2, l1, r1, r2, n)], names=names)
 
-    return blocks.select("block", "tokens").join(per_block, "block").select("tokens", "known").mapInArrow(run, FRAGMENTS)
+    return blocks.select("block", "tokens").join(per_block, "block").select("tokens", "pos", "id", "shares").mapInArrow(run, FRAGMENTS)
 
 
 def mine(parts: DataFrame, least: int, longest: int = 3) -> DataFrame:
@@ -226,6 +225,8 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int =
     order = keep(ordered_words(words, least), "phrase-words")
     grams = keep(mine(fragments(blocks, words, order), least), "phrase-grams")
     totals = blocks.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored(grams, order, percent).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    parts = Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(RANK_PARTS))).orderBy(*best)
+    few = scored(grams, order, percent).withColumn("rank", F.row_number().over(parts)).filter(F.col("rank") <= top)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

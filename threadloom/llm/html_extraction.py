@@ -6,7 +6,8 @@ article inside it, is the result. Weights come from labelled pages: those that m
 article (``article``, ``main``, ``role=main``, ``itemprop=articleBody``) say of each of their tokens whether it is content. With
 in and out the smoothed counts of a kind of token there, words of a kind weigh ``(in - out) / (in + out)`` and a
 tag ``-TAG * out / (in + out)``; the marks themselves are no features, so the weights also serve pages without any. Words of menus and the like
-(by element, ARIA role, class or id) weigh -1. Where a page marks its article, words outside the mark weigh -1 and tags inside cost next to nothing.
+(by element, ARIA role, class or id) weigh nothing, since they are left out anyway; the tags around them keep regions apart. Where a page marks its
+article, words outside the mark weigh -1 and tags inside cost next to nothing.
 
 Elements that are not the article: ``nav``, ``aside``, ``footer``, ``form``, ``dialog``, ``menu``, ``header`` (except headings of an article's own
 header), hidden ones, ARIA landmarks for these, and a word of ``NOT_ARTICLE`` in class or id, which covers adverts,
@@ -214,7 +215,7 @@ def parse(page: str) -> Page:
                 if last > max((places[n][-1] for n in within if places.get(n)), default=-1):
                     close(last)
             made.tokens.append((stack[-1], value, "", 0))
-            if value not in VOID and not attributes.endswith("/"):
+            if value not in VOID:
                 made.elements.append(made._judged(value, attributes, stack[-1]))
                 places.setdefault(value, []).append(len(stack))
                 stack.append(len(made.elements) - 1)
@@ -254,7 +255,7 @@ class Weights:
 
     def of(self, kind: str) -> float:
         if kind == "#out":
-            return -1.0
+            return 0.0
         seen, missed = self.counts.get(kind, (0, 0))
         a, b = _smoothing(kind)
         inside, outside = a + seen, b + missed
@@ -300,8 +301,8 @@ def main_text(page: str | None, weights: Weights) -> str:
     weigh: dict[str, float] = {}
     scores = []
     for (kind, is_text), (el, _, _, n) in zip(kinds(parsed, out), parsed.tokens, strict=True):
-        if marked and kind != "#out" and inside[el]:
-            scores.append(float(n) if is_text else -1e-9)
+        if marked and inside[el]:
+            scores.append((0.0 if kind == "#out" else float(n)) if is_text else -1e-9)
         elif marked and is_text:
             scores.append(-float(n))
         else:

@@ -41,7 +41,7 @@ BLOCK_WORDS, PIVOT_ROWS, RANK_PARTS = 400_000, 1_000_000, 32
 _CUT = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _SLICE = 1 << 20
 BLOCKS = "block long, langs array<string>, totals array<long>, lang array<string>, word array<string>, n array<long>, tokens binary"
-FRAGMENTS = "pivot long, share int, shares int, l2 long, l1 long, r1 long, r2 long, n long"
+FRAGMENTS = "pivot long, share int, l2 long, l1 long, r1 long, r2 long, n long"
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -151,7 +151,7 @@ def rewrite(tokens: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[np.nd
 
 
 def fragments(blocks: DataFrame, words: DataFrame, order: DataFrame) -> DataFrame:
-    """The rewritten fragments of every block, counted per block, with their pivot and its share."""
+    """The rewritten fragments of every block, counted per block, with their pivot and its share (0: the pivot has but one)."""
     placed = words.join(order, ["lang", "word"]).select("block", "pos", "id", F.ceil(F.col("f") / PIVOT_ROWS).cast("int").alias("shares"))
     per_block = placed.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("pos", "id", "shares")))
 
@@ -163,9 +163,9 @@ def fragments(blocks: DataFrame, words: DataFrame, order: DataFrame) -> DataFram
                 l2, l1, pivot, r1, r2, n = rewrite(np.frombuffer(batch.column(0)[i].as_buffer(), np.int32), pos, ids)
                 by_id = np.argsort(ids)
                 of = shares[by_id][np.searchsorted(ids[by_id], pivot)].astype(np.int32)
-                share = ((l1 * 31 + r1 * 17 + l2 * 7 + r2) % of).astype(np.int32)
+                share = np.where(of > 1, 1 + (l1 * 31 + r1 * 17 + l2 * 7 + r2) % of, 0).astype(np.int32)
                 for cut in range(0, len(n), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[cut : cut + 65536]) for c in (pivot, share, of, l2, l1, r1, r2, n)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[cut : cut + 65536]) for c in (pivot, share, l2, l1, r1, r2, n)], names=names)
 
     return blocks.select("block", "tokens").join(per_block, "block").select("tokens", "pos", "id", "shares").mapInArrow(run, FRAGMENTS)
 
@@ -180,9 +180,9 @@ def mine(parts: DataFrame, least: int, longest: int = 3) -> DataFrame:
     grams = [gram("l1", "pivot"), gram("pivot", "r1")]
     if longest == 3:
         grams += [gram("l2", "l1", "pivot"), gram("l1", "pivot", "r1"), gram("pivot", "r1", "r2")]
-    dealt = parts.repartition("pivot", "share").select("pivot", "share", "shares", "n", F.explode(F.array_compact(F.array(*grams))).alias("g"))
-    local = dealt.groupBy("pivot", "share", "g.w1", "g.w2", "g.w3").agg(F.sum("n").alias("a"), F.max("shares").alias("shares"))
-    left = local.filter((F.col("shares") > 1) | (F.col("a") >= least))
+    dealt = parts.repartition("pivot", "share").select("pivot", "share", "n", F.explode(F.array_compact(F.array(*grams))).alias("g"))
+    local = dealt.groupBy("pivot", "share", "g.w1", "g.w2", "g.w3").agg(F.sum("n").alias("a"))
+    left = local.filter((F.col("share") > 0) | (F.col("a") >= least))
     return left.groupBy("w1", "w2", "w3").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
 
 

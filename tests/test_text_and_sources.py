@@ -6,6 +6,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
 from threadloom.operators import embeddings, sentiment, text, topics
 from threadloom.sources import readers, sinks
 from threadloom.streaming import interactions as streaming
@@ -48,8 +49,10 @@ def test_sentiment_scorers(spark):
 
         return score
 
-    got = {r["id"]: r["sentiment"] for r in sentiment.with_sentiment(df, sentiment.model_sentiment(make, batch=1)).collect()}
+    got = {r["id"]: r["sentiment"] for r in sentiment.with_sentiment(df, sentiment.model_sentiment(make, batch=1, failed="null")).collect()}
     assert got == {"1": 1, "2": -1, "3": None, "4": None, "5": None}
+    with pytest.raises(Exception, match="no"):
+        sentiment.with_sentiment(df, sentiment.model_sentiment(make, batch=1)).collect()
 
 
 def test_walks_stay_on_edges(spark):

@@ -30,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def kept(df: DataFrame, name: str = "step") -> DataFrame:
+    """The table written to the shared folder and read back. Unlike a checkpoint it has a size, by which Spark picks the joins that follow."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,29 +1,21 @@
-"""Graph metrics.
+"""Graph metrics as DataFrame plans: counts, density, clustering, components, hop distances, weights, the static record.
 
-Counts, density, clustering, components and hop distances are DataFrame plans.
-Metrics that need whole shortest-path trees run in Python per graph and chunk of
-sources: a graph travels as numbered edges and is put together as arrays in the task, and its
-sources are dealt over tasks, so a large graph is worked on by many of them.
+Weighted paths are in ``paths``, eigenvector centrality in ``spectral``, communities in ``louvain``.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..functions.columns import ratio
-from ..functions.lineage import cut
+from ..functions.lineage import cut, kept
 from .edges import GRAPH, both_ways, degrees
 
-SOURCES_PER_TASK = 256
 #: Edges, of all graphs together, up to which components are found by one task per graph.
 ONE_TASK_EDGES = 1_000_000
 
@@ -122,22 +114,21 @@ def largest_component(found: DataFrame, keys: Sequence[str] = GRAPH) -> DataFram
     return top.groupBy(*keys, "size", "parts").agg(F.min("component").alias("component")).select(*keys, "component", "size", (F.col("parts") == 1).alias("is_connected"))
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, keys: Sequence[str], limit: int = 1000) -> DataFrame:
+def hop_distances(edges: DataFrame, sources: DataFrame, keys: Sequence[str]) -> DataFrame:
     """source, node, hops for every node that a source reaches, by one breadth-first search for all sources.
 
-    A round joins the frontier only; nodes already seen are dropped by anti-join.
+    A round joins the frontier only; nodes already seen are dropped by anti-join. Each round is written once, to its own folder.
     """
     keys = list(keys)
     ends = both_ways(edges.withColumn("weight", F.lit(1)) if "weight" not in edges.columns else edges, keys).select(*keys, "u", "v").distinct()
     present = ends.select(*keys, F.col("u").alias("source")).distinct()
-    seen = cut(sources.select(*keys, "source").distinct().join(present, [*keys, "source"]).select(*keys, "source", F.col("source").alias("node"), F.lit(0).alias("hops")))
-    frontier = seen
-    for k in range(1, limit + 1):
+    seen = kept(sources.select(*keys, "source").distinct().join(present, [*keys, "source"]).select(*keys, "source", F.col("source").alias("node"), F.lit(0).alias("hops")))
+    frontier, k = seen, 0
+    while not frontier.isEmpty():
+        k += 1
         step = frontier.select(*keys, "source", F.col("node").alias("u")).join(ends, [*keys, "u"]).select(*keys, "source", F.col("v").alias("node")).distinct()
-        frontier = cut(step.join(seen, [*keys, "source", "node"], "left_anti").withColumn("hops", F.lit(k)))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
+        frontier = kept(step.join(seen, [*keys, "source", "node"], "left_anti").withColumn("hops", F.lit(k)))
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -161,242 +152,6 @@ def covered(panel: DataFrame, starts: dict[str, int], first: int, last: int) ->
     return kept.join(whole, "source", "left_semi").drop("start")
 
 
-class Graph:
-    """A weighted undirected graph as compressed rows, nodes numbered in the order of their names; weights serve as distances."""
-
-    def __init__(self, names: list[str], src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
-        self.names, self.n = names, len(names)
-        ends, other, both = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([weight, weight])
-        order = np.argsort(ends, kind="stable")
-        self.to, self.weight = other[order], both[order]
-        self.starts = np.searchsorted(ends[order], np.arange(self.n + 1))
-
-    def near(self, u: int) -> tuple[list[int], list[float]]:
-        cut = slice(self.starts[u], self.starts[u + 1])
-        return self.to[cut].tolist(), self.weight[cut].tolist()
-
-    def largest(self) -> np.ndarray:
-        """Which nodes are in the largest component; of equal ones, that of the first node."""
-        label = np.full(self.n, -1)
-        for start in range(self.n):
-            if label[start] < 0:
-                label[start], stack = start, [start]
-                while stack:
-                    for v in self.near(stack.pop())[0]:
-                        if label[v] < 0:
-                            label[v] = start
-                            stack.append(v)
-        return label == np.bincount(label).argmax() if self.n else label == 0
-
-    def paths_from(self, source: int) -> tuple[dict[int, float], dict[int, float]]:
-        """Distances from a node, and what it adds to the betweenness of every other node it reaches."""
-        best, dist, order = {source: 0.0}, {}, []
-        ways, before = {source: 1}, {source: []}
-        heap = [(0.0, source)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if u in dist:
-                continue
-            dist[u] = d
-            order.append(u)
-            for v, w in zip(*self.near(u), strict=True):
-                if v in dist:
-                    continue
-                new = d + w
-                old = best.get(v)
-                if old is None or new < old - 1e-12:
-                    best[v], ways[v], before[v] = new, ways[u], [u]
-                    heapq.heappush(heap, (new, v))
-                elif abs(new - old) <= 1e-12:
-                    ways[v] += ways[u]
-                    before[v].append(u)
-        share = dict.fromkeys(order, 0.0)
-        for v in reversed(order):
-            for u in before[v]:
-                share[u] += ways[u] / ways[v] * (1 + share[v])
-        share.pop(source)
-        return dist, share
-
-    def eigenvector(self, rounds: int = 1000, tolerance: float = 1e-3) -> np.ndarray | None:
-        """Eigenvector centrality of the largest component by power iteration, NaN elsewhere; None without convergence."""
-        inside = self.largest()
-        size = int(inside.sum())
-        if size < 2:
-            return None
-        x = np.where(inside, 1.0 / size, 0.0)
-        row = np.repeat(np.arange(self.n), np.diff(self.starts))
-        for _ in range(rounds):
-            new = x + np.bincount(row, self.weight * x[self.to], self.n)
-            new /= np.sqrt(new @ new) or 1.0
-            if np.abs(new - x).sum() < size * tolerance:
-                return np.where(inside, new, np.nan)
-            x = new
-        return None
-
-
-#: Makes rows (a list of tuples, without the keys) from a graph and the numbers of the nodes that the task is to start from.
-Kernel = Callable[[Graph, range], Iterator[list[tuple]]]
-
-
-def on_graphs(edges: DataFrame, keys: Sequence[str], kernel: Kernel, columns: str, split: bool) -> DataFrame:
-    """keys and ``columns``: what ``kernel`` makes of every graph.
-
-    Nodes are numbered first, so a graph travels as numbers, a row per edge, and is put together in the task as arrays of
-    24 bytes per edge. With ``split`` its source nodes are dealt to tasks, each of which gets the graph: one
-    per ``SOURCES_PER_TASK`` sources, but no more than four per core, so that copies do not grow with the nodes.
-    """
-    keys = list(keys)
-    spark = edges.sparkSession
-    found = cut(edges.select(*keys).distinct().withColumn("_g", F.row_number().over(Window.orderBy(*keys))))
-    placed = edges.join(found, keys).select("_g", "src", "dst", F.col("weight").cast("double").alias("w"))
-    number = (F.row_number().over(Window.partitionBy("_g").orderBy("name")) - 1).alias("a")
-    nodes = cut(placed.select("_g", F.explode(F.array("src", "dst")).alias("name")).distinct().select("_g", "name", number))
-    ends = [nodes.select("_g", F.col("name").alias(c), F.col("a").alias(x)) for c, x in (("src", "a"), ("dst", "b"))]
-    none = F.lit(None)
-    lines = placed.join(ends[0], ["_g", "src"]).join(ends[1], ["_g", "dst"]).select("_g", F.lit(1).alias("kind"), "a", "b", "w", none.cast("string").alias("name"))
-    rows = lines.unionByName(nodes.select("_g", F.lit(0).alias("kind"), "a", F.lit(0).alias("b"), F.lit(0.0).alias("w"), "name"))
-    most = 4 * spark.sparkContext.defaultParallelism
-    parts = F.least(F.ceil(F.count("*") / F.lit(SOURCES_PER_TASK)), F.lit(most)).cast("int") if split else F.lit(1)
-    dealt = rows.join(nodes.groupBy("_g").agg(parts.alias("parts")), "_g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    ordered = dealt.repartition("_g", "part").sortWithinPartitions("_g", "part", "kind", "a", "b").select("_g", "part", "parts", "kind", "a", "b", "w", "name")
-    schema = f"_g int, {columns}"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def made() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            kind, a, b, w = (t[c].to_numpy() for c in ("kind", "a", "b", "w"))
-            names = t["name"].slice(0, int((kind == 0).sum())).to_pylist()
-            g = Graph(names, a[kind == 1], b[kind == 1], w[kind == 1])
-            size = -(-g.n // t["parts"][0].as_py())
-            for out in kernel(g, range(at[1] * size, min(g.n, (at[1] + 1) * size))):
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((at[0], *r) for r in out), strict=True), arrow, strict=True)], schema=arrow)
-
-        for whole in batches:
-            keyed = np.stack([whole.column(0).to_numpy(), whole.column(1).to_numpy()])
-            breaks = [0, *(np.flatnonzero((keyed[:, 1:] != keyed[:, :-1]).any(axis=0)) + 1).tolist(), whole.num_rows]
-            for low, high in zip(breaks[:-1], breaks[1:], strict=True):
-                if low == high:
-                    continue
-                here = (int(keyed[0, low]), int(keyed[1, low]))
-                if here != at:
-                    if at is not None:
-                        yield from made()
-                    at, held = here, []
-                held.append(whole.slice(low, high - low))
-        if at is not None:
-            yield from made()
-
-    return ordered.mapInArrow(run, schema).join(F.broadcast(found), "_g").drop("_g").select(*keys, *(f.name for f in arrow if f.name != "_g"))
-
-
-def distance_metrics(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
-    """node, in_largest, closeness (null outside the largest component), distance sum and eccentricity there, and betweenness.
-
-    Betweenness is over the whole graph, normalised by (n - 1)(n - 2) for ordered pairs. One search per source gives both.
-    """
-    keys = list(keys)
-
-    def kernel(g: Graph, sources: range) -> Iterator[list[tuple]]:
-        inside = g.largest()
-        size, between, far = int(inside.sum()), np.zeros(g.n), {}
-        for s in sources:
-            dist, share = g.paths_from(s)
-            for v, x in share.items():
-                between[v] += x
-            if inside[s]:
-                far[s] = (sum(dist.values()), max(dist.values()))
-        told = np.flatnonzero(between).tolist()
-        own = set(sources)
-        yield [(g.names[v], *far.get(v, (None, None)), size, g.n, float(between[v]), v in own) for v in sorted(own.union(told))]
-
-    parts = on_graphs(edges, keys, kernel, "node string, far double, most double, size int, n int, mid double, own boolean", True)
-    sums = parts.groupBy(*keys, "node").agg(
-        F.sum("mid").alias("mid"), F.max(F.when(F.col("own"), F.col("far"))).alias("far"), F.max(F.when(F.col("own"), F.col("most"))).alias("eccentricity"),
-        F.max("size").alias("size"), F.max("n").alias("n"),
-    )
-    pairs = F.greatest((F.col("n") - 1) * (F.col("n") - 2), F.lit(1))
-    return sums.select(
-        *keys, "node", F.col("far").isNotNull().alias("in_largest"),
-        F.round(F.when(F.col("far").isNotNull(), ratio(F.col("size") - 1, F.col("far"))), 6).alias("closeness"),
-        "far", "eccentricity", F.when(F.col("far").isNotNull(), F.col("size")).alias("size"), F.round(F.col("mid") / pairs, 6).alias("betweenness"),
-    )
-
-
-def path_summary(metrics: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
-    """Mean distance over ordered pairs and diameter of the largest component."""
-    pairs = F.max("size") * (F.max("size") - 1)
-    return metrics.filter("in_largest").groupBy(*keys).agg(F.round(ratio(F.sum("far"), pairs), 6).alias("avg_shortest_path"), F.round(F.max("eccentricity"), 6).alias("diameter"))
-
-
-def eigenvector(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
-    """node, eigenvector centrality in the largest component; null elsewhere and without convergence."""
-
-    def kernel(g: Graph, _: range) -> Iterator[list[tuple]]:
-        found = g.eigenvector()
-        yield [(name, None if found is None or np.isnan(found[k]) else float(found[k])) for k, name in enumerate(g.names)]
-
-    return on_graphs(edges, keys, kernel, "node string, eigenvector double", False).withColumn("eigenvector", F.round("eigenvector", 6))
-
-
-def louvain(edges: DataFrame, keys: Sequence[str] = GRAPH, seed: int = 42) -> DataFrame:
-    """node, cluster: communities by seeded local moving and aggregation of each graph."""
-
-    def kernel(g: Graph, _: range) -> Iterator[list[tuple]]:
-        near: list[dict[int, float]] = []
-        for u in range(g.n):
-            sums: dict[int, float] = {}
-            for v, w in zip(*g.near(u), strict=True):
-                sums[v] = sums.get(v, 0.0) + w
-            near.append(sums)
-        yield list(zip(g.names, communities(near, seed), strict=True))
-
-    return on_graphs(edges, keys, kernel, "node string, cluster long", False)
-
-
-def communities(near: list[dict[int, float]], seed: int) -> list[int]:
-    """Greedy modularity by rounds of moving nodes and merging clusters; self-weights sit at near[u][u], counted twice."""
-    rng = np.random.default_rng(seed)
-    member = list(range(len(near)))
-    while True:
-        n = len(near)
-        strength = [sum(w for w in x.values()) for x in near]
-        total = sum(strength) or 1.0
-        home, weight = list(range(n)), list(strength)
-        moved_any = False
-        moved = True
-        while moved:
-            moved = False
-            for u in rng.permutation(n).tolist():
-                links: dict[int, float] = {}
-                for v, w in near[u].items():
-                    if v != u:
-                        links[home[v]] = links.get(home[v], 0.0) + w
-                old = home[u]
-                weight[old] -= strength[u]
-                gain = lambda c, links=links, u=u: links.get(c, 0.0) - strength[u] * weight[c] / total
-                best = max(sorted(links), key=gain, default=old)
-                if gain(best) <= gain(old) + 1e-12:
-                    best = old
-                weight[best] += strength[u]
-                if best != old:
-                    home[u], moved, moved_any = best, True, True
-        names = {c: k for k, c in enumerate(dict.fromkeys(home))}
-        member = [names[home[m]] for m in member]
-        if not moved_any:
-            return member
-        merged: list[dict[int, float]] = [{} for _ in names]
-        for u, x in enumerate(near):
-            a = names[home[u]]
-            for v, w in x.items():
-                b = names[home[v]]
-                merged[a][b] = merged[a].get(b, 0.0) + w
-        near = merged
-
-
 def weight_summary(edges: DataFrame, keys: Sequence[str] = GRAPH) -> DataFrame:
     """Least, quartiles, median and greatest edge weight."""
     per = edges.groupBy(*keys, "weight").agg(F.count("*").alias("c"))  # weights are counts: few distinct ones, each with its frequency
@@ -415,7 +170,7 @@ def weight_density(edges: DataFrame, least: float, most: float, points: int, key
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.lit(float(least)) + k * F.lit(step))).alias("x")
     width = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     z = (F.col("x") - F.col("w")) / width
-    term = F.col("c") * F.exp(-z * z / 2) / (F.col("n") * width * F.lit((2 * np.pi) ** 0.5))
+    term = F.col("c") * F.exp(-z * z / 2) / (F.col("n") * width * F.lit(math.sqrt(2 * math.pi)))
     return per.join(size, list(keys)).select("*", at).groupBy(*keys, "x").agg(F.round(F.sum(term), 6).alias("density"))
 
 
@@ -430,17 +185,21 @@ def weight_histogram(edges: DataFrame, least: float, most: float, bins: int, key
     return edges.select(*keys, F.width_bucket("weight", F.lit(float(least)), F.lit(float(most)), F.lit(bins)).alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
 
-def static_record(edges: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+def static_record(edges: DataFrame, calendar: DataFrame | None = None, with_modularity: bool = True) -> DataFrame:
     """One row per method and snapshot with all static metrics; steps of the calendar without edges get zeros and nulls."""
-    distances = cut(distance_metrics(edges))
+    from .louvain import louvain
+    from .paths import distance_metrics, path_summary
+    from .quality import modularity
+    from .spectral import eigenvector
+
+    distances = kept(distance_metrics(edges))
     means = distances.groupBy(*GRAPH).agg(F.round(F.avg("betweenness"), 6).alias("avg_betweenness"), F.round(F.avg("closeness"), 6).alias("avg_closeness"))
     eigen = eigenvector(edges).groupBy(*GRAPH).agg(F.round(F.avg("eigenvector"), 6).alias("avg_eigenvector"))
     degree = degree_centrality(edges).groupBy(*GRAPH).agg(F.round(F.avg("degree_centrality"), 6).alias("avg_degree"))
-    from .quality import modularity
-
     linked = distances.groupBy(*GRAPH).agg(F.bool_and("in_largest").alias("is_connected"))
     record = counts(edges)
-    for part in (clustering(edges), path_summary(distances), means, eigen, degree, linked, modularity(edges, louvain(edges))):
+    parts = [clustering(edges), path_summary(distances), means, eigen, degree, linked]
+    for part in [*parts, modularity(edges, louvain(edges))] if with_modularity else parts:
         record = record.join(part, GRAPH, "left")
     if calendar is not None:
         record = edges.select("method").distinct().join(F.broadcast(calendar.select("snapshot").distinct())).join(record, GRAPH, "left")

@@ -127,17 +127,19 @@ SAMPLERS: dict[str, Callable[..., DataFrame]] = {"uniform": uniform, "distance2"
 def features(pairs: DataFrame, train: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """cn, jaccard, aa and preferential attachment of given pairs; missing nodes have no neighbours.
 
-    Only pairs asked for are counted: neighbours of u are matched with those of v.
+    Only pairs asked for are counted: the neighbours of the end with fewer of them are looked up among those of the other, so hubs are not listed.
     """
     ends = both_ways(train, keys)
     degree = ends.groupBy(*keys, "u").agg(F.count("*").alias("d"))
-    asked = pairs.select(*keys, "u", "v").distinct()
-    left = asked.join(ends.select(*keys, "u", F.col("v").alias("w")), [*keys, "u"])
-    met = left.join(ends.select(*keys, F.col("u").alias("v"), F.col("v").alias("w")), [*keys, "v", "w"])
+    du, dv = degree.select(*keys, "u", F.col("d").alias("du")), degree.select(*keys, F.col("u").alias("v"), F.col("d").alias("dv"))
+    asked = pairs.select(*keys, "u", "v").distinct().join(du, [*keys, "u"]).join(dv, [*keys, "v"])
+    first = F.col("du") <= F.col("dv")
+    turned = asked.select(*keys, "u", "v", F.when(first, F.col("u")).otherwise(F.col("v")).alias("few"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("many"))
+    left = turned.join(ends.select(*keys, F.col("u").alias("few"), F.col("v").alias("w")), [*keys, "few"])
+    met = left.join(ends.select(*keys, F.col("u").alias("many"), F.col("v").alias("w")), [*keys, "many", "w"])
     met = met.join(degree.select(*keys, F.col("u").alias("w"), "d"), [*keys, "w"])
     share = F.when(F.col("d") > 1, 1 / F.log(F.col("d").cast("double")))
     sums = met.groupBy(*keys, "u", "v").agg(F.count("*").alias("cn"), F.sum(share).alias("aa"))
-    du, dv = degree.select(*keys, "u", F.col("d").alias("du")), degree.select(*keys, F.col("u").alias("v"), F.col("d").alias("dv"))
     full = pairs.join(sums, [*keys, "u", "v"], "left").join(du, [*keys, "u"], "left").join(dv, [*keys, "v"], "left").na.fill(0, ["cn", "du", "dv"]).na.fill(0.0, ["aa"])
     union = F.col("du") + F.col("dv") - F.col("cn")
     return full.select(*pairs.columns, "cn", F.coalesce(F.try_divide(F.col("cn").cast("double"), union), F.lit(0.0)).alias("jaccard"), "aa", (F.col("du") * F.col("dv")).alias("pa"))

@@ -33,8 +33,10 @@ def codes_of(logits: np.ndarray, labels: Sequence[str]) -> np.ndarray:
     return np.array([CODES.get(labels[k], 0) for k in p.argmax(axis=1)])
 
 
-def model_sentiment(make: Callable[[], Scorer], labels: Sequence[str] = ("negative", "neutral", "positive"), batch: int = 64) -> Callable[[Column], Column]:
-    """A column function around a scorer, made once per task; a failing batch leaves its own texts null only.
+def model_sentiment(make: Callable[[], Scorer], labels: Sequence[str] = ("negative", "neutral", "positive"), batch: int = 64, failed: str = "raise") -> Callable[[Column], Column]:
+    """A column function around a scorer, made once per task; blank and null texts stay null.
+
+    A scorer that fails fails the query; with ``failed="null"`` it leaves the texts of its batch null.
 
     Texts are handed over whole; a scorer with a token limit truncates or pools by its own tokenizer.
     """
@@ -49,8 +51,9 @@ def model_sentiment(make: Callable[[], Scorer], labels: Sequence[str] = ("negati
                 rows = live[at : at + batch]
                 try:
                     out.iloc[rows] = codes_of(scorer(texts.iloc[rows].tolist()), labels)
-                except Exception:  # noqa: BLE001  a scorer may fail in any way; its batch stays null
-                    continue
+                except Exception:
+                    if failed != "null":
+                        raise
             yield out
 
     return score

@@ -41,10 +41,9 @@ def thread_documents(comments: DataFrame, order: str = "pos") -> DataFrame:
 
 def tokens(text: Column, stopwords: Sequence[str] = (), least: int = 3) -> Column:
     """Lower-cased words without stop words, short words, numbers, punctuation, and those that begin with ' or ..."""
-    stop = F.array(*(F.lit(w) for w in stopwords)) if stopwords else F.array().cast("array<string>")
 
     def good(t: Column) -> Column:
-        return (F.length(t) >= least) & ~F.array_contains(stop, t) & ~t.startswith("'") & ~t.startswith("...") & ~t.rlike(r"^\p{Nd}+$") & ~t.rlike(_PUNCTUATION)
+        return (F.length(t) >= least) & ~t.isin(*stopwords) & ~t.startswith("'") & ~t.startswith("...") & ~t.rlike(r"^\p{Nd}+$") & ~t.rlike(_PUNCTUATION)
 
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), good)
 
@@ -53,8 +52,7 @@ def plain_tokens(text: Column, stopwords: Sequence[str] = (), least: int = 3, mo
     """Runs of letters of any script without accents, 2 to ``most`` long, of at least ``least`` letters and no stop word."""
     bare = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(_ACCENTED), "".join(_ACCENTED.values())), _MARK, "")
     words = F.regexp_extract_all(bare, F.lit(_LETTERS), F.lit(0))
-    stop = F.array(*(F.lit(w) for w in stopwords)) if stopwords else F.array().cast("array<string>")
-    return F.filter(words, lambda t: (F.length(t) >= max(2, least)) & (F.length(t) <= most) & ~t.startswith("_") & ~F.array_contains(stop, t))
+    return F.filter(words, lambda t: (F.length(t) >= max(2, least)) & (F.length(t) <= most) & ~t.startswith("_") & ~t.isin(*stopwords))
 
 
 def lemmatised(make: Callable[[], Callable[[str], str]]) -> Callable[[Column], Column]:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
-from .text import plain_tokens, thread_documents, tokens, valid_documents, vocabulary
+from ..functions.lineage import cut, kept
+from . import variational
+from .text import plain_tokens, thread_documents, tokens, vocabulary
 
 NONE = -1
 #: Topic ids of guided topics for outliers, empty texts and errors.
@@ -40,58 +42,44 @@ def stopwords(more: Sequence[str] = ()) -> list[str]:
 class TopicModel:
     """An LDA model over a pruned vocabulary.
 
-    ``fit`` prunes by document frequency, drops documents that are too short or
-    have no term left, and trains online LDA; alpha falls off over the topics unless told otherwise.
+    ``fit`` prunes by document frequency, drops documents that are too short or have no term left, and
+    infers topics from all others in every pass; alpha falls off over the topics unless told otherwise. ``iterations`` bounds the inference for a document.
     """
 
-    def __init__(self, k: int = 20, passes: int = 5, no_below: int = 3, no_above: float = 0.6, keep_n: int = 3000, eta: float | None = 0.01, asymmetric: bool = True, least_tokens: int = 5, seed: int = 42):
-        self.k, self.passes, self.seed, self.least_tokens = k, passes, seed, least_tokens
+    def __init__(
+        self, k: int = 20, passes: int = 5, no_below: int = 3, no_above: float = 0.6, keep_n: int = 3000, eta: float | None = 0.01, asymmetric: bool = True, least_tokens: int = 5, seed: int = 42, iterations: int = 30
+    ):
+        self.k, self.passes, self.seed, self.least_tokens, self.iterations = k, passes, seed, least_tokens, iterations
         self.pruning = {"no_below": no_below, "no_above": no_above, "keep_n": keep_n}
-        self.eta, self.asymmetric = eta, asymmetric
+        self.eta = 1 / k if eta is None else eta
+        raw = np.array([1 / (t + k**0.5) for t in range(k)]) if asymmetric else np.ones(k)
+        self.alpha = raw / raw.sum()
         self.terms: list[str] = []
-        self.model = None
-
-    def _bags(self, docs: DataFrame, key: str) -> DataFrame:
-        from pyspark.ml.feature import CountVectorizerModel
-
-        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="tokens", outputCol="features", minTF=1.0)
-        return counter.transform(docs.select(key, "tokens"))
+        self.weights: np.ndarray | None = None
 
     def fit(self, docs: DataFrame, key: str) -> TopicModel:
         """``docs`` has the key and an array column ``tokens``."""
-        from pyspark.ml.clustering import LDA
-
         long = docs.filter(F.size("tokens") >= self.least_tokens)
         terms = vocabulary(long, **self.pruning)
         self.terms = [r["term"] for r in terms.select("term").toLocalIterator()]  # at most keep_n
-        if not self.terms:
-            return self
-        valid = long.join(valid_documents(long, terms, key, least=self.least_tokens).select(key), key, "left_semi")
-        lda = LDA(k=self.k, maxIter=4 * self.passes, optimizer="online", seed=self.seed, subsamplingRate=0.25)
-        if self.asymmetric:
-            raw = [1 / (t + self.k**0.5) for t in range(self.k)]
-            lda = lda.setDocConcentration([a / sum(raw) for a in raw])
-        if self.eta is not None:
-            lda = lda.setTopicConcentration(self.eta)
-        self.model = lda.fit(self._bags(valid, key))
+        if self.terms:
+            rows = kept(variational.bags(long, key, self.terms).filter(F.size("ids") > 0), "bags")
+            self.weights = variational.fit(rows, len(self.terms), self.alpha, self.eta, self.passes, self.iterations, self.seed)
         return self
 
     def assign(self, docs: DataFrame, key: str, least: float = 0.15) -> DataFrame:
         """key, topic_id: the likeliest topic if it reaches ``least``; -1 for it or for short, empty and unknown texts."""
-        from pyspark.ml.functions import vector_to_array
-
-        if self.model is None:
+        if self.weights is None:
             return docs.select(key, F.lit(NONE).alias("topic_id"))
-        p = vector_to_array("topicDistribution")
-        top = F.array_max("p")
-        fits = (F.size("tokens") >= self.least_tokens) & (top >= least) & (top > 0)
-        rows = self.model.transform(self._bags(docs, key)).withColumn("p", p)
-        return rows.select(key, F.when(fits, F.array_position("p", top) - 1).otherwise(NONE).cast("int").alias("topic_id"))
+        rows = variational.likeliest(variational.bags(docs, key, self.terms), key, self.weights, self.alpha, self.iterations)
+        fits = (F.col("size") >= self.least_tokens) & (F.col("p") >= least)
+        return rows.select(key, F.when(fits, F.col("topic")).otherwise(NONE).cast("int").alias("topic_id"))
 
-    def top_words(self, n: int = 15) -> DataFrame:
-        """topic, words: the n likeliest terms of each topic."""
-        terms = F.array(*(F.lit(t) for t in self.terms))
-        return self.model.describeTopics(n).select("topic", F.transform("termIndices", lambda i: F.element_at(terms, i + 1)).alias("words"))
+    def top_words(self, spark: SparkSession, n: int = 15) -> DataFrame:
+        """topic, words: the n likeliest terms of each topic, ties to the earlier term of the vocabulary."""
+        weights = np.zeros((0, 0)) if self.weights is None else self.weights
+        rows = [(t, [self.terms[i] for i in np.argsort(-row, kind="stable")[:n]]) for t, row in enumerate(weights)]
+        return spark.createDataFrame(rows, "topic int, words array<string>")
 
 
 def seed_sets(seeds: Sequence[Sequence[str]], stop: Sequence[str], spark) -> list[set[str]]:
@@ -117,10 +105,10 @@ def seeded_topics(docs: DataFrame, key: str, seeds: Sequence[Sequence[str]] | No
     labels = labels or [f"TOPIC_{k}" for k in range(len(seeds))]
     stop = stopwords()
     rows = docs.select(key, plain_tokens(F.col("text"), stop).alias("tokens"))
-    model = TopicModel(k=len(seeds), passes=passes, no_below=5, no_above=0.5, keep_n=100_000, eta=None, asymmetric=False, least_tokens=1).fit(rows, key)
-    if model.model is None:
+    model = TopicModel(k=len(seeds), passes=passes, no_below=5, no_above=0.5, keep_n=100_000, eta=None, asymmetric=False, least_tokens=1, iterations=50).fit(rows, key)
+    if model.weights is None:
         return docs.select(key, F.lit("NO_TOPIC_EMPTY_CORPUS").alias("topic_label"))
-    words = {r["topic"]: r["words"] for r in model.top_words(15).collect()}
+    words = {r["topic"]: r["words"] for r in model.top_words(docs.sparkSession, 15).collect()}
     names = map_to_seeds(words, seed_sets(seeds, stop, docs.sparkSession), labels)
     table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     picked = model.assign(rows, key, least=0.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import category_colour, cosine, jaccard
 from ..functions.lineage import cut, scratch
 from ..operators import edges as E
-from ..operators import embeddings, graphs, interactions, links, quality, ranking, sentiment, temporal, text, topics
+from ..operators import embeddings, graphs, interactions, links, louvain, paths, quality, ranking, sentiment, spectral, temporal, text, topics
 from ..sources import readers, views
 from . import round_trips  # noqa: F401  its queries are registered too
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -114,7 +114,7 @@ def o1_top10_strength(spark, sf_dir):
 case party when 'dem' then 'blue' when 'rep' then 'red' else 'gray' end as party_colour, case when gun <> 0 then 'orange' else 'gray' end as gun_colour,
 case when banned <> 0 then 'black' else 'gray' end as banned_colour from strongest s left join brand_meta m on s.node = m.node""")
 def j7_top10_with_metadata(spark, sf_dir):
-    top = E.strongest(views.networks(spark, sf_dir)).join(F.broadcast(views.brand_meta(spark, sf_dir)), "node", "left")
+    top = E.strongest(views.networks(spark, sf_dir)).join(views.brand_meta(spark, sf_dir), "node", "left")
     top = top.select("place", "node", "strength", F.coalesce("party", F.lit("")).alias("party"), F.coalesce("gun", F.lit(0)).alias("gun"), F.coalesce("banned", F.lit(0)).alias("banned"))
     colours = {f"{k}_colour": category_colour(k, F.col("party"), F.col("gun"), F.col("banned")) for k in ("party", "gun", "banned")}
     return top.withColumns(colours)
@@ -244,14 +244,18 @@ def g1_density(spark, sf_dir):
     return graphs.counts(graph_edges(spark, sf_dir))
 
 
-@query("""select d.method, d.snapshot, round(avg(coalesce(2.0 * coalesce(t, 0) / nullif(degree * (degree - 1), 0), 0)), 6)::double as avg_clustering from degrees d
+_CLUSTERING = """select d.method, d.snapshot, round(avg(coalesce(2.0 * coalesce(t, 0) / nullif(degree * (degree - 1), 0), 0)), 6)::double as avg_clustering from degrees d
 left join (select a.method, a.snapshot, a.u as node, count(*) as t from ways a join ways b on a.method = b.method and a.snapshot = b.snapshot and a.u = b.u and a.v < b.v
-  join edges e on e.method = a.method and e.snapshot = a.snapshot and e.src = a.v and e.dst = b.v group by all) using (method, snapshot, node) group by all""")
+  join edges e on e.method = a.method and e.snapshot = a.snapshot and e.src = a.v and e.dst = b.v group by all) using (method, snapshot, node) group by all"""
+_DEGREE = "select method, snapshot, node, round(coalesce(degree / nullif(num_nodes - 1, 0), 0), 6)::double as degree_centrality from degrees join counts using (method, snapshot)"
+
+
+@query(_CLUSTERING)
 def g5_clustering(spark, sf_dir):
     return graphs.clustering(graph_edges(spark, sf_dir))
 
 
-@query("select method, snapshot, node, round(coalesce(degree / nullif(num_nodes - 1, 0), 0), 6)::double as degree_centrality from degrees join counts using (method, snapshot)")
+@query(_DEGREE)
 def g8_degree_centrality(spark, sf_dir):
     return graphs.degree_centrality(graph_edges(spark, sf_dir))
 
@@ -428,17 +432,17 @@ def l14_experiment_sweep(spark, sf_dir):
     return ranking.evaluate(scored.unionByName(fitted.select(*scored.columns)), ["method", "test", "sampler", "scorer"])
 
 
-# Paths and components of the yearly backbone
+# Components and hops
 
 
-@query("select yr, node, component from reach")
+@query("select method, snapshot, node, component from reach join grs using (gr)")
 def g2_components(spark, sf_dir):
-    return graphs.components(backbone_edges(spark, sf_dir), ["yr"])
+    return graphs.components(graph_edges(spark, sf_dir))
 
 
-@query("select yr, l.component, l.size, l.size = (select count(*) from bnodes b where b.yr = l.yr) as is_connected from lcc l")
+@query("select method, snapshot, l.component, l.size, l.size = (select count(*) from points b where b.gr = l.gr) as is_connected from lcc l join grs using (gr)")
 def g2_largest_component(spark, sf_dir):
-    return graphs.largest_component(graphs.components(backbone_edges(spark, sf_dir), ["yr"]), ["yr"])
+    return graphs.largest_component(graphs.components(graph_edges(spark, sf_dir)))
 
 
 _SOURCES = ("Brand#11", "Brand#12", "Brand#16", "Brand#20", "Brand#23")
@@ -464,48 +468,65 @@ def g20_distance_panel(spark, sf_dir):
     return graphs.mean_hops(_hops(spark, sf_dir), graphs.target_groups(views.brand_meta(spark, sf_dir)), ["yr"])
 
 
-_INSIDE = "dist5 d join lcc l on l.yr = d.yr join reach r on r.yr = d.yr and r.node = d.u and r.component = l.component"
+# Weighted paths, centralities and communities of the whole graphs
 
+_INSIDE = "dist5 d join lcc l on l.gr = d.gr join reach r on r.gr = d.gr and r.node = d.u and r.component = l.component"
+_CLOSENESS = f"(select d.gr, d.u, round(coalesce((any_value(l.size) - 1) / nullif(sum(w), 0), 0), 6)::double as closeness from {_INSIDE} group by d.gr, d.u)"
+_AVERAGE = f"(select d.gr, round(coalesce(sum(w) / nullif(any_value(l.size) * (any_value(l.size) - 1), 0), 0), 6)::double as avg_shortest_path, round(max(w), 6)::double as diameter from {_INSIDE} group by d.gr)"
+_BETWEENNESS = """(select b.gr, b.u, round(coalesce(through, 0) / greatest((n - 1) * (n - 2), 1), 6)::double as betweenness from points b
+join (select gr, count(*) as n from points group by gr) using (gr) left join through t on t.gr = b.gr and t.node = b.u)"""
 
-def _distances(spark, sf_dir) -> DataFrame:
-    return graphs.distance_metrics(backbone_edges(spark, sf_dir), ["yr"])
 
+def _distances(spark, sf_dir, between: bool = False) -> DataFrame:
+    return paths.distance_metrics(graph_edges(spark, sf_dir), between=between)
 
-@query(f"select d.yr, round(coalesce(sum(w) / nullif(any_value(l.size) * (any_value(l.size) - 1), 0), 0), 6)::double as avg_shortest_path from {_INSIDE} group by d.yr")
+
+@query(f"select method, snapshot, avg_shortest_path from {_AVERAGE} join grs using (gr)")
 def g3_avg_shortest_path(spark, sf_dir):
-    return graphs.path_summary(_distances(spark, sf_dir), ["yr"]).select("yr", "avg_shortest_path")
+    return paths.path_summary(_distances(spark, sf_dir)).select("method", "snapshot", "avg_shortest_path")
 
 
-@query(f"select d.yr, round(max(w), 6)::double as diameter from {_INSIDE} group by d.yr")
+@query(f"select method, snapshot, diameter from {_AVERAGE} join grs using (gr)")
 def g4_diameter(spark, sf_dir):
-    return graphs.path_summary(_distances(spark, sf_dir), ["yr"]).select("yr", "diameter")
+    return paths.path_summary(_distances(spark, sf_dir)).select("method", "snapshot", "diameter")
 
 
-@query(f"""select b.yr, b.u as node, closeness from bnodes b left join
-(select d.yr, d.u, round(coalesce((any_value(l.size) - 1) / nullif(sum(w), 0), 0), 6)::double as closeness from {_INSIDE} group by d.yr, d.u) c on b.yr = c.yr and b.u = c.u""")
+@query(f"select method, snapshot, b.u as node, closeness from points b join grs using (gr) left join {_CLOSENESS} c on b.gr = c.gr and b.u = c.u")
 def g10_closeness(spark, sf_dir):
-    return _distances(spark, sf_dir).select("yr", "node", "closeness")
+    return _distances(spark, sf_dir).select("method", "snapshot", "node", "closeness")
 
 
-@query("select b.yr, b.u as node, round(coalesce(through, 0) / greatest((n - 1) * (n - 2), 1), 6)::double as betweenness from bnodes b join (select yr, count(*) as n from bnodes group by yr) using (yr) left join through t on t.yr = b.yr and t.node = b.u")
+@query(f"select method, snapshot, u as node, betweenness from {_BETWEENNESS} join grs using (gr)")
 def g9_betweenness(spark, sf_dir):
-    return _distances(spark, sf_dir).select("yr", "node", "betweenness")
+    return _distances(spark, sf_dir, between=True).select("method", "snapshot", "node", "betweenness")
 
 
-@query("select b.yr, b.u as node, round(x, 6) as eigenvector from bnodes b left join eigen e on e.yr = b.yr and e.u = b.u")
+@query("select method, snapshot, b.u as node, round(x, 6) as eigenvector from points b join grs using (gr) left join eigen e on e.gr = b.gr and e.u = b.u")
 def g11_eigenvector(spark, sf_dir):
-    return graphs.eigenvector(backbone_edges(spark, sf_dir), ["yr"])
+    return spectral.eigenvector(graph_edges(spark, sf_dir))
 
 
 @query()
 def g6_louvain(spark, sf_dir):
-    return graphs.louvain(graph_edges(spark, sf_dir))
+    return louvain.louvain(graph_edges(spark, sf_dir))
 
 
 @query()
 def g7_louvain_modularity(spark, sf_dir):
     e = graph_edges(spark, sf_dir)
-    return quality.modularity(e, graphs.louvain(e))
+    return quality.modularity(e, louvain.louvain(e))
+
+
+@query(f"""select c.method, c.snapshot, num_nodes, num_edges, density::double as density, avg_clustering, avg_shortest_path, diameter, avg_betweenness, avg_closeness, avg_eigenvector, avg_degree, is_connected
+from counts c join grs using (method, snapshot) join {_AVERAGE} p using (gr) join ({_CLUSTERING}) k using (method, snapshot)
+join (select gr, round(avg(betweenness), 6) as avg_betweenness from {_BETWEENNESS} group by gr) b using (gr)
+join (select gr, round(avg(closeness), 6) as avg_closeness from {_CLOSENESS} group by gr) n using (gr)
+join (select gr, l.size = count(*) as is_connected from points join lcc l using (gr) group by gr, l.size) s using (gr)
+join (select method, snapshot, round(avg(degree_centrality), 6) as avg_degree from ({_DEGREE}) group by method, snapshot) d using (method, snapshot)
+left join (select gr, round(avg(round(x, 6)), 6) as avg_eigenvector from eigen group by gr) e using (gr)""")
+def g13_static_measures(spark, sf_dir):
+    """The static record but for the modularity of communities, which SQL cannot find."""
+    return graphs.static_record(graph_edges(spark, sf_dir), with_modularity=False)
 
 
 @query()
@@ -697,23 +718,23 @@ def a11_degrees(spark, sf_dir):
     return E.degrees(graph_edges(spark, sf_dir))
 
 
-@query("select yr, round(min(closeness), 6) as least, round(quantile_cont(closeness, 0.25), 6) as q1, round(quantile_cont(closeness, 0.5), 6) as median, round(quantile_cont(closeness, 0.75), 6) as q3, round(max(closeness), 6) as most from "
-       f"(select d.yr, d.u, round(coalesce((any_value(l.size) - 1) / nullif(sum(w), 0), 0), 6)::double as closeness from {_INSIDE} group by d.yr, d.u) group by yr")
+@query(f"""select method, snapshot, round(min(closeness), 6) as least, round(quantile_cont(closeness, 0.25), 6) as q1, round(quantile_cont(closeness, 0.5), 6) as median,
+round(quantile_cont(closeness, 0.75), 6) as q3, round(max(closeness), 6) as most from {_CLOSENESS} join grs using (gr) group by method, snapshot""")
 def k9_closeness_box(spark, sf_dir):
-    return graphs.box(_distances(spark, sf_dir), "closeness", ["yr"])
+    return graphs.box(_distances(spark, sf_dir), "closeness", E.GRAPH)
 
 
-@query(f"""select c.yr, round(avg(closeness), 6) as avg_closeness, round(avg(degree / nullif(n - 1, 0)), 6)::double as avg_degree from
-(select b.yr, b.u, count(s.v) as degree, count(*) over (partition by b.yr) as n from bnodes b join spans s on s.yr = b.yr and s.u = b.u group by b.yr, b.u) c left join
-(select d.yr, d.u, round(coalesce((any_value(l.size) - 1) / nullif(sum(w), 0), 0), 6)::double as closeness from {_INSIDE} group by d.yr, d.u) x on x.yr = c.yr and x.u = c.u group by c.yr""")
+@query(f"""select method, snapshot, round(avg(closeness), 6) as avg_closeness, round(avg(degree / nullif(n - 1, 0)), 6)::double as avg_degree from
+(select b.gr, b.u, count(s.v) as degree, count(*) over (partition by b.gr) as n from points b join lines s on s.gr = b.gr and s.u = b.u group by b.gr, b.u) c join grs using (gr)
+left join {_CLOSENESS} x on x.gr = c.gr and x.u = c.u group by method, snapshot""")
 def a19_mean_centralities(spark, sf_dir):
     """Means over the nodes; those outside the largest component have no closeness and do not count in its mean."""
-    e = backbone_edges(spark, sf_dir)
-    near = graphs.distance_metrics(e, ["yr"]).groupBy("yr").agg(F.round(F.avg("closeness"), 6).alias("avg_closeness"))
-    d = E.degrees(e, ["yr"])
+    e = graph_edges(spark, sf_dir)
+    near = paths.distance_metrics(e, between=False).groupBy(*E.GRAPH).agg(F.round(F.avg("closeness"), 6).alias("avg_closeness"))
+    d = E.degrees(e)
     share = F.col("degree") / (F.col("n") - 1)
-    mean = d.join(d.groupBy("yr").agg(F.count("*").alias("n")), "yr").groupBy("yr").agg(F.round(F.avg(share), 6).alias("avg_degree"))
-    return near.join(mean, "yr")
+    mean = d.join(d.groupBy(*E.GRAPH).agg(F.count("*").alias("n")), E.GRAPH).groupBy(*E.GRAPH).agg(F.round(F.avg(share), 6).alias("avg_degree"))
+    return near.join(mean, E.GRAPH)
 
 
 @query("""select method, snapshot, x, round(sum(c * exp(-power((x - w) / width, 2) / 2) / (n * width * sqrt(2 * pi()))), 6)::double as density from
@@ -747,7 +768,7 @@ def l1_new_test_edges(spark, sf_dir):
 
 @query()
 def m11_topic_words(spark, sf_dir):
-    return topics.TopicModel().fit(doc_tokens(spark, sf_dir), "doc_id").top_words(15)
+    return topics.TopicModel().fit(doc_tokens(spark, sf_dir), "doc_id").top_words(spark, 15)
 
 
 @query("""with timed as (select case when user_id % 37 = 0 then '[deleted]' else cast(user_id as varchar) end as author, concat('k', json_extract_string(props, '$.k')) as community,

@@ -207,7 +207,7 @@ def k2_edge_table(spark, sf_dir):
 def k3_author_summary(spark, sf_dir):
     path = scratch(spark, "summary")
     s = interactions.sentiment_summary(interactions.clean_comments(views.comments(spark, sf_dir), views.bots(spark, sf_dir)))
-    sinks.write_metrics(s, path, ["snapshot", "author", "community"])
+    sinks.write_rows(s, path)
     return spark.read.option("header", True).schema(s.schema).csv(path)
 
 

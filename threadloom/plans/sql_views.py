@@ -100,33 +100,37 @@ for _name, _pairs in (("featured", "labelled"), ("fitted", "(select method, test
     coalesce(c.aa, 0) as aa, coalesce(a.d, 0) * coalesce(b.d, 0) as pa
   from {_pairs} l left join tcn c on c.method = l.method and c.test = l.test and c.u = l.u and c.v = l.v
   left join tdeg a on a.method = l.method and a.test = l.test and a.u = l.u left join tdeg b on b.method = l.method and b.test = l.test and b.u = l.v"""
-#: Shortest distances by doubling: after five rounds, over up to 32 hops.
-VIEWS["dist0"] = "select yr, u, v, min(w) as w from (select * from spans union all select yr, u, u, 0 from bnodes) group by all"
-for _k in range(1, 6):
-    VIEWS[f"dist{_k}"] = f"select a.yr, a.u, b.v, round(min(a.w + b.w), 9) as w from dist{_k - 1} a join dist{_k - 1} b on a.yr = b.yr and a.v = b.u group by all"
+#: Hops in the yearly backbone, likewise by doubling.
 for _k in range(1, 6):
     VIEWS[f"hops{_k}"] = f"select a.yr, a.u, b.v, min(a.h + b.h) as h from hops{_k - 1} a join hops{_k - 1} b on a.yr = b.yr and a.v = b.u group by all"
 VIEWS["hops0"] = "select yr, u, v, min(h) as h from (select yr, u, v, 1 as h from spans union all select yr, u, u, 0 from bnodes) group by all"
-VIEWS["reach"] = "select yr, u as node, min(v) as component, count(*) as size from dist5 group by yr, u"
+#: Shortest distances in the whole graphs (gr: method and snapshot) by doubling: after five rounds, over up to 32 hops.
+VIEWS["grs"] = "select distinct method, snapshot, method || '|' || snapshot as gr from ways"
+VIEWS["lines"] = "select method || '|' || snapshot as gr, u, v, weight::double as w from ways"
+VIEWS["points"] = "select distinct gr, u from lines"
+VIEWS["dist0"] = "select gr, u, v, min(w) as w from (select * from lines union all select gr, u, u, 0 from points) group by all"
+for _k in range(1, 6):
+    VIEWS[f"dist{_k}"] = f"select a.gr, a.u, b.v, round(min(a.w + b.w), 9) as w from dist{_k - 1} a join dist{_k - 1} b on a.gr = b.gr and a.v = b.u group by all"
+VIEWS["reach"] = "select gr, u as node, min(v) as component, count(*) as size from dist5 group by gr, u"
 #: Shortest paths by number of edges, summed to path counts, and what passes through a node.
-VIEWS["steps_on"] = "select a.yr, a.u as s, e.u, e.v from dist5 a join spans e on e.yr = a.yr and e.u = a.v join dist5 b on b.yr = a.yr and b.u = a.u and b.v = e.v where abs(a.w + e.w - b.w) < 1e-9"
-VIEWS["path_counts"] = """with recursive p as (select yr, u as s, u as t, 0 as k, 1::double as c from bnodes
-  union all select p.yr, p.s, e.v, p.k + 1, sum(p.c) from p join steps_on e on e.yr = p.yr and e.s = p.s and e.u = p.t group by p.yr, p.s, e.v, p.k)
-  select yr, s, t, sum(c) as c from p group by all"""
-VIEWS["through"] = """select a.yr, a.t as node, sum(a.c * b.c / w.c) as through from path_counts a join path_counts b on b.yr = a.yr and b.s = a.t
-  join path_counts w on w.yr = a.yr and w.s = a.s and w.t = b.t join dist5 x on x.yr = a.yr and x.u = a.s and x.v = a.t join dist5 y on y.yr = a.yr and y.u = b.s and y.v = b.t
-  join dist5 z on z.yr = a.yr and z.u = a.s and z.v = b.t where a.s <> a.t and b.s <> b.t and a.s <> b.t and abs(x.w + y.w - z.w) < 1e-9 group by a.yr, a.t"""
-VIEWS["lcc"] = """select yr, component, size from (select yr, component, count(*) as size from reach group by all)
-  qualify row_number() over (partition by yr order by size desc, component) = 1"""
+VIEWS["steps_on"] = "select a.gr, a.u as s, e.u, e.v from dist5 a join lines e on e.gr = a.gr and e.u = a.v join dist5 b on b.gr = a.gr and b.u = a.u and b.v = e.v where abs(a.w + e.w - b.w) < 1e-9"
+VIEWS["path_counts"] = """with recursive p as (select gr, u as s, u as t, 0 as k, 1::double as c from points
+  union all select p.gr, p.s, e.v, p.k + 1, sum(p.c) from p join steps_on e on e.gr = p.gr and e.s = p.s and e.u = p.t group by p.gr, p.s, e.v, p.k)
+  select gr, s, t, sum(c) as c from p group by all"""
+VIEWS["through"] = """select a.gr, a.t as node, sum(a.c * b.c / w.c) as through from path_counts a join path_counts b on b.gr = a.gr and b.s = a.t
+  join path_counts w on w.gr = a.gr and w.s = a.s and w.t = b.t join dist5 x on x.gr = a.gr and x.u = a.s and x.v = a.t join dist5 y on y.gr = a.gr and y.u = b.s and y.v = b.t
+  join dist5 z on z.gr = a.gr and z.u = a.s and z.v = b.t where a.s <> a.t and b.s <> b.t and a.s <> b.t and abs(x.w + y.w - z.w) < 1e-9 group by a.gr, a.t"""
+VIEWS["lcc"] = """select gr, component, size from (select gr, component, count(*) as size from reach group by all)
+  qualify row_number() over (partition by gr order by size desc, component) = 1"""
 #: Power iteration in the largest components; every node is its own neighbour once, which is the shift by the identity.
-VIEWS["core"] = "select r.yr, r.node, l.size from reach r join lcc l on l.yr = r.yr and l.component = r.component"
-VIEWS["core_ends"] = "select s.yr, s.u, s.v, s.w, c.size from spans s join core c on c.yr = s.yr and c.node = s.u union all select yr, node, node, 1.0, size from core"
-VIEWS["eigen"] = """with recursive r as (select yr, node as u, 0 as k, 1.0::double / size as x, false as done from core
-  union all select yr, u, k + 1, x, sum(abs(x - old)) over (partition by yr) < size * 1e-3 from
-   (select yr, u, k, size, old, raw / sqrt(sum(raw * raw) over (partition by yr)) as x from
-    (select r.yr, e.u, r.k, e.size, sum(e.w * r.x) as raw, sum(case when e.u = e.v then r.x end) as old
-     from r join core_ends e on e.yr = r.yr and e.v = r.u where not r.done and r.k < 1000 group by r.yr, e.u, r.k, e.size)))
-  select yr, u, x from r where done"""
+VIEWS["core"] = "select r.gr, r.node, l.size from reach r join lcc l on l.gr = r.gr and l.component = r.component"
+VIEWS["core_ends"] = "select s.gr, s.u, s.v, s.w, c.size from lines s join core c on c.gr = s.gr and c.node = s.u union all select gr, node, node, 1.0, size from core"
+VIEWS["eigen"] = """with recursive r as (select gr, node as u, 0 as k, 1.0::double / size as x, false as done from core
+  union all select gr, u, k + 1, x, sum(abs(x - old)) over (partition by gr) < size * 1e-3 from
+   (select gr, u, k, size, old, raw / sqrt(sum(raw * raw) over (partition by gr)) as x from
+    (select r.gr, e.u, r.k, e.size, sum(e.w * r.x) as raw, sum(case when e.u = e.v then r.x end) as old
+     from r join core_ends e on e.gr = r.gr and e.v = r.u where not r.done and r.k < 1000 group by r.gr, e.u, r.k, e.size)))
+  select gr, u, x from r where done"""
 
 
 def with_views(body: str) -> str:

@@ -26,6 +26,11 @@ def write_json_lines(rows: DataFrame, path: str, by: Sequence[str] = (), codec:
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
+def write_rows(rows: DataFrame, path: str) -> None:
+    """A table that grows with its input as CSV with headers, a file per task."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_metrics(rows: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """A small result table as one CSV with a header."""
     (rows.orderBy(*order) if order else rows).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -2,7 +2,9 @@
 
 In a round every node sums its links to the clusters around it and finds the one with the
 greatest gain in modularity; a third of the nodes, chosen anew each round by a hash of node and round, move there. All of them see
-the clusters as they were, and since two neighbours seldom are awake together they seldom swap places. When no node gains by moving, clusters become
+the clusters as they were, and since two neighbours seldom are awake together they seldom swap places. After a few such rounds a
+move is made only if it is the best of all that leave or enter either of its two clusters: such moves do not disturb each other, so modularity rises by
+the sum of their gains and the rounds end. When no node gains by moving, clusters become
 nodes (a group-by over the edges) and the rounds start over, until nothing moves. A second cycle starts from the nodes again, in the
 clusters found, which mends early moves. Several trials of every graph, under other hashes, run as more rows of the same
 rounds; each graph keeps its best trial. No graph is in one task, and nothing but counts comes to the driver.
@@ -19,13 +21,13 @@ from ..functions.lineage import kept
 from .edges import GRAPH
 from .numbering import Numbered
 
-#: Of so many nodes one is awake in a round; rounds of a level, in case moves go in circles.
-CLASSES, ROUNDS = 3, 60
+#: Of so many nodes one is awake in a free round; free rounds of a level, after which moves are made that cannot disturb each other.
+CLASSES, FREE_ROUNDS = 3, 8
 #: A gain in modularity that counts.
 LEAST_GAIN = 1e-12
 
 
-def _move(state: DataFrame, links: DataFrame) -> DataFrame:
+def _move(state: DataFrame, links: DataFrame, free: bool) -> DataFrame:
     """One round. ``state``: g, u, c (cluster), k (strength), m (the graph's total strength), turn, wants (whether it would gain by moving)."""
     total = state.groupBy("c").agg(F.sum("k").alias("total"))
     placed = state.join(total, "c")
@@ -38,18 +40,27 @@ def _move(state: DataFrame, links: DataFrame) -> DataFrame:
         F.max(F.when(~F.col("stays"), F.struct("gain", (-F.col("c")).alias("c")))).alias("best"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("stay")
     )
     wants = F.coalesce(F.col("best.gain") > F.col("stay") + LEAST_GAIN * F.col("m") * F.col("m"), F.lit(False))
-    awake = F.pmod(F.xxhash64("u", "turn"), F.lit(CLASSES)) == 0
-    return state.join(best, "u", "left").select("g", "u", F.when(wants & awake, -F.col("best.c")).otherwise(F.col("c")).alias("c"), "k", "m", (F.col("turn") + 1).alias("turn"), wants.alias("wants"))
-
-
-def _settle(state: DataFrame, adjacency: DataFrame, rounds: int) -> DataFrame:
-    """Rounds until no node would gain by moving."""
+    wish = state.join(best, "u", "left").select("g", "u", "c", "k", "m", "turn", wants.alias("wants"), (-F.col("best.c")).alias("to"), (F.col("best.gain") - F.col("stay")).alias("more"))
+    if free:
+        goes = F.col("wants") & (F.pmod(F.xxhash64("u", "turn"), F.lit(CLASSES)) == 0)
+    else:
+        order = F.struct(F.col("more").alias("more"), (-F.col("u")).alias("u"))
+        first = wish.filter("wants").select(F.explode(F.array("c", "to")).alias("x"), order.alias("o")).groupBy("x").agg(F.max("o").alias("o"))
+        ends = [first.select(F.col("x").alias(c), F.col("o.u").alias(name)) for c, name in (("c", "leads"), ("to", "follows"))]
+        wish = wish.join(ends[0], "c", "left").join(ends[1], "to", "left")
+        goes = F.col("wants") & F.col("leads").eqNullSafe(-F.col("u")) & F.col("follows").eqNullSafe(-F.col("u"))
+    return wish.select("g", "u", F.when(goes, F.col("to")).otherwise(F.col("c")).alias("c"), "k", "m", (F.col("turn") + 1).alias("turn"), "wants")
+
+
+def _settle(state: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """Rounds until no node would gain by moving. Careful rounds raise modularity by what each move alone would, so they come to an end."""
     links = kept(adjacency.filter("u <> v").select("u", "v", "w"))
-    for _ in range(rounds):
-        state = kept(_move(state, links))
+    turn = 0
+    while True:
+        state = kept(_move(state, links, turn < FREE_ROUNDS))
+        turn += 1
         if state.filter("wants").isEmpty():
-            break
-    return state
+            return state
 
 
 def _strengths(adjacency: DataFrame) -> DataFrame:
@@ -63,7 +74,7 @@ def _cycle(adjacency: DataFrame, home: DataFrame) -> DataFrame:
     member, level, start = home, adjacency, home
     while True:
         state = kept(_strengths(level).join(start, "u").select("g", "u", "c", "k", "m", F.lit(0).alias("turn"), F.lit(True).alias("wants")))
-        state = _settle(state, level, ROUNDS)
+        state = _settle(state, level)
         nodes, clusters = state.agg(F.count("*"), F.count_distinct("c")).first()
         moved = state.select("u", "c")
         member = kept(moved if start is home else member.withColumnRenamed("c", "u0").join(moved.withColumnRenamed("u", "u0"), "u0").select("u", "c"))

@@ -4,8 +4,8 @@ In a round every node sums its links to the clusters around it and finds the one
 greatest gain in modularity; a third of the nodes, chosen anew each round by a hash of node and round, move there. All of them see
 the clusters as they were, and since two neighbours seldom are awake together they seldom swap places. After a few such rounds a
 move is made only if it is the best of all that leave or enter either of its two clusters: such moves do not disturb each other, so modularity rises by
-the sum of their gains and the rounds end. When no node gains by moving, clusters become
-nodes (a group-by over the edges) and the rounds start over, until nothing moves. A second cycle starts from the nodes again, in the
+the sum of their gains. When no node gains by moving, or after a fixed number of rounds, clusters become
+nodes (a group-by over the edges) and the rounds start over, until nothing moves. A further cycle starts from the nodes again, in the
 clusters found, which mends early moves. Several trials of every graph, under other hashes, run as more rows of the same
 rounds; each graph keeps its best trial. No graph is in one task, and nothing but counts comes to the driver.
 """
@@ -21,8 +21,8 @@ from ..functions.lineage import kept
 from .edges import GRAPH
 from .numbering import Numbered
 
-#: Of so many nodes one is awake in a free round; free rounds of a level, after which moves are made that cannot disturb each other.
-CLASSES, FREE_ROUNDS = 3, 8
+#: Of so many nodes one is awake in a free round; free rounds of a level, and rounds after them whose moves cannot disturb each other.
+CLASSES, FREE_ROUNDS, CAREFUL_ROUNDS = 3, 9, 3
 #: A gain in modularity that counts.
 LEAST_GAIN = 1e-12
 
@@ -53,14 +53,13 @@ def _move(state: DataFrame, links: DataFrame, free: bool) -> DataFrame:
 
 
 def _settle(state: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Rounds until no node would gain by moving. Careful rounds raise modularity by what each move alone would, so they come to an end."""
+    """Rounds until no node would gain by moving, or the level's rounds are used up; clusters move on at the next level."""
     links = kept(adjacency.filter("u <> v").select("u", "v", "w"))
-    turn = 0
-    while True:
+    for turn in range(FREE_ROUNDS + CAREFUL_ROUNDS):
         state = kept(_move(state, links, turn < FREE_ROUNDS))
-        turn += 1
         if state.filter("wants").isEmpty():
-            return state
+            break
+    return state
 
 
 def _strengths(adjacency: DataFrame) -> DataFrame:
@@ -93,7 +92,7 @@ def _modularity(adjacency: DataFrame, member: DataFrame) -> DataFrame:
     return spread.join(within, "g", "left").select("g", (F.coalesce("w", F.lit(0.0)) / F.col("m") - F.col("spread")).alias("q"))
 
 
-def louvain(edges: DataFrame, keys: Sequence[str] = GRAPH, trials: int = 4, cycles: int = 2) -> DataFrame:
+def louvain(edges: DataFrame, keys: Sequence[str] = GRAPH, trials: int = 4, cycles: int = 1) -> DataFrame:
     """node, cluster: communities of each graph, named by their least node."""
     graph = Numbered(edges, keys)
     trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("t")

@@ -20,7 +20,8 @@ short open lists the pairs between components are tested row by row. Long open l
 dealt into tiles of bounded bytes and rows that carry signatures and sets: a task compares
 a tile's signatures as arrays, each pair in the first coordinate whose list
 holds both and nowhere else, confirms on the sets in place, and emits a spanning forest of the
-links. So no link between components is lost, and rows grow with the lists, not with their squares.
+links. So no link between components is lost. Each member of a list of L classes goes to every tile of its
+row, so the rows shipped grow with the square of a list that stays long: about L * L / 512.
 
 Defined cases: null texts and texts without words have the empty set and are
 linked with nothing; rows with a null doc_id take no part and have a null

@@ -440,7 +440,7 @@ def g2_components(spark, sf_dir):
     return graphs.components(graph_edges(spark, sf_dir))
 
 
-@query("select method, snapshot, l.component, l.size, l.size = (select count(*) from points b where b.gr = l.gr) as is_connected from lcc l join grs using (gr)")
+@query("select method, snapshot, l.component, l.size, l.size = (select count(*) from graph_nodes b where b.gr = l.gr) as is_connected from lcc l join grs using (gr)")
 def g2_largest_component(spark, sf_dir):
     return graphs.largest_component(graphs.components(graph_edges(spark, sf_dir)))
 
@@ -473,8 +473,8 @@ def g20_distance_panel(spark, sf_dir):
 _INSIDE = "dist5 d join lcc l on l.gr = d.gr join reach r on r.gr = d.gr and r.node = d.u and r.component = l.component"
 _CLOSENESS = f"(select d.gr, d.u, round(coalesce((any_value(l.size) - 1) / nullif(sum(w), 0), 0), 6)::double as closeness from {_INSIDE} group by d.gr, d.u)"
 _AVERAGE = f"(select d.gr, round(coalesce(sum(w) / nullif(any_value(l.size) * (any_value(l.size) - 1), 0), 0), 6)::double as avg_shortest_path, round(max(w), 6)::double as diameter from {_INSIDE} group by d.gr)"
-_BETWEENNESS = """(select b.gr, b.u, round(coalesce(through, 0) / greatest((n - 1) * (n - 2), 1), 6)::double as betweenness from points b
-join (select gr, count(*) as n from points group by gr) using (gr) left join through t on t.gr = b.gr and t.node = b.u)"""
+_BETWEENNESS = """(select b.gr, b.u, round(coalesce(through, 0) / greatest((n - 1) * (n - 2), 1), 6)::double as betweenness from graph_nodes b
+join (select gr, count(*) as n from graph_nodes group by gr) using (gr) left join through t on t.gr = b.gr and t.node = b.u)"""
 
 
 def _distances(spark, sf_dir, between: bool = False) -> DataFrame:
@@ -491,7 +491,7 @@ def g4_diameter(spark, sf_dir):
     return paths.path_summary(_distances(spark, sf_dir)).select("method", "snapshot", "diameter")
 
 
-@query(f"select method, snapshot, b.u as node, closeness from points b join grs using (gr) left join {_CLOSENESS} c on b.gr = c.gr and b.u = c.u")
+@query(f"select method, snapshot, b.u as node, closeness from graph_nodes b join grs using (gr) left join {_CLOSENESS} c on b.gr = c.gr and b.u = c.u")
 def g10_closeness(spark, sf_dir):
     return _distances(spark, sf_dir).select("method", "snapshot", "node", "closeness")
 
@@ -501,7 +501,7 @@ def g9_betweenness(spark, sf_dir):
     return _distances(spark, sf_dir, between=True).select("method", "snapshot", "node", "betweenness")
 
 
-@query("select method, snapshot, b.u as node, round(x, 6) as eigenvector from points b join grs using (gr) left join eigen e on e.gr = b.gr and e.u = b.u")
+@query("select method, snapshot, b.u as node, round(x, 6) as eigenvector from graph_nodes b join grs using (gr) left join eigen e on e.gr = b.gr and e.u = b.u")
 def g11_eigenvector(spark, sf_dir):
     return spectral.eigenvector(graph_edges(spark, sf_dir))
 
@@ -521,7 +521,7 @@ def g7_louvain_modularity(spark, sf_dir):
 from counts c join grs using (method, snapshot) join {_AVERAGE} p using (gr) join ({_CLUSTERING}) k using (method, snapshot)
 join (select gr, round(avg(betweenness), 6) as avg_betweenness from {_BETWEENNESS} group by gr) b using (gr)
 join (select gr, round(avg(closeness), 6) as avg_closeness from {_CLOSENESS} group by gr) n using (gr)
-join (select gr, l.size = count(*) as is_connected from points join lcc l using (gr) group by gr, l.size) s using (gr)
+join (select gr, l.size = count(*) as is_connected from graph_nodes join lcc l using (gr) group by gr, l.size) s using (gr)
 join (select method, snapshot, round(avg(degree_centrality), 6) as avg_degree from ({_DEGREE}) group by method, snapshot) d using (method, snapshot)
 left join (select gr, round(avg(round(x, 6)), 6) as avg_eigenvector from eigen group by gr) e using (gr)""")
 def g13_static_measures(spark, sf_dir):
@@ -725,7 +725,7 @@ def k9_closeness_box(spark, sf_dir):
 
 
 @query(f"""select method, snapshot, round(avg(closeness), 6) as avg_closeness, round(avg(degree / nullif(n - 1, 0)), 6)::double as avg_degree from
-(select b.gr, b.u, count(s.v) as degree, count(*) over (partition by b.gr) as n from points b join lines s on s.gr = b.gr and s.u = b.u group by b.gr, b.u) c join grs using (gr)
+(select b.gr, b.u, count(s.v) as degree, count(*) over (partition by b.gr) as n from graph_nodes b join graph_ways s on s.gr = b.gr and s.u = b.u group by b.gr, b.u) c join grs using (gr)
 left join {_CLOSENESS} x on x.gr = c.gr and x.u = c.u group by method, snapshot""")
 def a19_mean_centralities(spark, sf_dir):
     """Means over the nodes; those outside the largest component have no closeness and do not count in its mean."""

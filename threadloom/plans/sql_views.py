@@ -106,15 +106,15 @@ for _k in range(1, 6):
 VIEWS["hops0"] = "select yr, u, v, min(h) as h from (select yr, u, v, 1 as h from spans union all select yr, u, u, 0 from bnodes) group by all"
 #: Shortest distances in the whole graphs (gr: method and snapshot) by doubling: after five rounds, over up to 32 hops.
 VIEWS["grs"] = "select distinct method, snapshot, method || '|' || snapshot as gr from ways"
-VIEWS["lines"] = "select method || '|' || snapshot as gr, u, v, weight::double as w from ways"
-VIEWS["points"] = "select distinct gr, u from lines"
-VIEWS["dist0"] = "select gr, u, v, min(w) as w from (select * from lines union all select gr, u, u, 0 from points) group by all"
+VIEWS["graph_ways"] = "select method || '|' || snapshot as gr, u, v, weight::double as w from ways"
+VIEWS["graph_nodes"] = "select distinct gr, u from graph_ways"
+VIEWS["dist0"] = "select gr, u, v, min(w) as w from (select * from graph_ways union all select gr, u, u, 0 from graph_nodes) group by all"
 for _k in range(1, 6):
     VIEWS[f"dist{_k}"] = f"select a.gr, a.u, b.v, round(min(a.w + b.w), 9) as w from dist{_k - 1} a join dist{_k - 1} b on a.gr = b.gr and a.v = b.u group by all"
 VIEWS["reach"] = "select gr, u as node, min(v) as component, count(*) as size from dist5 group by gr, u"
 #: Shortest paths by number of edges, summed to path counts, and what passes through a node.
-VIEWS["steps_on"] = "select a.gr, a.u as s, e.u, e.v from dist5 a join lines e on e.gr = a.gr and e.u = a.v join dist5 b on b.gr = a.gr and b.u = a.u and b.v = e.v where abs(a.w + e.w - b.w) < 1e-9"
-VIEWS["path_counts"] = """with recursive p as (select gr, u as s, u as t, 0 as k, 1::double as c from points
+VIEWS["steps_on"] = "select a.gr, a.u as s, e.u, e.v from dist5 a join graph_ways e on e.gr = a.gr and e.u = a.v join dist5 b on b.gr = a.gr and b.u = a.u and b.v = e.v where abs(a.w + e.w - b.w) < 1e-9"
+VIEWS["path_counts"] = """with recursive p as (select gr, u as s, u as t, 0 as k, 1::double as c from graph_nodes
   union all select p.gr, p.s, e.v, p.k + 1, sum(p.c) from p join steps_on e on e.gr = p.gr and e.s = p.s and e.u = p.t group by p.gr, p.s, e.v, p.k)
   select gr, s, t, sum(c) as c from p group by all"""
 VIEWS["through"] = """select a.gr, a.t as node, sum(a.c * b.c / w.c) as through from path_counts a join path_counts b on b.gr = a.gr and b.s = a.t
@@ -124,7 +124,7 @@ VIEWS["lcc"] = """select gr, component, size from (select gr, component, count(*
   qualify row_number() over (partition by gr order by size desc, component) = 1"""
 #: Power iteration in the largest components; every node is its own neighbour once, which is the shift by the identity.
 VIEWS["core"] = "select r.gr, r.node, l.size from reach r join lcc l on l.gr = r.gr and l.component = r.component"
-VIEWS["core_ends"] = "select s.gr, s.u, s.v, s.w, c.size from lines s join core c on c.gr = s.gr and c.node = s.u union all select gr, node, node, 1.0, size from core"
+VIEWS["core_ends"] = "select s.gr, s.u, s.v, s.w, c.size from graph_ways s join core c on c.gr = s.gr and c.node = s.u union all select gr, node, node, 1.0, size from core"
 VIEWS["eigen"] = """with recursive r as (select gr, node as u, 0 as k, 1.0::double / size as x, false as done from core
   union all select gr, u, k + 1, x, sum(abs(x - old)) over (partition by gr) < size * 1e-3 from
    (select gr, u, k, size, old, raw / sqrt(sum(raw * raw) over (partition by gr)) as x from

@@ -3,12 +3,13 @@
 Codes are ``BITS`` signs of learned rotations: on a bounded sample the vectors are
 centred and reduced by principal components where they have more dimensions
 than bits, and rotations are fitted that bring them near their signs, several where they have
-fewer. A code is split into ``PARTS`` substrings, each with an index of its own from value
-to rows. Within Hamming radius r = PARTS s + a, two codes agree up to s bits in one of
+fewer. A code is split into ``PARTS`` substrings of 16 bits, each with an index of its own over
+all rows of a shard: rows in the order of their value, and where each of the 65,536 values begins. Within Hamming
+radius r = PARTS s + a, two codes agree up to s bits in one of
 the first a + 1 substrings or up to s - 1 in one of the others, so probing those
-values retrieves every code within the radius: the occupied values are
-compared rather than all flips listed, which are far more. Retrieved codes within
-the radius are reranked by their vectors.
+values retrieves every code within the radius. A query's values are made by flips of its substring, or, where
+fewer values than flips are occupied, chosen among the occupied ones. Only rows posted under a probed value are touched; those within
+the radius on the whole code are reranked by their vectors.
 
 The radius comes from exact neighbours of a bounded set of calibration rows
 among all rows: the least one that holds ``HELD`` of them. Queries that find fewer than k
@@ -34,11 +35,15 @@ from pyspark.sql import functions as F
 from .shared import keep
 from .vector_blocks import Best, Kept, against_all, load, matrix, pack, packs_of, queries_of, widen
 
-BITS, PARTS = 128, 4
+BITS, PARTS = 128, 8
+VALUES = 1 << 16
 #: Rows that the rotation is fitted on, and rows whose exact neighbours set the radius.
 SAMPLE_ROWS, CALIBRATION_ROWS, HELD = 8192, 128, 0.94
-#: Queries that probe a block at once, and pairs whose products are summed at once.
-_PROBING, _PAIRS = 256, 1 << 16
+#: Queries times rows of a shard that are probed together, and pairs whose products are summed at once.
+_PROBING, _PAIRS = 1 << 20, 1 << 16
+#: Flips of a substring, those of fewer bits first, and how many have at most 0, 1, ... bits.
+_FLIPS = np.argsort(np.bitwise_count(np.arange(VALUES, dtype=np.uint16)), kind="stable").astype(np.uint16)
+_UP_TO = np.cumsum(np.bincount(np.bitwise_count(_FLIPS), minlength=17))
 
 
 def _greatest(x: np.ndarray) -> np.ndarray:
@@ -53,12 +58,12 @@ class Coder:
     axes: np.ndarray
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """Rows of ``PARTS`` substrings of 32 bits. Each row is scaled, which leaves the signs as they are."""
+        """Rows of ``PARTS`` substrings of 16 bits. Each row is scaled, which leaves the signs as they are."""
         width = len(self.mean)
         near = widen(x, width)[:, :width]
         size = np.maximum(_greatest(near), np.abs(self.mean).max(initial=0))
         bits = (near / size - self.mean / size) @ self.axes >= 0
-        return np.packbits(bits, axis=1, bitorder="little").view(np.uint32)
+        return np.packbits(bits, axis=1, bitorder="little").view(np.uint16)
 
 
 def learn(sample: np.ndarray, rounds: int = 30, seed: int = 11) -> Coder:
@@ -86,31 +91,55 @@ def learn(sample: np.ndarray, rounds: int = 30, seed: int = 11) -> Coder:
 
 
 def build(coder: Coder, ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
-    """A block with its codes and, per substring, the occupied values and each row's place among them."""
-    codes = coder.codes(x)
+    """A block with its codes."""
     with np.errstate(over="ignore"):
         short = x.astype(np.float32)
-    out = {"ids": ids, "x": short if (short == x).all() else x, "codes": codes.view(np.uint64)}
-    for p in range(PARTS):
-        values, place = np.unique(codes[:, p], return_inverse=True)
-        out |= {f"values{p}": values, f"place{p}": place.astype(np.uint16)}
-    return out
-
-
-def _retrieve(code: np.ndarray, block: dict[str, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a code and a row of the block within the radius, by code."""
-    s, a = divmod(radius, PARTS)
-    hit = np.zeros((len(code), len(block["ids"])), bool)
-    for p in range(PARTS):
-        allowed = s if p <= a else s - 1
-        if allowed >= 0:
-            near = np.bitwise_count(code[:, p, None] ^ block[f"values{p}"]) <= allowed
-            hit |= near.take(block[f"place{p}"], axis=1)
-    at, rows = np.divmod(np.flatnonzero(hit), hit.shape[1])
-    whole = code.view(np.uint64)
-    apart = sum(np.bitwise_count(whole[:, w][at] ^ block["codes"][:, w][rows]).astype(np.int16) for w in range(whole.shape[1]))
-    within = apart <= radius
-    return at[within], rows[within]
+    return {"ids": ids, "x": short if (short == x).all() else x, "codes": coder.codes(x).view(np.uint64)}
+
+
+class Index:
+    """All rows of a shard, and per substring the rows in the order of its value with the first place of every value."""
+
+    def __init__(self, blocks: list[dict[str, np.ndarray]]):
+        width = max(b["x"].shape[1] for b in blocks)
+        self.ids = np.concatenate([b["ids"] for b in blocks])
+        self.x = np.concatenate([widen(b["x"], width) for b in blocks])
+        self.codes = np.concatenate([b["codes"] for b in blocks])
+        parts = self.codes.view(np.uint16)
+        self.rows, self.begins, self.occupied = [], [], []
+        for p in range(PARTS):
+            sizes = np.bincount(parts[:, p], minlength=VALUES)
+            self.rows.append(np.argsort(parts[:, p], kind="stable").astype(np.int32))
+            self.begins.append(np.concatenate([[0], np.cumsum(sizes)]))
+            self.occupied.append(np.flatnonzero(sizes).astype(np.uint16))
+
+    def _posted(self, p: int, part: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a row whose substring p is within so many bits of the query's."""
+        if _UP_TO[bits] < len(self.occupied[p]):
+            at = np.repeat(np.arange(len(part)), _UP_TO[bits])
+            values = (part[:, None] ^ _FLIPS[None, : _UP_TO[bits]]).ravel()
+        else:
+            at, v = np.nonzero(np.bitwise_count(part[:, None] ^ self.occupied[p]) <= bits)
+            values = self.occupied[p][v]
+        first = self.begins[p][values]
+        sizes = self.begins[p][values.astype(np.int32) + 1] - first
+        ends = np.cumsum(sizes)
+        places = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.repeat(at, sizes), self.rows[p][places]
+
+    def retrieve(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Pairs of a code and a row within the radius, by code, and how many pairs were touched for them."""
+        s, a = divmod(min(radius, BITS), PARTS)
+        hit = np.zeros((len(code), len(self.ids)), bool)
+        for p in range(PARTS):
+            allowed = s if p <= a else s - 1
+            if allowed >= 0:
+                hit[self._posted(p, code[:, p], min(allowed, 16))] = True
+        at, rows = np.divmod(np.flatnonzero(hit), hit.shape[1])
+        whole = code.view(np.uint64)
+        apart = sum(np.bitwise_count(whole[:, w][at] ^ self.codes[:, w][rows]).astype(np.int16) for w in range(whole.shape[1]))
+        within = apart <= radius
+        return at[within], rows[within], len(at)
 
 
 def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -121,17 +150,17 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(out), -np.inf, out)
 
 
-def search(coder: Coder, radius: int, query_ids: np.ndarray, queries: np.ndarray, blocks: list[dict[str, np.ndarray]], best: Best) -> None:
+def search(coder: Coder, radius: int, query_ids: np.ndarray, queries: np.ndarray, index: Index, best: Best) -> None:
     codes = coder.codes(queries)
-    for block in blocks:
-        for start in range(0, len(query_ids), _PROBING):
-            at, rows = _retrieve(codes[start : start + _PROBING], block, radius)
-            other = block["ids"][rows] != query_ids[start + at]
-            at, rows = at[other], rows[other]
-            scores = np.concatenate([np.zeros(0)] + [inner(queries[start + at[c : c + _PAIRS]], block["x"][rows[c : c + _PAIRS]]) for c in range(0, len(at), _PAIRS)])
-            cut = np.searchsorted(at, np.arange(len(codes[start : start + _PROBING]) + 1))
-            for q in range(len(cut) - 1):
-                best.offer(start + q, scores[cut[q] : cut[q + 1]], block["ids"][rows[cut[q] : cut[q + 1]]])
+    step = max(1, _PROBING // len(index.ids))
+    for start in range(0, len(query_ids), step):
+        at, rows, _ = index.retrieve(codes[start : start + step], radius)
+        other = index.ids[rows] != query_ids[start + at]
+        at, rows = at[other], rows[other]
+        scores = np.concatenate([np.zeros(0)] + [inner(queries[start + at[c : c + _PAIRS]], index.x[rows[c : c + _PAIRS]]) for c in range(0, len(at), _PAIRS)])
+        cut = np.searchsorted(at, np.arange(len(codes[start : start + step]) + 1))
+        for q in range(len(cut) - 1):
+            best.offer(start + q, scores[cut[q] : cut[q + 1]], index.ids[rows[cut[q] : cut[q + 1]]])
 
 
 def _sample(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +181,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     asked = keep(queries_of(blocks, every), "queries")
 
     def within(queries: DataFrame, r: int) -> DataFrame:
-        return against_all(blocks, packs_of(queries), lambda i, q, b, best: search(coder, r, i, q, b, best), k, "double")
+        return against_all(blocks, packs_of(queries), lambda i, q, shard, best: search(coder, r, i, q, shard, best), k, "double", Index)
 
     found = keep(within(asked, radius), "near")
     others = blocks.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] - 1

@@ -1,9 +1,9 @@
 """Vectors packed into blocks, and a query set laid against all blocks.
 
 ``pack`` sorts the vectors by id into ranges and writes them as blocks of a few
-thousand. ``against_all`` deals the blocks to shards, sends each pack of queries to
-every shard, and lays it there against all blocks of the shard, which are unpacked once, through a
-kernel that keeps the best k of each query; what shards found is merged by query. Tasks hold one
+thousand. ``against_all`` deals the blocks to shards and sends each pack of queries to
+every shard. A shard's blocks come first and once; they are made ready once, then its packs stream past
+them through a kernel that keeps the best k of each query; what shards found is merged by query. Tasks hold one
 shard of bounded bytes, one pack and k rows per query of it; no vector is sent to the driver.
 
 Rows that share an id count once: the first in the order of their vectors.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -159,19 +160,19 @@ class Best:
             self.scores[q], self.found[q] = scores[top], ids[top]
 
 
-#: Lays one pack (ids, vectors) against the blocks of a shard and offers what it finds.
-Kernel = Callable[[np.ndarray, np.ndarray, list[dict[str, np.ndarray]], Best], None]
+#: Lays one pack (ids, vectors) against a shard that has been made ready, and offers what it finds.
+Kernel = Callable[[np.ndarray, np.ndarray, Any, Best], None]
 
 
-def against_all(blocks: Kept, packs: DataFrame, kernel: Kernel, k: int, exact: str) -> DataFrame:
+def against_all(blocks: Kept, packs: DataFrame, kernel: Kernel, k: int, exact: str, ready: Callable[[list[dict[str, np.ndarray]]], Any] = list) -> DataFrame:
     """query_id, rank, vec_id, score: the best k of every query among all vectors but its own id."""
     spark = blocks.spark
     size = blocks.df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("bytes")).first()
     # each shard adds k rows per query: no more of them than bytes and cores ask for, and none of less than a full block
     shards = int(max(1, -(-size["bytes"] // SHARD_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-size["rows"] // BLOCK_ROWS))))
-    left = packs.select(F.col("block").alias("pack"), F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = blocks.df.select(F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard"), "block", "blob")
-    pairs = left.hint("merge").join(right, "shard").select("shard", "pack", "block", "queries", "blob")
+    asked = packs.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("turn"), "block", "blob")
+    held = blocks.df.select(F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("turn"), "block", "blob")
+    lined = held.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("turn", "block")
     arrow = pa.int64() if exact == "long" else pa.float64()
     kind = np.int64 if exact == "long" else np.float64
 
@@ -181,28 +182,20 @@ def against_all(blocks: Kept, packs: DataFrame, kernel: Kernel, k: int, exact: s
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, sizes), pa.int64()), pa.array(flat[0], pa.int64()), pa.array(flat[1], arrow)], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, mine, loaded = None, None, [], {}
-
-        def search() -> pa.RecordBatch:
-            best = Best(queries["ids"], k, kind)
-            kernel(queries["ids"], queries["x"], mine, best)
-            return rows(best)
-
+        mine, shard = [], None
         for b in batches:
-            for i in range(b.num_rows):
-                shard, pack, block = (b.column(c)[i].as_py() for c in range(3))
-                if (shard, pack) != at:
-                    if at is not None:
-                        yield search()
-                    if at is None or shard != at[0]:
-                        loaded = {}
-                    at, queries, mine = (shard, pack), load(b.column(3)[i].as_py()), []
-                if block not in loaded:
-                    loaded[block] = load(b.column(4)[i].as_py())
-                mine.append(loaded[block])
-        if at is not None:
-            yield search()
-
-    partial = pairs.mapInArrow(run, f"query_id long, vec_id long, score {exact}")
+            for turn, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                arrays = load(blob.as_py())
+                if turn == 0:
+                    mine.append(arrays)
+                    continue
+                if not mine:  # hashing left this shard empty
+                    continue
+                shard = ready(mine) if shard is None else shard
+                best = Best(arrays["ids"], k, kind)
+                kernel(arrays["ids"], arrays["x"], shard, best)
+                yield rows(best)
+
+    partial = lined.select("turn", "blob").mapInArrow(run, f"query_id long, vec_id long, score {exact}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return partial.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,7 +10,7 @@ from ..functions.lineage import cut, scratch
 from ..operators import edges as E
 from ..operators import embeddings, graphs, interactions, links, louvain, paths, quality, ranking, sentiment, spectral, temporal, text, topics
 from ..sources import readers, views
-from . import round_trips  # noqa: F401  its queries are registered too
+from . import round_trips, words_and_layout  # noqa: F401  their queries are registered too
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 

@@ -65,6 +65,25 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert all(r["kept"] == (r["component_id"] == k) for k, r in got.items())
 
 
+def test_long_lists_of_texts_that_share_a_passage_make_no_tiles(spark, docs, monkeypatch):
+    passage = " ".join(f"shared{k}" for k in range(70))
+    texts = [passage + " " + " ".join(f"own{d}x{k}" for k in range(70)) for d in range(600)]
+    texts += [t.replace("x5 ", "x5 changed ") for t in texts[:200:20]]
+    shipped = []
+    plain = near_dups.long_list_links
+
+    def counted(posts, *rest):
+        shipped.append(posts.count())
+        return plain(posts, *rest)
+
+    monkeypatch.setattr(near_dups, "long_list_links", counted)
+    monkeypatch.setattr(near_dups, "ROUNDS", 1)
+    rows = near_dups.near_duplicates(docs(list(enumerate(texts)))).collect()
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    assert got == {d: d if d < 600 else (d - 600) * 20 for d in range(610)}
+    assert shipped == [0]
+
+
 def test_tiles_alone_find_the_same(spark, corpus, monkeypatch):
     """Every list in tiles of several chunks, without pivots."""
     monkeypatch.setattr(near_dups, "SHORT", 1)

@@ -16,12 +16,16 @@ probability of about 3e-9; the error is one-sided.
 No long list is expanded into pairs of rows. Two rounds take from each list one
 pivot, chosen by hash, and test the others against it alone, which joins most
 groups of copies; lists whose classes are in one component by then are closed. In
-short open lists the pairs between components are tested row by row. Long open lists are
+short open lists the pairs between components are tested row by row. Members of long open lists
+are split once more, by their rarest shingles: with the shingles of a set ordered by how many of these sets hold them,
+two sets that reach the similarity share one outside the ``ceil(0.75 size)`` - 1 most frequent of each, so a member is posted under the remaining
+quarter. Texts that only share a passage do not meet there. Short lists of a shingle are paired row by row; members of long
+ones stay in the lists of their coordinates, which are
 dealt into tiles of bounded bytes and rows that carry signatures and sets: a task compares
 a tile's signatures as arrays, each pair in the first coordinate whose list
 holds both and nowhere else, confirms on the sets in place, and emits a spanning forest of the
-links. So no link between components is lost. Each member of a list of L classes goes to every tile of its
-row, so the rows shipped grow with the square of a list that stays long: about L * L / 512.
+links. So no link between components is lost. Rows grow with the number of members but for tiles: L classes that share a list of a
+coordinate and are each in long lists of rare shingles without being in one component ship about L * L / 512 rows.
 
 Defined cases: null texts and texts without words have the empty set and are
 linked with nothing; rows with a null doc_id take no part and have a null
@@ -50,6 +54,8 @@ COORDINATES, LEAST_AGREEING = 32, 9
 MAX_BROADCAST_IDS = 1_000_000
 #: Rounds of pivots, members of a list that is still paired row by row, and bytes of sets and classes per side of a tile.
 ROUNDS, SHORT, TILE_BYTES, TILE_ROWS = 2, 48, 8 << 20, 512
+#: Bins of hashes by which shingles of long lists are counted; equal counts only make the split coarser.
+BINS = 1 << 20
 #: What a row of a tile takes besides its set: signature, ids and their Python objects.
 ROW_BYTES = 1024
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -223,6 +229,60 @@ def long_list_links(posts: DataFrame, masks: DataFrame, classes: DataFrame, sets
     return keyed.groupBy("token", "low", "high").applyInArrow(_tile, "a long, b long")
 
 
+def _bin(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(44)).astype(np.int64)
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall into each bin: ``BINS`` numbers, however many sets there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(counts, _bin(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bin", "n"])
+
+    rows = sets.select("shingles").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BINS, np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def rare_postings(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(shingle, rep, size): the rarest shingles of each set, one of which two sets that reach the similarity share."""
+    # the count of its bin, then the hash: one order of all shingles, the same in every set
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                found = []
+                for x in part.column(1):
+                    s = np.frombuffer(x.as_buffer(), np.uint64)
+                    skipped = -(-PERCENT * len(s) // 100) - 1
+                    found.append(s[np.lexsort((s, shared.value[_bin(s)]))[: len(s) - skipped]].view(np.int64))
+                sizes = [len(f) for f in found]
+                reps = np.repeat(part.column(0).to_numpy(), sizes)
+                full = np.repeat([len(x.as_buffer()) // 8 for x in part.column(1)], sizes).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(reps, pa.int64()), pa.array(full)], names=["shingle", "rep", "size"])
+
+    return sets.select("rep", "shingles").mapInArrow(run, "shingle long, rep long, size long")
+
+
+def split_by_shingles(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, Kept]:
+    """Of members of long lists (rep, component): pairs that meet in short lists of a rare shingle, the reps in long ones, and the table behind both."""
+    mine = sets.join(members.select("rep"), "rep", "left_semi")
+    posts = rare_postings(mine, frequencies(mine)).withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).filter("n > 1")
+    met = Kept(posts.join(members, "rep"), "rare")
+    a, b = (met.df.filter(F.col("n") <= SHORT).select("shingle", F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
+    fits = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
+    pairs = a.join(b, "shingle").filter("a < b and component_a <> component_b").filter(fits).select("a", "b").distinct()
+    return pairs, met.df.filter(F.col("n") > SHORT).select("rep").distinct(), met
+
+
 def links(docs: DataFrame, classes: DataFrame) -> Kept | None:
     """(node, component) of all classes that have a link; None where there are none."""
     posts = Kept(shared_postings(classes), "postings")
@@ -258,9 +318,13 @@ def links(docs: DataFrame, classes: DataFrame) -> Kept | None:
     a, b = (short.select("token", F.col("rep").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
     pairs = a.join(b, "token").filter("a < b and component_a <> component_b").select("a", "b").distinct()
     masks = posts.df.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
-    long = long_list_links(rest.df.filter(F.col("members") > SHORT), masks, classes, sets.df)
-    found = merge(confirmed(agreeing(pairs, classes), sets.df).unionByName(long))
-    for table in (rest, sets, posts):
+    new, spent = confirmed(agreeing(pairs, classes), sets.df), None
+    long = rest.df.filter(F.col("members") > SHORT)
+    if not long.isEmpty():
+        rare, left, spent = split_by_shingles(long.select("rep", "component").distinct(), sets.df)
+        new = new.unionByName(confirmed(rare, sets.df)).unionByName(long_list_links(long.join(left, "rep", "left_semi"), masks, classes, sets.df))
+    found = merge(new)
+    for table in (rest, sets, posts, *([spent] if spent else [])):
         table.drop()
     return found
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.operators import topics, variational
 
@@ -82,3 +83,34 @@ def test_short_unknown_and_null_documents(spark):
     got = {r["id"]: r["topic_id"] for r in model.assign(odd, "id").collect()}
     assert [got[k] for k in (1, 2, 3, 4)] == [-1] * 4 and got[None] >= 0
     assert model.assign(odd.limit(0), "id").count() == 0
+
+
+def test_documents_side_by_side_are_iterated_as_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([rng.integers(0, 40, 200), [0, 700]])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    ids = np.concatenate([np.sort(rng.choice(900, s, replace=False)) for s in sizes])
+    counts, table, alpha = rng.integers(1, 5, len(ids)).astype(float), rng.random((900, 4)) + 1e-3, np.array([0.4, 0.3, 0.2, 0.1])
+    monkeypatch.setattr(variational, "TABLE", 500)
+    total, alone = np.zeros((900, 4)), np.zeros((900, 4))
+    calls, told = [], variational._raised
+    monkeypatch.setattr(variational, "_raised", lambda w: calls.append(1) or told(w))
+    got = variational.infer(ids, counts, starts, table, alpha, 30, total)
+    assert len(calls) < len(sizes) * 5  # not one by one
+    for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+        one = variational.infer(ids[a:b], counts[a:b], np.array([0, b - a]), table, alpha, 30, alone)
+        assert got[i] == pytest.approx(one[0], rel=1e-9)
+    assert total == pytest.approx(alone, rel=1e-9) and got[-2].tolist() == alpha.tolist()
+
+
+def test_texts_are_tokenised_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        seen.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i, "red green blue grey " * (1 + i % 3)) for i in range(20)], "id long, text string").select("id", words("text").alias("tokens"))
+    model = topics.TopicModel(k=2, passes=2, no_above=1.0, no_below=1, least_tokens=1).fit(docs, "id")
+    assert model.assign(docs, "id").count() == 20 and seen.value == 20

@@ -56,22 +56,30 @@ class TopicModel:
         self.alpha = raw / raw.sum()
         self.terms: list[str] = []
         self.weights: np.ndarray | None = None
+        self.fitted: tuple[DataFrame, str, DataFrame] | None = None
 
     def fit(self, docs: DataFrame, key: str) -> TopicModel:
         """``docs`` has the key and an array column ``tokens``."""
-        long = docs.filter(F.size("tokens") >= self.least_tokens)
-        terms = vocabulary(long, **self.pruning)
+        rows = kept(docs.select(key, "tokens"), "tokens")
+        terms = vocabulary(rows.filter(F.size("tokens") >= self.least_tokens), **self.pruning)
         self.terms = [r["term"] for r in terms.select("term").toLocalIterator()]  # at most keep_n
         if self.terms:
-            rows = kept(variational.bags(long, key, self.terms).filter(F.size("ids") > 0), "bags")
-            self.weights = variational.fit(rows, len(self.terms), self.alpha, self.eta, self.passes, self.iterations, self.seed)
+            bags = kept(variational.bags(rows, key, self.terms), "bags")
+            self.fitted = docs, key, bags
+            used = bags.filter((F.col("size") >= self.least_tokens) & (F.size("ids") > 0))
+            self.weights = variational.fit(used, len(self.terms), self.alpha, self.eta, self.passes, self.iterations, self.seed)
         return self
 
     def assign(self, docs: DataFrame, key: str, least: float = 0.15) -> DataFrame:
-        """key, topic_id: the likeliest topic if it reaches ``least``; -1 for it or for short, empty and unknown texts."""
+        """key, topic_id: the likeliest topic if it reaches ``least``; -1 for it or for short, empty and unknown texts.
+
+        The table that was fitted is not tokenised and counted again.
+        """
         if self.weights is None:
             return docs.select(key, F.lit(NONE).alias("topic_id"))
-        rows = variational.likeliest(variational.bags(docs, key, self.terms), key, self.weights, self.alpha, self.iterations)
+        same = self.fitted is not None and self.fitted[0] is docs and self.fitted[1] == key
+        bags = self.fitted[2] if same else variational.bags(docs, key, self.terms)
+        rows = variational.likeliest(bags, key, self.weights, self.alpha, self.iterations)
         fits = (F.col("size") >= self.least_tokens) & (F.col("p") >= least)
         return rows.select(key, F.when(fits, F.col("topic")).otherwise(NONE).cast("int").alias("topic_id"))
 

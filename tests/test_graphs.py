@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.operators import edges as E, louvain, paths, spectral
 from threadloom.operators import graphs, interactions, links, quality, ranking, temporal
@@ -192,3 +193,17 @@ def test_new_positives_only(spark):
     none = spark.createDataFrame([], "method string, test long, u string, v string")
     assert links.labelled_pairs(tests, none).count() == 2
     assert [(r["u"], r["v"]) for r in links.labelled_pairs(tests, none, new_only=train).collect()] == [("b", "c")]
+
+
+def test_hops_make_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(node):
+        seen.add(1)
+        return node
+
+    path = spark.createDataFrame([(1, str(i), str(i + 1)) for i in range(6)], "yr int, src string, dst string").select("yr", told("src").alias("src"), "dst")
+    sources = spark.createDataFrame([(1, "0")], "yr int, source string")
+    assert sorted((r["node"], r["hops"]) for r in graphs.hop_distances(path, sources, ["yr"]).collect()) == [(str(i), i) for i in range(7)]
+    assert seen.value <= 12  # six edges, both ways

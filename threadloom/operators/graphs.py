@@ -117,10 +117,10 @@ def largest_component(found: DataFrame, keys: Sequence[str] = GRAPH) -> DataFram
 def hop_distances(edges: DataFrame, sources: DataFrame, keys: Sequence[str]) -> DataFrame:
     """source, node, hops for every node that a source reaches, by one breadth-first search for all sources.
 
-    A round joins the frontier only; nodes already seen are dropped by anti-join. Each round is written once, to its own folder.
+    A round joins the frontier only; nodes already seen are dropped by anti-join. The edges and each round are written once, to their own folders.
     """
     keys = list(keys)
-    ends = both_ways(edges.withColumn("weight", F.lit(1)) if "weight" not in edges.columns else edges, keys).select(*keys, "u", "v").distinct()
+    ends = kept(both_ways(edges.withColumn("weight", F.lit(1)) if "weight" not in edges.columns else edges, keys).select(*keys, "u", "v").distinct(), "ends")
     present = ends.select(*keys, F.col("u").alias("source")).distinct()
     seen = kept(sources.select(*keys, "source").distinct().join(present, [*keys, "source"]).select(*keys, "source", F.col("source").alias("node"), F.lit(0).alias("hops")))
     frontier, k = seen, 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import category_colour, cosine, jaccard
-from ..functions.lineage import cut, scratch
+from ..functions.lineage import cut, kept, scratch
 from ..operators import edges as E
 from ..operators import embeddings, graphs, interactions, links, louvain, paths, quality, ranking, sentiment, spectral, temporal, text, topics
 from ..sources import readers, views
@@ -449,7 +449,7 @@ _SOURCES = ("Brand#11", "Brand#12", "Brand#16", "Brand#20", "Brand#23")
 
 
 def _hops(spark, sf_dir) -> DataFrame:
-    e = backbone_edges(spark, sf_dir)
+    e = kept(backbone_edges(spark, sf_dir), "backbone")  # sources and edges are both made of it
     sources = e.select("yr").distinct().withColumn("source", F.explode(F.array(*(F.lit(s) for s in _SOURCES))))
     return graphs.hop_distances(e, sources, ["yr"])
 

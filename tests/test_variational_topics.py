@@ -114,3 +114,21 @@ def test_texts_are_tokenised_once(spark):
     docs = spark.createDataFrame([(i, "red green blue grey " * (1 + i % 3)) for i in range(20)], "id long, text string").select("id", words("text").alias("tokens"))
     model = topics.TopicModel(k=2, passes=2, no_above=1.0, no_below=1, least_tokens=1).fit(docs, "id")
     assert model.assign(docs, "id").count() == 20 and seen.value == 20
+
+
+def test_guided_topics_count_documents_once(spark):
+    """Rounds read term numbers; repeated and null keys are one document each, as in a join by key."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, ["apple pear plum", "iron steel copper"][i % 2] + " common") for i in range(12)] + [(0, "iron steel copper"), (20, ""), (21, "zzz"), (None, "apple pear")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3).select("id", told("text").alias("text"))
+    got = topics.guided_topics(docs, "id", [["apple"], ["iron"]], ["fruit", "metal"], (), rounds=3).collect()
+    assert seen.value == len(rows) and len(got) == len(rows)
+    of = {r["id"]: r["topic_id"] for r in got if r["id"] != 0}
+    assert [of[i] for i in range(1, 12)] == [i % 2 for i in range(1, 12)] and (of[20], of[21], of[None]) == (-2, -1, -1)
+    assert len({r["topic_id"] for r in got if r["id"] == 0}) == 1

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, kept
+from ..functions.lineage import kept
 from . import variational
 from .text import plain_tokens, thread_documents, tokens, vocabulary
 
@@ -123,13 +124,67 @@ def seeded_topics(docs: DataFrame, key: str, seeds: Sequence[Sequence[str]] | No
     return picked.select(key, F.when(F.col("topic_id") == NONE, "NO_TOPIC_FILTERED_OUT").otherwise(F.coalesce(F.try_element_at(table, F.col("topic_id")), F.lit("UNKNOWN_TOPIC"))).alias("topic_label"))
 
 
+def _one_each(bags: DataFrame, key: str) -> DataFrame:
+    """key, ids, counts with the rows of a repeated key as one; rows of a null key are one document."""
+    if bags.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return bags.select(key, "ids", "counts")
+    parts = bags.select(key, F.explode_outer(F.arrays_zip("ids", "counts")).alias("t")).groupBy(key, "t.ids").agg(F.sum("t.counts").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("ids", "n"))))
+    return kept(parts.groupBy(key).agg(pairs.alias("t")).select(key, F.col("t.ids").alias("ids"), F.col("t.n").alias("counts")), "bags")
+
+
+def _document_frequencies(n_terms: int):
+    def run(batches):
+        total = np.zeros((n_terms, 1))
+        for batch in batches:
+            total[:, 0] += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        yield from variational.by_term(total)
+
+    return run
+
+
+def _nearest(ids: np.ndarray, counts: np.ndarray, starts: np.ndarray, centres: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each document (ties to the first, -1: none shares a term), and the weights of its terms in its unit vector."""
+    n_docs, n_topics = len(starts) - 1, centres.shape[1]
+    doc, w = np.repeat(np.arange(n_docs), np.diff(starts)), counts * idf[ids]
+    x = w / np.sqrt(np.bincount(doc, w * w, minlength=n_docs))[doc]
+    s = np.column_stack([np.bincount(doc, x * centres[ids, k], minlength=n_docs) for k in range(n_topics)])
+    topic = np.where(s > 0, np.round(s, 9), -1.0).argmax(axis=1)
+    return np.where((s > 0).any(axis=1), topic, -1), x
+
+
+def _moved(centres: np.ndarray, idf: np.ndarray):
+    """Sums of the unit vectors by their nearest centre."""
+
+    def run(batches):
+        total = np.zeros_like(centres)
+        for batch in batches:
+            ids, counts, starts = variational.flat(batch.column(0), batch.column(1))
+            topic, x = _nearest(ids, counts, starts, centres, idf)
+            of = np.repeat(topic, np.diff(starts))
+            for k in range(centres.shape[1]):
+                total[:, k] += np.bincount(ids[of == k], x[of == k], minlength=len(total))
+        yield from variational.by_term(total)
+
+    return run
+
+
+def _placed(key: str, centres: np.ndarray, idf: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            topic, _ = _nearest(*variational.flat(batch.column(1), batch.column(2)), centres, idf)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(topic, pa.int32(), mask=topic < 0)], names=[key, "topic"])
+
+    return run
+
+
 def guided_topics(docs: DataFrame, key: str, seeds: Sequence[Sequence[str]] | None = None, labels: Sequence[str] | None = None, stop: Sequence[str] | None = None, rounds: int = 5, least_docs: int = 1, no_below: int = 3, keep_n: int = 3000) -> DataFrame:
     """key, topic_id, topic_label of every document (column ``text``) by spherical k-means from seed centroids.
 
     Documents are unit vectors of term frequency times ln((1 + N) / (1 + df)) + 1 over a vocabulary of at most ``keep_n`` terms and
     the seed words; a topic's first centroid is its seed words by the same weights. Each round puts every document to the nearest
-    centroid (ties to the first topic) and moves the centroids to the means. Centroids are at most keep_n terms per topic, so
-    they are broadcast. Stands in for clustering of a sentence encoder's vectors, which needs a model file.
+    centroid (ties to the first topic) and moves the centroids to the means: a pass over the documents as rows of term numbers, of which the
+    sums by topic and term come back. Centroids are at most keep_n terms per topic and the seed words, so tasks get them whole. Stands in for clustering of a sentence encoder's vectors, which needs a model file.
     -1: near no centroid, or in a topic of fewer than ``least_docs`` documents; -2: no words.
     """
     seeds = SEED_TOPICS if seeds is None else seeds
@@ -137,38 +192,32 @@ def guided_topics(docs: DataFrame, key: str, seeds: Sequence[Sequence[str]] | No
     stop = stopwords() if stop is None else stop
     spark = docs.sparkSession
     sets = seed_sets(seeds, stop, spark)
-    words = spark.createDataFrame([(w, k) for k, s in enumerate(sets) for w in sorted(s)], "term string, topic int")
-    rows = docs.select(key, plain_tokens(F.col("text"), stop).alias("tokens"))
-    common = vocabulary(rows, no_below=no_below, no_above=1.0, keep_n=keep_n).select("term")
-    wanted = common.unionByName(words.select("term")).distinct()
-    total = rows.agg(F.count("*").alias("total"))
-    counts = rows.select(key, F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(total)).select("term", (F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighted = counts.join(F.broadcast(idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    length = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    points = cut(weighted.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("x")).repartition(key))
-
-    def unit(raw: DataFrame) -> DataFrame:
-        size = raw.groupBy("topic").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
-        return raw.join(F.broadcast(size), "topic").select("topic", "term", (F.col("c") / F.col("size")).alias("c"))
-
-    def nearest(centres: DataFrame) -> DataFrame:
-        near = points.join(F.broadcast(centres), "term").groupBy(key, "topic").agg(F.round(F.sum(F.col("x") * F.col("c")), 9).alias("s"))
-        return near.groupBy(key).agg(F.max(F.struct("s", (-F.col("topic")).alias("t"))).alias("b")).select(key, (-F.col("b.t")).cast("int").alias("topic"))
-
-    centres = cut(unit(words.join(F.broadcast(idf), "term").select("topic", "term", F.col("idf").alias("c"))))
-    placed = cut(nearest(centres))
+    rows = kept(docs.select(key, plain_tokens(F.col("text"), stop).alias("tokens")), "tokens")
+    common = [r["term"] for r in vocabulary(rows, no_below=no_below, no_above=1.0, keep_n=keep_n).select("term").toLocalIterator()]  # at most keep_n
+    terms = sorted({*common, *(w for s in sets for w in s)})
+    bags = kept(variational.bags(rows, key, terms), "bags")
+    points = _one_each(bags, key)
+    df = variational.summed(points.select("ids"), _document_frequencies(len(terms)), (len(terms), 1))[:, 0]
+    idf = np.where(df > 0, np.log((1.0 + bags.count()) / (1.0 + df)) + 1.0, 0.0)
+
+    def unit(raw: np.ndarray) -> np.ndarray:
+        size = np.sqrt((raw * raw).sum(axis=0))
+        return raw / np.where(size > 0, size, 1.0)
+
+    number = {t: i for i, t in enumerate(terms)}
+    first = np.zeros((len(terms), len(sets)))
+    for k, s in enumerate(sets):
+        first[[number[w] for w in s], k] = idf[[number[w] for w in s]]
+    centres, points = unit(first), points.filter(F.col(key).isNotNull())  # a document without a key counts in df only
     for _ in range(rounds):
-        moved = unit(points.join(placed, key).groupBy("topic", "term").agg(F.sum("x").alias("c")))
-        stay = centres.join(F.broadcast(placed.select("topic").distinct()), "topic", "left_anti")
-        centres = cut(moved.unionByName(stay))
-        placed = cut(nearest(centres))
+        moved = variational.summed(points.select("ids", "counts"), _moved(centres, idf), centres.shape)
+        centres = np.where(moved.any(axis=0), unit(moved), centres)
+    placed = kept(points.select(key, "ids", "counts").mapInArrow(_placed(key, centres, idf), f"`{key}` {points.schema[key].dataType.simpleString()}, topic int").filter("topic is not null"), "placed")
     large = placed.groupBy("topic").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("topic")
     names = F.create_map(*(F.lit(x) for k, label in enumerate(labels) for x in (k, label)))
-    return rows.join(placed.join(F.broadcast(large), "topic", "left_semi").select(key, "topic"), key, "left").select(
+    return bags.select(key, "size").join(placed.join(F.broadcast(large), "topic", "left_semi").select(key, "topic"), key, "left").select(
         key,
-        F.coalesce("topic", F.when(F.size("tokens") == 0, EMPTY).otherwise(OUTLIER)).cast("int").alias("topic_id"),
+        F.coalesce("topic", F.when(F.col("size") == 0, EMPTY).otherwise(OUTLIER)).cast("int").alias("topic_id"),
         F.coalesce(F.try_element_at(names, F.col("topic")), F.lit("OUTLIER")).alias("topic_label"),
     )
 

@@ -68,3 +68,20 @@ def test_layout_draws_linked_nodes_together(spark):
     assert sorted(p["node"] for p in drawn[30] if p["yr"] == 2) == ["x", "y"]
     assert sorted(layout.spring_layout(edges.repartition(7, "dst"), ["yr"], 30).collect()) == sorted(drawn[30])
     assert layout.spring_layout(edges.filter(F.lit(False)), ["yr"], 2).count() == 0
+
+
+def test_pairs_are_counted_by_slice_in_thin_rows(spark, monkeypatch):
+    monkeypatch.setattr(polarity, "SLICE", 5)
+    rows = [["b", "a", "c"], None, ["a", "b", "a", "b", "a", "b", "a"], [], ["é", "z", None, "a"]]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, tokens array<string>").coalesce(1)
+    got, want = {}, {}
+    for r in polarity._met(texts, "tokens", 2).collect():
+        for b, c in zip(r["b"], r["c"]):
+            got[r["a"], b] = got.get((r["a"], b), 0) + c
+    for t in rows:
+        for i, x in enumerate(t or []):
+            for y in t[i + 1 : i + 3]:
+                if x and y and x != y:
+                    pair = (min(x, y), max(x, y))
+                    want[pair] = want.get(pair, 0) + 1
+    assert got == want

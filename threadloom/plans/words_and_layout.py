@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import kept
 from ..operators import layout, lemmas, polarity, text
 from ..sources import views
 from .registry import query
@@ -71,7 +72,7 @@ def _lexicon(tokens):
 
 @query(f"with {_polarity_sql()} select term, polarity::bigint as polarity from s{polarity.ROUNDS}")
 def m12_polarity_lexicon(spark, sf_dir):
-    return _lexicon(_tokens(spark, sf_dir))
+    return _lexicon(kept(_tokens(spark, sf_dir), "tokens"))
 
 
 @query(f"""with {_polarity_sql()}, signed as (select doc_id, tokens[i] as term, case when len(list_intersect(tokens[greatest(i - {polarity.SCOPE}, 1):i - 1], [{_strings(polarity.NEGATIONS)}])) > 0 then -1 else 1 end as sign
@@ -79,7 +80,7 @@ def m12_polarity_lexicon(spark, sf_dir):
 select t.doc_id, coalesce(score, 0)::bigint as score, sign(coalesce(score, 0))::integer as sentiment from toks t left join
 (select doc_id, sum(sign * polarity) as score from signed join s{polarity.ROUNDS} using (term) group by doc_id) using (doc_id)""")
 def m12_polarity_scores(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
+    tokens = kept(_tokens(spark, sf_dir), "tokens")
     return polarity.scores(tokens, _lexicon(tokens), "doc_id")
 
 

@@ -2,6 +2,7 @@
 
 import bz2
 import json
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -75,6 +76,25 @@ def test_comment_reader(spark, tmp_path):
     assert readers.load_comments(df, ["id", "nothing"]).columns == ["id", "nothing"]
 
 
+def test_comment_reader_is_as_fast_below_long_paths(spark, tmp_path):
+    folder = tmp_path
+    for k in range(12):
+        folder /= f"{k:x}" * 200
+    folder.mkdir(parents=True)
+    (folder / "comments_2016-09.json").write_text('{"id": "1", "score": 3}\n' * 40_000)
+    began = time.perf_counter()
+    assert readers.read_comments(spark, str(folder), "2016-08", "2016-10").agg(F.sum("score"), F.max("month")).first() == (120_000, "2016-09")
+    assert time.perf_counter() - began < 10
+
+
+def test_rows_of_one_task_are_compressed_by_several(spark, tmp_path):
+    rows = spark.range(400_000).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("author"), F.sha2(F.col("id").cast("string"), 256).alias("subreddit"), F.lit("2016-08").alias("month"))
+    sinks.write_json_lines(rows.coalesce(1), str(tmp_path / "out"), ["month"], "bzip2", spread=True)
+    assert len(list((tmp_path / "out" / "month=2016-08").glob("*.bz2"))) > 1
+    found = readers.read_comments(spark, str(tmp_path / "out"))
+    assert found.agg(F.count("*"), F.count_distinct("id")).first() == (400_000, 400_000)
+
+
 def test_edge_and_metadata_readers(spark, tmp_path):
     (tmp_path / "networks_2016.csv").write_text("node_1,node_2,weighted,unweighted\nsubA,subB,5,1\nsubA,subC,0,0\nsubC,subD,-1,1\nsubD,subE,,1\n")
     path = str(tmp_path / "networks_2016.csv")

@@ -31,7 +31,7 @@ def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, sf_dir: str, codec: str | None) -> str:
     path = f"{scratch(spark, 'comments')}/comments"
-    sinks.write_json_lines(_comments(spark, sf_dir), path, ["month"], codec)
+    sinks.write_json_lines(_comments(spark, sf_dir), path, ["month"], codec, spread=True)
     return path
 
 
@@ -55,7 +55,7 @@ def s4_file_pattern(spark, sf_dir):
     """Plain and compressed files in one folder; the pattern picks the compressed ones."""
     rows, path = _comments(spark, sf_dir), scratch(spark, "patterns")
     sinks.write_json_lines(rows.filter("month <> '2016-10'"), path, ["month"])
-    sinks.write_json_lines(rows.filter("month = '2016-10'"), path, ["month"], "bzip2", append=True)
+    sinks.write_json_lines(rows.filter("month = '2016-10'"), path, ["month"], "bzip2", append=True, spread=True)
     return readers.read_comments(spark, path, pattern="*.json.bz2").select(*_COMMENT)
 
 
@@ -226,7 +226,7 @@ def k4_json_lines(spark, sf_dir):
 def k5_filtered_comments(spark, sf_dir):
     path = scratch(spark, "filtered")
     c = interactions.clean_comments(views.comments(spark, sf_dir), views.bots(spark, sf_dir))
-    sinks.write_json_lines(c.select(F.col("id").cast("string").alias("id"), "author", F.col("community").alias("subreddit"), "score"), path, codec="bzip2")
+    sinks.write_json_lines(c.select(F.col("id").cast("string").alias("id"), "author", F.col("community").alias("subreddit"), "score"), path, codec="bzip2", spread=True)
     return readers.read_comments(spark, path).select("id", "author", "subreddit", "score")
 
 

@@ -19,8 +19,8 @@ MONTH, YEAR = r"(\d{4}-\d{2})", r"(\d{4})"
 
 
 def _file_name() -> Column:
-    """The file's name after that of its folder."""
-    return F.regexp_extract(F.col("_metadata.file_path"), "[^/]*/[^/]*$", 0)
+    """The file's name after that of its folder; taken for every row, so without a pattern that is tried from each letter of the path."""
+    return F.substring_index(F.col("_metadata.file_path"), "/", -2)
 
 
 def _position() -> Column:

@@ -18,9 +18,12 @@ def write_edges(edges: DataFrame, path: str, form: str = "parquet") -> None:
     (writer.option("header", True).csv if form == "csv" else writer.parquet)(path)
 
 
-def write_json_lines(rows: DataFrame, path: str, by: Sequence[str] = (), codec: str | None = None, append: bool = False) -> None:
-    """JSON lines, replacing what was there or appended to it; null fields are written. One folder per value of ``by``."""
-    writer = rows.write.mode("append" if append else "overwrite").option("ignoreNullFields", False)
+def write_json_lines(rows: DataFrame, path: str, by: Sequence[str] = (), codec: str | None = None, append: bool = False, spread: bool = False) -> None:
+    """JSON lines, replacing what was there or appended to it; null fields are written. One folder per value of ``by``.
+
+    With ``spread`` the rows are dealt over tasks of like size, in no order: to compress them takes longer, and a table may lie in one task.
+    """
+    writer = (rows.hint("rebalance") if spread else rows).write.mode("append" if append else "overwrite").option("ignoreNullFields", False)
     if codec:
         writer = writer.option("compression", codec)
     (writer.partitionBy(*by) if by else writer).json(path)

@@ -1,6 +1,7 @@
 """Lemmas, the grown lexicon and layouts against plain versions and hand-worked cases."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -21,6 +22,30 @@ def test_texts_of_lemmas_keep_order_and_empty_texts(spark):
     assert lemmas.lemmatise(tokens.limit(0), table, "doc_id").count() == 0
 
 
+def test_lemmas_take_the_places_of_their_words(spark):
+    rng, swaps = random.Random(4), {"cats": "cat", "dogs": "dog", "teeth": "tooth"}
+    lists = [(k, [rng.choice(["cats", "dogs", "teeth", "a", "bird", None]) for _ in range(rng.randint(0, 9))]) for k in range(120)]
+    tokens = spark.createDataFrame([*lists, (None, ["a", "cats"])], "doc_id long, tokens array<string>")
+    table = spark.createDataFrame(list(swaps.items()), "term string, lemma string")
+    got = {r["doc_id"]: (r["tokens"], r["n_changed"]) for r in lemmas.lemmatise(tokens, table, "doc_id").collect()}
+    assert got.pop(None) == (["a", "cat"], 1)
+    assert got == {k: ([swaps.get(t, t) for t in words if t is not None], sum(t in swaps for t in words)) for k, words in lists}
+
+
+def test_only_changed_words_are_shuffled(spark):
+    tokens = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.array(F.lit("cats")), F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.concat(F.lit("w"), i.cast("string")))).alias("tokens"))
+    table = spark.createDataFrame([("cats", "cat")], "term string, lemma string")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def sent():
+        stages = store.stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = sent()
+    assert lemmas.lemmatise(tokens, table, "doc_id").agg(F.sum("n_changed"), F.sum(F.size("tokens"))).first() == (200, 200 * 501)
+    assert sum(n for k, n in sent().items() if k not in before) < 2_000
+
+
 def test_polarity_spreads_from_seeds(spark):
     texts = [(k, ["fine", "lovely", "warm"]) for k in range(12)] + [(20 + k, ["vile", "nasty", "cold"]) for k in range(12)] + [(40 + k, ["table", "chair", "lamp"]) for k in range(12)]
     docs = spark.createDataFrame(texts, "doc_id long, tokens array<string>")

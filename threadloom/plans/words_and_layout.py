@@ -41,8 +41,8 @@ def f7_lemmas(spark, sf_dir):
 select t.doc_id, len(tokens)::bigint as n_tokens, coalesce(changed, 0)::bigint as n_changed, md5(coalesce(joined, '')) as tokens_md5 from toks t left join
 (select doc_id, string_agg(coalesce(l.lemma, p.term), ' ' order by pos) as joined, count(l.lemma) as changed from placed p left join lemmas l using (term) group by doc_id) using (doc_id)""")
 def f7_lemmatised_texts(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    out = lemmas.lemmatise(tokens, lemmas.lemma_table(lemmas.words(tokens)), "doc_id")
+    tokens = kept(_tokens(spark, sf_dir), "tokens")
+    out = lemmas.lemmatise(tokens, kept(lemmas.lemma_table(lemmas.words(tokens)), "lemmas"), "doc_id")
     return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "n_changed", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import adjusted_score, sentiment_label
+from ..functions.lineage import kept
 
 DELETED = "[deleted]"
 
@@ -67,3 +68,18 @@ def sentiment_edges(comments: DataFrame) -> DataFrame:
 def labelled(edges: DataFrame, method: str) -> DataFrame:
     """The edge table of one method, as the other operators take it."""
     return edges.select(F.lit(method).alias("method"), "snapshot", "src", "dst", F.col("weight").cast("double").alias("weight"))
+
+
+def edge_table(comments: DataFrame) -> DataFrame:
+    """The edges of both methods, labelled, from one join: authors active in two communities, and those of them with the same leaning in both.
+
+    The activity is kept, as both sides of the join read it; it is much larger than its files, so it is never sent to all tasks.
+    """
+    leaning = F.nullif("sentiment", F.lit("Neutral"))
+    met = kept(sentiment_summary(comments).select("snapshot", "author", "community", leaning.alias("leaning")), "activity")
+    a = met.select("snapshot", "author", F.col("community").alias("src"), F.col("leaning").alias("one"))
+    b = met.select(F.col("snapshot").alias("_snapshot"), F.col("author").alias("_author"), F.col("community").alias("dst"), F.col("leaning").alias("other"))
+    on = (F.col("snapshot") == F.col("_snapshot")) & (F.col("author") == F.col("_author")) & (F.col("src") < F.col("dst"))
+    pairs = a.hint("merge").join(b, on).groupBy("snapshot", "src", "dst").agg(F.count("*").alias("cocomment"), F.count_if(F.col("one") == F.col("other")).alias("sentiment"))
+    rows = F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("weight")) for m in ("cocomment", "sentiment")))
+    return pairs.select("snapshot", "src", "dst", F.inline(rows)).filter("weight > 0").select("method", "snapshot", "src", "dst", "weight")

@@ -20,9 +20,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edge table of both methods that the graph queries share, checkpointed: each reads it several times."""
-    c = clean(spark, sf_dir)
-    both = interactions.labelled(interactions.cocomment_edges(c), "cocomment").unionByName(interactions.labelled(interactions.sentiment_edges(c), "sentiment"))
-    return cut(both)
+    return cut(interactions.edge_table(clean(spark, sf_dir)))
 
 
 def backbone_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

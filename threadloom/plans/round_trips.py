@@ -198,7 +198,7 @@ def k2_edge_table(spark, sf_dir):
     """Parquet by method and snapshot."""
     c = interactions.clean_comments(views.comments(spark, sf_dir), views.bots(spark, sf_dir))
     path = scratch(spark, "edges")
-    both = interactions.labelled(interactions.cocomment_edges(c), "cocomment").unionByName(interactions.labelled(interactions.sentiment_edges(c), "sentiment"))
+    both = interactions.edge_table(c)
     sinks.write_edges(both, path)
     return spark.read.schema("src string, dst string, weight double, method string, snapshot long").parquet(path).select("method", "snapshot", "src", "dst", "weight")
 
@@ -252,6 +252,6 @@ def a23_line_count(spark, sf_dir):
 def g12_edge_weights(spark, sf_dir):
     """Weights of the interaction graphs, and 1 for edges that have none."""
     c = interactions.clean_comments(views.comments(spark, sf_dir), views.bots(spark, sf_dir))
-    both = interactions.labelled(interactions.cocomment_edges(c), "cocomment").unionByName(interactions.labelled(interactions.sentiment_edges(c), "sentiment"))
+    both = interactions.edge_table(c)
     b = E.backbone(views.networks(spark, sf_dir)).select(F.lit("flag").alias("method"), F.col("yr").alias("snapshot"), F.col("node_1").alias("src"), F.col("node_2").alias("dst"))
     return E.weights(both).unionByName(E.weights(b))
